@@ -2,16 +2,33 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from ..kernels import boards, distance, resolve, rules
 
 
+def pandas_udf(kind: str):
+    """A vectorised function made on its first use, when a session is there to read its type."""
+
+    def wrap(f):
+        made: list = []
+
+        @functools.wraps(f)
+        def call(*columns):
+            if not made:
+                made.append(F.pandas_udf(f, kind))
+            return made[0](*columns)
+
+        return call
+
+    return wrap
+
+
 def move_label(ply: Column | str, san: Column | str) -> Column:
     """``12. Nf3`` for white, ``12… e5`` for black."""
     p = F.col(ply) if isinstance(ply, str) else ply

@@ -111,14 +111,14 @@ def column_cut(boxes: DataFrame, group: list[str], width: Column, middle: Column
     Only the positions a box crosses are enumerated, summed per position before
     they meet.
     """
-    span = boxes.select(*group, "x", "w", width.alias("W"), middle.alias("M"))
-    pages = span.groupBy(*group).agg(F.count("*").alias("n"), F.first("W").alias("W"), F.first("M").alias("M"))
-    lo, hi = F.floor(F.col("W") * 0.25), F.floor(F.col("W") * 0.75) - 1
-    cuts = pages.where("n >= 8").select(*group, "n", "M", F.explode(F.sequence(lo, hi)).alias("cut"))
+    span = boxes.select(*group, "x", "w", width.alias("width"), middle.alias("middle"))
+    pages = span.groupBy(*group).agg(F.count("*").alias("n"), F.first("width").alias("width"), F.first("middle").alias("middle"))
+    lo, hi = F.floor(F.col("width") * 0.25), F.floor(F.col("width") * 0.75) - 1
+    cuts = pages.where("n >= 8").select(*group, "n", "middle", F.explode(F.sequence(lo, hi)).alias("cut"))
     first, last = F.greatest(F.floor(F.col("x")) + 1, lo), F.least(F.ceil(F.col("x") + F.col("w")) - 1, hi)
     hit = span.where(first <= last).select(*group, F.explode(F.sequence(first, last)).alias("cut")).groupBy(*group, "cut").agg(F.count("*").alias("crossing"))
     scored = cuts.join(hit, [*group, "cut"], "left").na.fill(0, ["crossing"])
-    best = scored.groupBy(*group, "n").agg(F.min(F.struct("crossing", F.abs(F.col("cut") - F.col("M")).alias("d"), "cut")).alias("b")).select(*group, "n", "b.crossing", "b.cut")
+    best = scored.groupBy(*group, "n").agg(F.min(F.struct("crossing", F.abs(F.col("cut") - F.col("middle")).alias("d"), "cut")).alias("b")).select(*group, "n", "b.crossing", "b.cut")
     sides = best.join(boxes.select(*group, "x", "w"), group).groupBy(*group, "n", "crossing", "cut").agg(F.count_if(F.col("x") + F.col("w") <= F.col("cut")).alias("left"), F.count_if(F.col("x") >= F.col("cut")).alias("right"))
     good = (F.col("crossing") <= F.greatest(F.lit(3.0), 0.05 * F.col("n"))) & (F.least("left", "right") >= 0.2 * F.col("n"))
     return pages.select(*group).join(sides.select(*group, F.when(good, F.col("cut")).alias("cut")), group, "left")
