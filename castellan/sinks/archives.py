@@ -44,7 +44,7 @@ def archive(manifest_: dict, source: bytes, games: list[dict], moves: list[dict]
     return out.getvalue()
 
 
-def sparse_json(row: pd.Series, places: dict[str, int] | None = None) -> dict:
+def sparse_json(row: dict, places: dict[str, int] | None = None) -> dict:
     """A row as JSON without an absent repair, decimals as asked."""
     d = {k: v.item() if hasattr(v, "item") else v for k, v in row.items()}
     for k, n in (places or {}).items():
