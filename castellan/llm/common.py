@@ -153,10 +153,10 @@ def stored(df: DataFrame) -> DataFrame:
     df.write.parquet(root)
 
     def remove() -> None:
-        jvm = spark.sparkContext._jvm
-        if jvm is not None and not spark.sparkContext._jsc.sc().isStopped():
+        jvm, context = spark.sparkContext._jvm, spark.sparkContext._jsc
+        if jvm is not None and context is not None and not context.sc().isStopped():
             where = jvm.org.apache.hadoop.fs.Path(root)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            where.getFileSystem(context.hadoopConfiguration()).delete(where, True)
 
     atexit.register(remove)
     return spark.read.schema(df.schema).parquet(root)
