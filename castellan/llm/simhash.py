@@ -109,8 +109,9 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return picked.mapInArrow(run, f"id {dict(picked.dtypes)['id']}, n long, " + ", ".join(f"f{k} long" for k in range(lanes)))
 
 
-def _links(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, radius: int, ratio: float, forest: Forest, at_a: np.ndarray, at_b: np.ndarray) -> None:
-    """Unite every pair (row of a, row of b) within ``radius`` bits and ``ratio`` in size."""
+def _links(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, radius: int, ratio: float, forest: Forest, at_a: np.ndarray, at_b: np.ndarray) -> list[tuple[int, int]]:
+    """Unite every pair (row of a, row of b) within ``radius`` bits and ``ratio`` in size; the pairs that united trees."""
+    used = []
     pop_b = np.bitwise_count(b).sum(1, dtype=np.int64)
     order = np.argsort(pop_b, kind="stable")
     b, at_b, size_b, pop_b = b[order], at_b[order], size_b[order], pop_b[order]
@@ -144,8 +145,8 @@ def _links(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray,
                 if not len(u):
                     break
                 _, once = np.unique(ru, return_index=True)
-                for s in once.tolist():
-                    forest.union(int(ru[s]), int(rv[s]))
+                used += [(int(u[s]), int(v[s])) for s in once.tolist() if forest.union(int(ru[s]), int(rv[s]))]
+    return used
 
 
 def _roots(forest: Forest, nodes: np.ndarray) -> np.ndarray:
@@ -155,6 +156,8 @@ def _roots(forest: Forest, nodes: np.ndarray) -> np.ndarray:
 
 def _compare(lanes: int, radius: int, ratio: float):
     names = [f"f{k}" for k in range(lanes)]
+    # Closer pairs first, so that a forest of wide links holds everybody's nearest.
+    passes = [radius] if ratio == 0 else [radius * 3 // 5, radius * 4 // 5, radius]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _, g in groups(frames, ["tile", "i", "j"]):
@@ -166,11 +169,12 @@ def _compare(lanes: int, radius: int, ratio: float):
             prints = g[names].to_numpy().view(np.uint64)
             n = g["n"].to_numpy()
             forest = Forest(len(ids))
-            _links(prints[home], prints[~home], n[home], n[~home], radius, ratio, forest, at[home], at[~home])
-            root = np.fromiter(map(forest.find, range(len(ids))), dtype=np.int64, count=len(ids))
-            moved = np.flatnonzero(root != np.arange(len(ids)))
-            if len(moved):
-                yield pd.DataFrame({"a": ids[moved], "b": ids[root[moved]]})
+            used = []
+            for r in passes:
+                used += _links(prints[home], prints[~home], n[home], n[~home], r, ratio, forest, at[home], at[~home])
+            if used:
+                ends = ids[np.array(used)]
+                yield pd.DataFrame({"a": ends[:, 0], "b": ends[:, 1]})
 
     return run
 
@@ -240,14 +244,47 @@ def radius_for(similarity: float, bits: int, deviations: float) -> int:
     return int(bits * p + deviations * (bits * p * (1 - p)) ** 0.5)
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, lanes: int = 4) -> DataFrame:
+def similar(edges: DataFrame, df: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
+    """The edges (a, b) whose ends' sets of shingles are that similar by Jaccard."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 128):
+                part = whole.slice(lo, 128)
+                held = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in texts(part, "text")]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(held, pa.list_(pa.int64()))], names=["id", "s"])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    ends = edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct()
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(ends, "id", "left_semi")
+    held = docs.mapInArrow(sets, "id long, s array<long>")
+    x, y = held.select(F.col("id").alias("a"), F.col("s").alias("x")), held.select(F.col("id").alias("b"), F.col("s").alias("y"))
+    return edges.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(judge, "a long, b long")
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, lanes: int = 4, deviations: float = 3.0) -> DataFrame:
     """The rows of ``df`` of which each group of near-duplicates keeps the smallest id.
 
-    Documents are near-duplicates if their ``64 * lanes`` bit fingerprints are
-    as close as sets of that Jaccard similarity are, with a margin of 1.5
-    standard deviations, and their sizes allow that similarity.
+    Pairs of like sizes whose ``64 * lanes`` bit fingerprints are as close as
+    sets of that Jaccard similarity are, give or take ``deviations`` standard
+    deviations, span a forest in which closer pairs come first. The shingle
+    sets of each of its edges are compared, and edges that reach the similarity
+    make the groups. Ids are longs; rows with a null id stay.
     """
-    radius = radius_for(similarity, 64 * lanes, 1.5)
-    found = components(df, id_col, text_col, words, lanes, radius, similarity)
-    gone = found.where("component <> id").select(F.col("id").alias("__gone")).distinct()
+    radius = radius_for(similarity, 64 * lanes, deviations)
+    names = [f"f{k}" for k in range(lanes)]
+    prints = cut(fingerprints(df, id_col, text_col, words, lanes))
+    reps = cut(prints.where("id is not null").groupBy(*names, "n").agg(F.min("id").alias("rep")))
+    equal = prints.join(reps, [*names, "n"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    found = cut(equal.union(links(reps.select("rep", "n", *names), lanes, radius, similarity)).distinct())
+    groups_ = connected_components(similar(found, df, id_col, text_col, words, similarity))
+    gone = groups_.where("node <> component").select(F.col("node").alias("__gone"))
     return df.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
