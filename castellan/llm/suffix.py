@@ -8,7 +8,7 @@ input. Shorter documents keep everything. Repeated rows match each other.
 1. *Anchors.* Each window of ``length`` bytes names the least hash of its grams
    of ``GRAM`` bytes. Equal windows name equal anchors at equal places, so a
    window can only repeat among places of the same anchor. Neighbouring windows
-   with one anchor form a region, on average some 170 windows.
+   with one anchor form a region, on average some 140 windows.
 2. *Folding.* Regions of equal bytes fold into one with a count. A region that
    occurs twice repeats with all its windows; an anchor that occurs once repeats
    with none. Only anchors with different regions are undecided.
@@ -37,7 +37,7 @@ from .common import groups, stored, text_or_empty, texts
 from .sais import permuted_lcp, suffix_array
 
 LENGTH = 400
-GRAM = 64
+GRAM = 128
 HOT_REGIONS = 20_000
 SHARD_BYTES = 2_000_000
 SEGMENT = 1 << 20
