@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, exact_dedup, packing, pii, quality, simhash, suffix, urlfilter, warc
+from . import bpe, chat, exact_dedup, oracles, packing, pii, quality, simhash, suffix, urlfilter, warc
 
 #: Where vocabulary files are, by their public names.
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken"
@@ -71,10 +71,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": DEDUP, "op8_url_filters": urlfilter.ORACLE, "op10_warc": warc.ORACLE}
-
-
-DEDUP = """
-SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
-FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
-"""
+    return {
+        "op2_exact_dedup": oracles.DEDUP,
+        "op6_quality": oracles.QUALITY,
+        "op8_url_filters": urlfilter.ORACLE,
+        "op9_suffix_dedup": oracles.SUFFIX,
+        "op10_warc": warc.ORACLE,
+    }

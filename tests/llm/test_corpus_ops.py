@@ -27,7 +27,7 @@ def spark_rows(df):
     return sorted(str([None if r[c] is None else str(r[c]) for c in sorted(df.columns)]) for r in df.collect())
 
 
-@pytest.mark.parametrize("name", ["op2_exact_dedup", "op8_url_filters", "op10_warc"])
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, name):
     assert spark_rows(queries.queries()[name](spark, SF)) == oracle(queries.oracle_sql()[name])
 
