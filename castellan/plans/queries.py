@@ -629,6 +629,197 @@ def i18_segment_lines(spark, sf_dir):
     return segment_lines(pages).select("book_id", "page", "idx", "text", "column", "has_notation")
 
 
+# --- more geometry and predicates ---
+
+
+@query(f"WITH b AS ({BOXES_SQL}) SELECT l_orderkey, l_partkey, l_linenumber, 100 + x / 4 AS px, 50 + 700 - (y + h) / 4 AS py, w / 4 AS pw, h / 4 AS ph FROM b")
+def p4_crop_to_page(spark, sf_dir):
+    clip = geometry.box(F.lit(100.0), F.lit(50.0), F.lit(200.0), F.lit(700.0))
+    b = boxes(spark, sf_dir).withColumn("clip", clip)
+    r = geometry.crop_to_page("clip", F.lit(4.0), F.col("box.x"), F.col("box.y"), F.col("box.w"), F.col("box.h"))
+    return b.select("l_orderkey", "l_partkey", "l_linenumber", r["x"].alias("px"), r["y"].alias("py"), r["w"].alias("pw"), r["h"].alias("ph"))
+
+
+@query("""
+WITH c AS (SELECT o_orderkey, unnest(range(0, 6)) AS k FROM orders), b AS (SELECT o_orderkey, k, (o_orderkey * (k + 2)) % 90 AS x, (o_orderkey * 3 + k) % 40 AS y, (o_orderkey + k) % 4 AS w, 1 + k AS h FROM c)
+SELECT o_orderkey, CAST(min(x) AS DOUBLE) AS x, CAST(min(y) AS DOUBLE) AS y, CAST(max(x + w) - min(x) AS DOUBLE) AS w, CAST(max(y + h) - min(y) AS DOUBLE) AS h FROM b WHERE k BETWEEN 1 AND 4 AND w > 0 GROUP BY 1
+""")
+def p3_box_of_slice(spark, sf_dir):
+    k = F.col("o_orderkey")
+    char = lambda i: F.struct(geometry.box((k * (i + 2)) % 90, (k * 3 + i) % 40, (k + i) % 4, 1 + i).alias("bbox"))
+    o = t(spark, sf_dir, "orders").select("o_orderkey", F.transform(F.sequence(F.lit(0), F.lit(5)), char).alias("chars"))
+    return o.select("o_orderkey", geometry.of_slice("chars", F.lit(1), F.lit(5)).alias("u")).where("u is not null").select("o_orderkey", "u.*")
+
+
+@query(f"""
+WITH b AS ({BOXES_SQL}), p AS (SELECT a.l_orderkey, a.l_partkey AS a, b.l_partkey AS b, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y) AS shared, least(a.h, b.h) AS low, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x) AS across, a.w AS w
+FROM b a JOIN b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber)
+SELECT l_orderkey, a, b, shared >= 0.5 * low AS same_row, across >= 0.8 * w AS inside FROM p
+""")
+def p15_p16_overlaps(spark, sf_dir):
+    b = boxes(spark, sf_dir)
+    one, two = (b.select("l_orderkey", F.col("l_partkey").alias(n), F.col("l_linenumber").alias(n + "_line"), F.col("box").alias(n + "_box")) for n in "ab")
+    j = one.join(two, "l_orderkey").where("a_line < b_line")
+    return j.select("l_orderkey", "a", "b", geometry.rows_overlap("a_box", "b_box").alias("same_row"), geometry.mostly_inside("a_box", "b_box").alias("inside"))
+
+
+@query(r"""SELECT doc_id, regexp_matches(text, '(^|[^A-Za-z0-9])[0-9]{1,3}[ \t\n\r\f\v]*\.') AS numbered, coalesce(regexp_matches(regexp_extract(trim(text), '([^ \t\n\r\f\v]+)$', 1), '^[A-Za-z][a-z]*[.,;:!?)"”»]*$'), false) AS prose FROM documents WHERE regexp_full_match(text, '[\x00-\x7F]*')""")
+def p11_p20_text_predicates(spark, sf_dir):
+    d = t(spark, sf_dir, "documents").where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
+    return d.select("doc_id", F.col("text").rlike(MOVE_NUMBER).alias("numbered"), text.ends_in_word("text").alias("prose"))
+
+
+@query("SELECT event_type, least(1.0, count(*) / 200.0) AS confidence, CAST(sum(CASE WHEN value >= 0.45 THEN 1 ELSE 0 END) AS BIGINT) AS confident FROM events GROUP BY 1")
+def a7_f18_p13_saturating(spark, sf_dir):
+    g = t(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") >= glyphs.MIN_CONFIDENCE).alias("confident"))
+    return g.select("event_type", text.saturating(F.col("n"), 200).alias("confidence"), "confident")
+
+
+@query("""
+SELECT n_nationkey, CAST(length(p) - length(replace(p, 'P', '')) AS BIGINT) AS white_pawns, CAST(length(p) - length(replace(p, 'r', '')) AS BIGINT) AS black_rooks
+FROM (SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR' ELSE '8/5pk1/6p1/8/8/6P1/5PK1/r7' END AS p FROM nation)
+""")
+def a17_piece_counts(spark, sf_dir):
+    p = F.when(F.col("n_nationkey") % 2 == 0, "rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR").otherwise("8/5pk1/6p1/8/8/6P1/5PK1/r7")
+    n = t(spark, sf_dir, "nation").select("n_nationkey", p.alias("p"))
+    return longs(n.select("n_nationkey", chess.piece_count("p", "P").alias("white_pawns"), chess.piece_count("p", "r").alias("black_rooks")), "white_pawns", "black_rooks")
+
+
+@query("SELECT vec_id, round(avg(CASE WHEN (k - 1) % 2 = 0 THEN v END), 6) AS light, round(avg(CASE WHEN (k - 1) % 2 = 1 THEN v END), 6) AS dark FROM (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS v, generate_subscripts(embedding, 1) AS k FROM embeddings) GROUP BY 1")
+def a16_parity_means(spark, sf_dir):
+    e = t(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("k", "v")).withColumn("v", F.col("v").cast("double"))
+    mean = lambda p: F.round(F.avg(F.when(F.col("k") % 2 == p, F.col("v"))), 6)
+    return e.groupBy("vec_id").agg(mean(0).alias("light"), mean(1).alias("dark"))
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'O-O-O' WHEN o_orderkey % 3 = 1 THEN 'O-O' ELSE 'Nf3+' END AS plain, CASE WHEN o_orderkey % 3 = 2 THEN 'Nf3' WHEN o_orderkey % 3 = 0 THEN 'O-O-O' ELSE 'O-O' END AS bare,
+  2 * (o_orderkey % 60) + CASE WHEN o_custkey % 2 = 0 THEN 1 ELSE 0 END AS ply FROM orders
+""")
+def f12_f19_moves_and_plies(spark, sf_dir):
+    k = F.col("o_orderkey")
+    raw = F.when(k % 3 == 0, " 0-0-0!?").when(k % 3 == 1, "0-0!").otherwise("Nf3+")
+    o = t(spark, sf_dir, "orders").withColumn("plain", text.bare_move(raw))
+    return o.select("o_orderkey", "plain", text.without_check("plain").alias("bare"), chess.ply_of(k % 60 + 1, F.col("o_custkey") % 2 == 0).alias("ply"))
+
+
+@query("SELECT source, array_to_string(list_sort(list(doc_id))[greatest(1, 15 - 12):15 + 12], ',') AS around FROM documents GROUP BY 1")
+def w5_around(spark, sf_dir):
+    ids = F.array_sort(F.collect_list("doc_id"))
+    at = F.lit(14)
+    lo = F.greatest(F.lit(0), at - 12)
+    return t(spark, sf_dir, "documents").groupBy("source").agg(ids.alias("ids")).select("source", F.array_join(F.slice("ids", lo + 1, at + 13 - lo), ",").alias("around"))
+
+
+@query("SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY 1")
+def s1_s3_s5_blocks(spark, sf_dir):
+    letters = F.transform(F.split("text", ""), lambda c: F.struct(c.alias("char"), geometry.filler().alias("bbox"), F.lit("").alias("font"), F.lit(1.0).alias("size"), F.lit("").alias("consumed")))
+    c = t(spark, sf_dir, "conversations").select(F.col("conv_id").alias("book_id"), F.lit(1).alias("page"), F.lit(1.0).alias("width"), F.lit(1.0).alias("height"), F.lit(0).alias("block"), F.col("turn").cast("double").alias("y0"), F.lit(0.0).alias("x0"), F.array(letters).alias("lines"))
+    return page_sources.of_blocks(c, sort_blocks=True).select(F.col("book_id").alias("conv_id"), "text")
+
+
+# --- whole chains over synthesised books ---
+
+
+def parsed_books(spark, sf_dir) -> dict[str, DataFrame]:
+    from ..operators.books import Options
+    from .run import run
+
+    openings = ["1. e4 e5 2. Nf3 Nc6 3. Bb5 a6 (3... Nf6 4. O-O) 4. Ra5", "1. d4 Nf6 2. c4 g6 3. Nc3 i.g7 4. e4", "Words about it. 1. e4 c5 2. Nf3 d6 3. d4 cxd4 4. Nxd4 1-0 1. c4 e5"]
+    line = F.element_at(F.array(*map(F.lit, openings)), (F.col("n_nationkey") % 3 + 1).cast("int"))
+    books = t(spark, sf_dir, "nation").select(F.col("n_name").alias("book_id"), F.explode(F.sequence(F.lit(1), F.lit(2))).alias("page"), line.alias("text"))
+    return run(page_sources.of_texts(books), Options(infer_symbols=False))
+
+
+@query()
+def a28_book_summary(spark, sf_dir):
+    """Books read from pages: counts and breaks of each."""
+    from ..operators.survey import summary
+
+    r = parsed_books(spark, sf_dir)
+    return summary(r["counts"], diagnosis.book_breaks(r["moves"], r["games"], r["contradicted"]))
+
+
+@query()
+def t13_printed_tree(spark, sf_dir):
+    """Every move of the books, labelled, in depth-first order."""
+    m = parsed_books(spark, sf_dir)["moves"]
+    key = lambda c: F.concat_ws("/", "book_id", c)
+    return trees.printed_tree(m.withColumn("parent_id", F.when(F.col("parent_id").isNotNull(), key("parent_id"))).withColumn("id", key("id"))).select("id", "depth", "label")
+
+
+@query()
+def k2_k3_ds15_ds16_archives(spark, sf_dir):
+    """Archives written and opened again: manifests with their counts."""
+    from ..sinks import archives as sink
+    from ..sources import archives as source
+
+    r = parsed_books(spark, sf_dir)
+    files = t(spark, sf_dir, "nation").select(F.col("n_name").alias("book_id"), F.concat("n_name", F.lit(".pdf")).alias("filename"), F.encode("n_name", "utf-8").alias("content"), F.lit(2).alias("page_count"))
+    opened = source.opened(sink.archives(files, r["notation"], r["games"], r["moves"]).select(F.col("book_id").alias("path"), "content"))
+    return source.manifests(opened).select("path", "filename", "media_type", "sha256", "page_count", "style", "counts.games", "counts.moves", "counts.ok", "counts.broken")
+
+
+@query()
+def k7_violations(spark, sf_dir):
+    """Moves of the books that break the exchange format: none should."""
+    from .. import schemas
+
+    return schemas.violations(parsed_books(spark, sf_dir)["moves"], "id", schemas.move_rules())
+
+
+@query()
+def l3_patches_replayed(spark, sf_dir):
+    """One patched move per book, replayed through its line."""
+    m = parsed_books(spark, sf_dir)
+    first = m["games"].select("book_id", F.col("id").alias("game_id"), F.col("initial_fen").alias("first_fen"))
+    p = t(spark, sf_dir, "nation").select(F.lit(1).alias("ord"), F.col("n_name").alias("book_id"), F.lit("g1-m2").alias("move_id"), F.lit("san_edit").alias("type"), F.lit('{"san": "d5"}').alias("value"))
+    return patches.apply(m["moves"].join(first, ["book_id", "game_id"]), p).select("book_id", "id", "san", "status", "fen")
+
+
+@query()
+def i1_notation_reports(spark, sf_dir):
+    """Notation reports of composed books."""
+    from ..operators.notation import needs_glyph_recovery, reports
+
+    pages = page_sources.of_texts(notation_lines(spark, sf_dir).select(F.col("book").cast("string").alias("book_id"), "page", "text"))
+    return reports(pages).select("book_id", "style", "language", "confidence", "neutral_move_count", needs_glyph_recovery().alias("needs"))
+
+
+@query()
+def i4_i5_diagrams(spark, sf_dir):
+    """Diagrams set in an invented font, found on pages of every nation."""
+    from ..operators.books import find_diagrams
+
+    rows = "TSLDMLST\nJJJJJJJJ\n........\n........\n........\n........\nIIIIIIII\nRNBQKBNR"
+    pages = t(spark, sf_dir, "nation").select(F.col("n_name").alias("book_id"), F.lit(1).alias("page"), F.concat("n_name", F.lit("\n" + rows + "\nand words")).alias("text"))
+    return find_diagrams(page_sources.of_texts(pages)).select("book_id", "page", "start", "end", F.array_join("rows", "/").alias("rows"))
+
+
+@query()
+def i17_j6_j19_repair(spark, sf_dir):
+    """Recovered symbols written into composed notation, and how many landed in moves."""
+    from .. import schemas
+    from ..operators.books import repair_pages
+
+    lines = notation_lines(spark, sf_dir).select(F.col("book").cast("string").alias("book_id"), "page", F.regexp_replace("text", "[KQRBN]", "t").alias("text"))
+    pages = page_sources.of_texts(lines)
+    at = F.expr("instr(text, 't') - 1").cast("double")
+    found = lines.select("book_id", F.lit("N").alias("piece"), F.lit(0.9).alias("confidence"), "page", geometry.box(at, F.lit(700.0), F.lit(1.0), F.lit(10.0)).alias("bbox"), F.lit(1.6).alias("width_ratio"))
+    assert schemas.GLYPHS
+    return glyphs.placement_score(repair_pages(pages, found.withColumn("page", F.col("page").cast("int"))))
+
+
+@query()
+def a21_glyph_scores(spark, sf_dir):
+    """Threshold sweep of symbols against a transcript, by common subsequence of each line."""
+    e = t(spark, sf_dir, "events")
+    piece = lambda c: F.substr(F.lit("KQRBN"), (c % 5).cast("int") + 1, F.lit(1))
+    found = e.select((F.col("user_id") % 50).alias("page"), F.col("user_id").alias("line_no"), F.col("event_id").cast("int").alias("ord"), piece(F.col("event_id")).alias("piece"), (F.col("value") / 100).alias("confidence"))
+    truth = found.groupBy("page", "line_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "piece"))), lambda x: x.piece), "").alias("pieces"))
+    return glyphs.scores(found, truth, ["page", "line_no"])
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Books composed from orders, read whole and diagnosed."""
     from .run import run

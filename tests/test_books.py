@@ -239,3 +239,15 @@ def test_empty_pages(spark):
     assert all(out[k].isEmpty() for k in ("moves", "games", "tokens", "notation", "counts"))
     blank = P.of_texts(spark.createDataFrame([("b", 1, None), ("b", 2, "")], "book_id string, page int, text string"))
     assert run(blank)["moves"].isEmpty()
+
+
+def test_command_lines(spark, tmp_path, texts, capsys):
+    from castellan import score
+    from castellan import survey as survey_tool
+
+    P.of_texts(texts).write.parquet(f"{tmp_path}/pages")
+    survey_tool.main([f"{tmp_path}/pages", "--window", "2"])
+    spark.createDataFrame([(5, 0, 0, "N", 0.9)], "page int, line_no int, ord int, piece string, confidence double").write.parquet(f"{tmp_path}/glyphs")
+    (tmp_path / "truth.json").write_text(json.dumps({"5": [{"pieces": "N", "text": "x"}], "6": [{"pieces": "B", "text": "y"}]}))
+    score.main([f"{tmp_path}/glyphs", f"{tmp_path}/truth.json", "--pages", "5", "--sweep"])
+    assert "b2" in capsys.readouterr().out and score.page_numbers("5-6,9") == [5, 6, 9]
