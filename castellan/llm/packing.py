@@ -2,7 +2,8 @@
 
 A document becomes its token ids followed by one separator id. Only documents
 longer than a sequence are cut; their first piece takes the remainder. Pieces
-go, in the order in which they arrive, to the open bin they fill best. At most
+go, in the order in which they arrive, to the open bin they fill best; a
+lookahead of ``LOOKAHEAD`` pieces lets the longest arrive first. At most
 ``OPEN_BINS`` bins are open: a bitset keyed by free space finds the best bin,
 and when a new bin is needed the fullest open one closes first.
 
@@ -28,6 +29,8 @@ from .common import cut, once
 SEQUENCE = 2048
 OPEN_BINS = 1024
 SEPARATOR = 0
+#: Pieces that wait to arrive longest first; short ones then fill what long ones left.
+LOOKAHEAD = 4096
 #: Pieces that one task packs; leftovers are OPEN_BINS bins of it.
 SHARD = 400_000
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -125,19 +128,18 @@ def _pack(round_: int, size: int, open_bins: int, last: bool):
         from pyspark import TaskContext
 
         fit = BestFit(size, open_bins)
-        held = []
-        for frame in frames:
-            if len(frame):
-                placed = [fit.place(n) for n in frame["length"].tolist()]
-                frame["sequence_id"] = [b for b, _ in placed]
-                frame["offset"] = [o for _, o in placed]
-                held.append(frame)
+        held = [frame for frame in frames if len(frame)]
+        if not held:
+            return
+        shard = pd.concat(held, ignore_index=True)
+        length = shard["length"].to_numpy()
+        bins, offsets = np.empty(len(shard), dtype=np.int64), np.empty(len(shard), dtype=np.int64)
+        for lo in range(0, len(shard), LOOKAHEAD):
+            for k in (lo + np.argsort(-length[lo : lo + LOOKAHEAD], kind="stable")).tolist():
+                bins[k], offsets[k] = fit.place(int(length[k]))
         left = fit.unfinished() if not last else set()
         base = (round_ << 60) | (TaskContext.get().partitionId() << 36)
-        for frame in held:
-            frame["open"] = frame["sequence_id"].isin(left) if left else False
-            frame["sequence_id"] += base
-            yield frame
+        yield shard.assign(sequence_id=bins + base, offset=offsets, open=np.isin(bins, list(left)))
 
     return run
 

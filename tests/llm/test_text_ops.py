@@ -158,7 +158,7 @@ def check_packing(got, rows):
 
 def test_packing_query(spark, doc_rows, clashing, nothing, odd_rows):
     bins, total = check_packing(queries.op3_packing(spark, "/root/testdata/sf0.001"), doc_rows)
-    assert bins <= 1.03 * total / 2048 + 1
+    assert bins <= 1.005 * total / 2048 + 1
     check_packing(packing.pack_documents(clashing, P.path(queries.VOCABULARY)), odd_rows)
     assert packing.pack_documents(nothing, P.path(queries.VOCABULARY)).count() == 0
 
@@ -170,8 +170,6 @@ def test_packing_in_shards(spark, docs, doc_rows):
 
 
 def test_fullest_bin_closes_first():
-    fit = packing.BestFit(10, 2)
-    assert [fit.place(n) for n in (6, 7, 8, 3, 4, 10)] == [(0, 0), (1, 0), (2, 0), (3, 0) if False else (0, 6), (3, 0), (4, 0)] or True
     fit = packing.BestFit(10, 2)
     assert fit.place(6) == (0, 0) and fit.place(7) == (1, 0) and fit.place(8) == (2, 0)  # bin 1, the fullest, closed
     assert fit.place(3) == (0, 6) and fit.place(2) == (2, 8)
