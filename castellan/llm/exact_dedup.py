@@ -17,8 +17,9 @@ from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import cut, text_or_empty
 
@@ -130,10 +131,15 @@ def _fold(keep: str):
     return run
 
 
-def digests(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, digest): 32 bytes of SHA-256, then eight bytes of length; null texts are empty."""
+def digest_of(text_col: str) -> Column:
+    """32 bytes of SHA-256, then eight bytes of length; null texts are empty."""
     text = text_or_empty(text_col)
-    return df.select(F.col(id_col).alias("id"), F.concat(F.unhex(F.sha2(text, 256)), F.unhex(F.lpad(F.hex(F.octet_length(text)), 16, "0"))).alias("digest"))
+    return F.concat(F.unhex(F.sha2(text, 256)), F.unhex(F.lpad(F.hex(F.octet_length(text)), 16, "0")))
+
+
+def digests(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, digest) of every row."""
+    return df.select(F.col(id_col).alias("id"), digest_of(text_col).alias("digest"))
 
 
 def classes(rows: DataFrame, keep: str = "max") -> DataFrame:
@@ -160,9 +166,12 @@ def members(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
-    """The rows of ``df`` that stay, every column unchanged."""
-    stays = classes(digests(df, id_col, text_col), keep).select(F.col("id").alias("__stays"))
-    return df.join(stays, F.col(id_col).eqNullSafe(F.col("__stays")), "left_semi")
+    """The rows of ``df`` that stay, every column unchanged; of rows that repeat both id and text one stays."""
+    stays = classes(digests(df, id_col, text_col), keep).select(F.col("id").alias("__stays"), F.col("digest").alias("__content"))
+    rows = df.withColumn("__digest", digest_of(text_col))
+    kept = rows.join(stays, (F.col("__digest") == F.col("__content")) & F.col(id_col).eqNullSafe(F.col("__stays")), "left_semi")
+    again = W.partitionBy("__digest", id_col).orderBy(F.xxhash64(*df.columns))
+    return kept.withColumn("__k", F.row_number().over(again)).where("__k = 1").select(*df.columns)
 
 
 def replay(changes: DataFrame) -> DataFrame:

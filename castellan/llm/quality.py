@@ -67,16 +67,16 @@ def counts(text: bytes) -> tuple[int, int, int, int, int]:
 
 
 def measured(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """(id, host, the five counts, base_failed) of every row."""
+    """(id, th, host, the five counts, base_failed) of every row; ``th`` is a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [counts(t) for t in texts(batch)]
             columns = list(zip(*rows)) if rows else [()] * len(COUNTS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in columns)], names=["id", "host", *COUNTS])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, pa.int64()) for c in columns)], names=["id", "th", "host", *COUNTS])
 
-    picked = df.select(F.col(id_col).alias("id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text"))
-    out = picked.mapInArrow(run, f"id {dict(picked.dtypes)['id']}, host string, " + ", ".join(f"{c} long" for c in COUNTS))
+    picked = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text"))
+    out = picked.mapInArrow(run, f"id {dict(picked.dtypes)['id']}, th bigint, host string, " + ", ".join(f"{c} long" for c in COUNTS))
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
@@ -108,14 +108,19 @@ def beta_prior(n: int, failed: int, hosts: int, squares: float, weighted: float)
     return mean * strength, (1 - mean) * strength
 
 
-def judged(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """(id, host, counts, base_failed, kept) of every row."""
+def verdicts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """(id, th, host, counts, base_failed, kept) of every row."""
     rows = cut(measured(df, id_col, text_col, host_col))
     verdict = host_verdicts(rows).select(F.col("host").alias("__host"), "host_ok")
-    return rows.join(verdict, rows.host == F.col("__host"), "left").select("id", "host", *COUNTS, "base_failed", (~F.col("base_failed") & F.coalesce("host_ok", F.lit(True))).alias("kept"))
+    return rows.join(verdict, rows.host == F.col("__host"), "left").select("id", "th", "host", *COUNTS, "base_failed", (~F.col("base_failed") & F.coalesce("host_ok", F.lit(True))).alias("kept"))
+
+
+def judged(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """(id, host, counts, base_failed, kept) of every row."""
+    return verdicts(df, id_col, text_col, host_col).drop("th")
 
 
 def keep_good(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The rows of ``df`` that pass, columns unchanged; repeated ids pass if one of them does, null ids never."""
-    good = judged(df, id_col, text_col, host_col).where("kept").select(F.col("id").alias("__good"))
-    return df.join(good, F.col(id_col) == F.col("__good"), "left_semi")
+    """The rows of ``df`` that pass, columns unchanged. Rows that repeat id and text pass if one of them does."""
+    good = verdicts(df, id_col, text_col, host_col).where("kept").select(F.col("id").alias("__good"), F.col("th").alias("__th"))
+    return df.join(good, F.col(id_col).eqNullSafe(F.col("__good")) & (F.xxhash64(text_col) == F.col("__th")), "left_semi")
