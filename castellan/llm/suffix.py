@@ -12,8 +12,9 @@ input. Shorter documents keep everything. Repeated rows match each other.
 2. *Folding.* Regions of equal bytes fold into one with a count. A region that
    occurs twice repeats with all its windows; an anchor that occurs once repeats
    with none. Only anchors with different regions are undecided.
-3. *Suffix arrays.* Undecided regions are dealt by anchor. Each task joins its
-   regions into shards, builds the suffix array by induced sorting, and reads
+3. *Suffix arrays.* Undecided regions are dealt by anchor. Each task leaves out
+   places whose surroundings no other region of the anchor shares, joins the
+   rest into shards, builds the suffix array by induced sorting, and reads
    repeats off the permuted common prefixes of neighbours.
 4. *Cutting.* Repeated windows go back to every document that has the region.
 
@@ -41,7 +42,9 @@ GRAM = 128
 HOT_REGIONS = 20_000
 SHARD_BYTES = 2_000_000
 SEGMENT = 1 << 20
-OCCURRENCE = "doc_id bigint, th bigint, a int, n int, key bigint, rh bigint"
+#: Neighbouring window places that share one core when regions are compared.
+BLOCK = 64
+OCCURRENCE = "doc_id bigint, th bigint, a int, n int, d int, key bigint, rh bigint"
 
 
 def _table() -> np.ndarray:
@@ -78,8 +81,8 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(after[: n - width + 1], before[width - 1 : n])
 
 
-def regions(data: bytes, length: int = LENGTH, gram: int = GRAM) -> list[tuple[int, int, int]]:
-    """(first start, number of starts, anchor hash) of all windows of a text, in order."""
+def regions(data: bytes, length: int = LENGTH, gram: int = GRAM) -> list[tuple[int, int, int, int]]:
+    """(first start, number of starts, distance from there to the anchor, anchor hash) of all windows of a text, in order."""
     out = []
     width = length - gram + 1
     for lo in range(0, len(data) - length + 1, SEGMENT):
@@ -89,7 +92,7 @@ def regions(data: bytes, length: int = LENGTH, gram: int = GRAM) -> list[tuple[i
         at = (least & _LOW).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         count = np.diff(np.append(first, len(at)))
-        out += zip((first + lo).tolist(), count.tolist(), h[at[first]].view(np.int64).tolist())
+        out += zip((first + lo).tolist(), count.tolist(), (at[first] - first).tolist(), h[at[first]].view(np.int64).tolist())
     return out
 
 
@@ -106,9 +109,9 @@ def _occurrences(length: int):
                 rows = []
                 for doc, th, text in zip(docs, heads, texts(part)):
                     if len(text) >= length:
-                        rows += [(doc, th, a, n, key, digest(text[a : a + n - 1 + length])) for a, n, key in regions(text, length)]
-                columns = list(zip(*rows)) if rows else [()] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))], names=["doc_id", "th", "a", "n", "key", "rh"])
+                        rows += [(doc, th, a, n, d, key, digest(text[a : a + n - 1 + length])) for a, n, d, key in regions(text, length)]
+                columns = list(zip(*rows)) if rows else [()] * 7
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))], names=["doc_id", "th", "a", "n", "d", "key", "rh"])
 
     return run
 
@@ -141,20 +144,45 @@ def intervals(hit: np.ndarray) -> tuple[list[int], list[int]]:
     return np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()
 
 
+def contenders(regions_: list[bytes], anchors: list[int], length: int = LENGTH) -> list[tuple[int, int, int]]:
+    """(region, first start, last start + 1) of the places that may repeat among regions of one anchor.
+
+    Equal windows have their anchor at one distance. Windows whose distances lie
+    in one block all contain the block's core, so a window can only repeat if
+    another region has the same core; what has none is left out.
+    """
+    cores: dict[tuple[int, bytes], list[int]] = {}
+    for k, (region, d) in enumerate(zip(regions_, anchors)):
+        n = len(region) - length + 1
+        for j in range((d - n + 1) // BLOCK, d // BLOCK + 1):
+            at = d - j * BLOCK
+            cores.setdefault((j, region[max(0, at) : at - BLOCK + 1 + length]), []).append(k)
+    reach: dict[int, tuple[int, int]] = {}
+    for (j, _), held in cores.items():
+        if len(held) > 1:
+            for k in held:
+                n = len(regions_[k]) - length + 1
+                lo, hi = max(0, anchors[k] - j * BLOCK - BLOCK + 1), min(n, anchors[k] - j * BLOCK + 1)
+                old = reach.get(k, (lo, hi))
+                reach[k] = min(lo, old[0]), max(hi, old[1])
+    return [(k, lo, hi) for k, (lo, hi) in sorted(reach.items())]
+
+
 def _shards(length: int):
-    """Sorted (key, rh, c, region) rows to (key, rh, starts, stops) of repeated starts."""
+    """Sorted (key, rh, d, region) rows to (key, rh, starts, stops) of repeated starts."""
 
-    def solve(held: list[pd.DataFrame]) -> pd.DataFrame:
-        g = pd.concat(held, ignore_index=True)
-        found = [intervals(h) for h in repeated_starts([bytes(r) for r in g["region"]], length)]
-        out = pd.DataFrame({"key": g["key"], "rh": g["rh"], "starts": [f[0] for f in found], "stops": [f[1] for f in found]})
-        return out[out["starts"].map(len) > 0]
+    def solve(held: list[tuple[int, int, int, bytes]]) -> pd.DataFrame:
+        found = [intervals(h) for h in repeated_starts([region for *_, region in held], length)]
+        rows = [(key, rh, [lo + x for x in f[0]], [lo + x for x in f[1]]) for (key, rh, lo, _), f in zip(held, found) if f[0]]
+        return pd.DataFrame(rows, columns=["key", "rh", "starts", "stops"])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
-        for _, g in groups(frames, ["key"]):
-            held.append(g)
-            size += int(g["region"].map(len).sum())
+        for (key,), g in groups(frames, ["key"]):
+            parts, rh = [bytes(r) for r in g["region"]], g["rh"].tolist()
+            for k, lo, hi in contenders(parts, g["d"].tolist(), length):
+                held.append((key, rh[k], lo, parts[k][lo : hi - 1 + length]))
+                size += hi - lo + length
             if size >= SHARD_BYTES:
                 yield solve(held)
                 held, size = [], 0
@@ -165,11 +193,11 @@ def _shards(length: int):
 
 
 def _windows(length: int):
-    """(key, rh, c, region) rows to one row per window: its place and two digests."""
+    """(key, rh, region) rows to one row per window: its place and digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, rh, region in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3))):
+            for key, rh, region in zip(*(c.to_pylist() for c in batch.columns)):
                 n = len(region) - length + 1
                 both = [hashlib.blake2b(region[i : i + length], digest_size=16).digest() for i in range(n)]
                 yield pa.RecordBatch.from_arrays([pa.array([key] * n, pa.int64()), pa.array([rh] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(both, pa.binary())], names=["key", "rh", "at", "w"])
@@ -186,22 +214,23 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     docs = documents(df, id_col, text_col)
     occ = stored(docs.select("doc_id", "th", "text").mapInArrow(_occurrences(length), OCCURRENCE))
     keys = occ.groupBy("key").agg(F.count("*").alias("c"), F.min("rh").alias("lo"), F.max("rh").alias("hi")).where("c > 1")
-    keys = keys.select("key", (F.col("lo") != F.col("hi")).alias("open"))
+    # Stored, so that the join below reads two plain exchanges and a hot anchor can be split.
+    keys = stored(keys.select("key", (F.col("lo") != F.col("hi")).alias("open")))
     again = stored(occ.join(keys, "key"))
-    classes = again.groupBy("key", "rh", "open").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "th", "a", "n")).alias("rep"))
+    classes = again.groupBy("key", "rh", "open").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "th", "a", "n", "d")).alias("rep"))
     classes = stored(classes)
     whole = classes.where("c > 1").select("key", "rh", F.array(F.lit(0)).alias("starts"), F.array("rep.n").alias("stops"))
 
     hot = classes.where("open").groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > hot_regions).select("key", F.lit(True).alias("hot"))
-    undecided = classes.where("open").join(hot, "key", "left").select("key", "rh", "c", "rep.*", F.coalesce("hot", F.lit(False)).alias("hot"))
-    wanted = undecided.groupBy("doc_id", "th").agg(F.collect_list(F.struct("key", "rh", "c", "a", "n", "hot")).alias("want"))
+    undecided = classes.where("open").join(hot, "key", "left").select("key", "rh", "rep.*", F.coalesce("hot", F.lit(False)).alias("hot"))
+    wanted = undecided.groupBy("doc_id", "th").agg(F.collect_list(F.struct("key", "rh", "a", "n", "d", "hot")).alias("want"))
     match = (docs.doc_id.eqNullSafe(F.col("w.doc_id"))) & (docs.th == F.col("w.th"))
     # Rows that repeat id and text all match; one of them is enough.
-    sliced = docs.join(wanted.alias("w"), match).select("text", "want").mapInArrow(_slices(length), "key bigint, rh bigint, c bigint, region binary, hot boolean")
+    sliced = docs.join(wanted.alias("w"), match).select("text", "want").mapInArrow(_slices(length), "key bigint, rh bigint, d int, region binary, hot boolean")
     sliced = stored(sliced.dropDuplicates(["key", "rh"]))
-    cold = sliced.where("not hot").select("key", "rh", "c", "region").repartition("key").sortWithinPartitions("key", "rh")
+    cold = sliced.where("not hot").select("key", "rh", "d", "region").repartition("key").sortWithinPartitions("key", "rh")
     by_array = cold.mapInPandas(_shards(length), "key bigint, rh bigint, starts array<int>, stops array<int>")
-    windows = sliced.where("hot").select("key", "rh", "c", "region").mapInArrow(_windows(length), "key bigint, rh bigint, at int, w binary")
+    windows = sliced.where("hot").select("key", "rh", "region").mapInArrow(_windows(length), "key bigint, rh bigint, at int, w binary")
     twice = windows.groupBy("w").agg(F.count("*").alias("c")).where("c > 1").select("w")
     by_count = windows.join(twice, "w").groupBy("key", "rh").agg(F.sort_array(F.collect_list("at")).alias("starts"))
     by_count = by_count.select("key", "rh", "starts", F.transform("starts", lambda x: x + 1).alias("stops"))
@@ -217,9 +246,9 @@ def _slices(length: int):
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
                 part = batch.slice(lo, 64)
-                rows = [(w["key"], w["rh"], w["c"], text[w["a"] : w["a"] + w["n"] - 1 + length], w["hot"]) for text, want in zip(texts(part), part.column(1).to_pylist()) for w in want]
+                rows = [(w["key"], w["rh"], w["d"], text[w["a"] : w["a"] + w["n"] - 1 + length], w["hot"]) for text, want in zip(texts(part), part.column(1).to_pylist()) for w in want]
                 columns = list(zip(*rows)) if rows else [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()))], names=["key", "rh", "c", "region", "hot"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_()))], names=["key", "rh", "d", "region", "hot"])
 
     return run
 
