@@ -85,7 +85,7 @@ class Model:
         return m
 
     def path(self, feature: np.ndarray, entry: int, leave: int) -> np.ndarray:
-        """The best states of these lines given the state before (-1: none) and the last one."""
+        """The best states of these lines given the state before (-1: none) and the last one (-1: any)."""
         score = self.scores(feature)
         best = self.first + score[0] if entry < 0 else self.step[entry] + score[0]
         back = np.zeros((len(score), STATES), dtype=np.int64)
@@ -94,7 +94,7 @@ class Model:
             back[t] = both.argmax(0)
             best = both.max(0) + score[t]
         state = np.empty(len(score), dtype=np.int64)
-        state[-1] = leave
+        state[-1] = leave if leave >= 0 else best.argmax()
         for t in range(len(score) - 1, 0, -1):
             state[t - 1] = back[t, state[t]]
         return state
@@ -154,12 +154,15 @@ def render(role: str, lines: list[str], starts: bool) -> str:
 
 
 def _turns(model: Model):
+    names = ["conv_id", "turn", "piece", "role", "starts", "n_lines", "rendered"]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[tuple] = []
         for _, g in groups(frames, ["conv", "block"]):
             chunks = [t.split("\n") for t in g["text"]]
             f = np.concatenate([line_features(c) for c in chunks])
             states = model.path(f, int(g["entry"].iloc[0]), int(g["leave"].iloc[0]))
-            rows, at = [], 0
+            at = 0
             for conv, turn, lines in zip(g["conv"], g["turn"], chunks):
                 s = states[at : at + len(lines)]
                 at += len(lines)
@@ -167,7 +170,11 @@ def _turns(model: Model):
                 for piece, (lo, hi) in enumerate(zip(bounds, bounds[1:])):
                     role, starts = ROLES[s[lo] // 2], bool(s[lo] % 2 == 0)
                     rows.append((conv, turn, piece, role, starts, hi - lo, render(role, lines[lo:hi], starts)))
-            yield pd.DataFrame(rows, columns=["conv_id", "turn", "piece", "role", "starts", "n_lines", "rendered"])
+            if len(rows) >= 4096:
+                yield pd.DataFrame(rows, columns=names)
+                rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
 
     return run
 
@@ -181,10 +188,14 @@ def parse(chunks: DataFrame, model: Model, block: int = BLOCK) -> DataFrame:
     rows = chunks.select(F.coalesce(F.col("conv_id").cast("bigint"), F.lit(-1)).alias("conv"), F.coalesce(F.col("turn").cast("bigint"), F.lit(-1)).alias("turn"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("block", F.floor(F.col("turn") / F.lit(block)))
     order = ["conv", "block", "turn", "text"]
-    dealt = rows.repartition("conv", "block").sortWithinPartitions(*order)
-    blocks = cut(dealt.mapInPandas(_blocks(model), "conv bigint, block bigint, m array<double>, alone array<double>"))
+    ends = rows.groupBy("conv").agg(F.min("block").alias("lo"), F.max("block").alias("hi")).where("lo <> hi").select("conv")
+    long = rows.join(ends, "conv", "left_semi")
+    deal = lambda df: df.repartition("conv", "block").sortWithinPartitions(*order)
+    blocks = cut(deal(long).mapInPandas(_blocks(model), "conv bigint, block bigint, m array<double>, alone array<double>"))
     borders = blocks.repartition("conv").sortWithinPartitions("conv", "block").mapInPandas(_borders, "conv bigint, block bigint, entry int, leave int")
-    solved = rows.join(borders, ["conv", "block"]).repartition("conv", "block").sortWithinPartitions(*order)
+    # A conversation of one block has nothing to fix at its borders.
+    alone = rows.join(ends, "conv", "left_anti").withColumn("entry", F.lit(-1)).withColumn("leave", F.lit(-1))
+    solved = deal(long.join(borders, ["conv", "block"]).select(*alone.columns).union(alone))
     return solved.mapInPandas(_turns(model), "conv_id bigint, turn bigint, piece int, role string, starts boolean, n_lines bigint, rendered string")
 
 
