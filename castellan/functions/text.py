@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..kernels.constants import ALPHABETS, CONFUSABLE, FIGURINES, FIXES, MAX_COMMENT, MAX_TITLE, NEUTRAL_MOVE, PIECE_MOVE, SAN_LETTERS
+from ..kernels.constants import ALPHABETS, CONFUSABLE, FIGURINES, FIXES, GAME_START, MAX_COMMENT, MAX_TITLE, NEUTRAL_MOVE, PIECE_MOVE, SAN_LETTERS
 
-#: A page that opens a game: white's first move and black's reply.
-GAME_START = r"(?<![\d.])1\s*\.?\s*(?:[♔-♟KQRBNDTFCLSPTVA]?[a-h][1-8])\s+(?:1\s*\.\.\.|[♔-♟KQRBNDTFCLSPTVA]?[a-h][1-8])"
 LETTERS = "".join(sorted(set("".join(ALPHABETS.values()))))
 __all__ = ["ALPHABETS", "CONFUSABLE", "NEUTRAL_MOVE", "GAME_START", "LETTERS"]
 

@@ -6,11 +6,13 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
-from .constants import DOTLESS_NUMBER, GLYPH_FONT, MOVE_BODY, MOVE_NUMBER, TO_FIGURINE
+from .constants import DOTLESS_NUMBER, GLYPH_FONT, MOVE_BODY, MOVE_NUMBER
 from .tokens import Box, PageText, union
 
+# Fixed values.
 MIN_HEIGHT, MIN_COVERAGE = 6.0, 0.6
 CHAR_COVER, MAX_LEFTOVERS = 0.8, 3
+WHITE_FIGURINE = dict(zip("KQRBN", "♔♕♖♗♘"))
 NUMBERS = (re.compile(MOVE_NUMBER), re.compile(DOTLESS_NUMBER))
 
 
@@ -164,12 +166,10 @@ def repair(chars: list[Char], glyphs: list[tuple[str, Box]]) -> list[Char]:
     edits = []
     for piece, box in glyphs:
         start, end = covered_range(chars, box)
-        edits.append((start, end, Char(TO_FIGURINE_WHITE[piece], box, GLYPH_FONT, round(box[3], 2), "".join(c.char for c in chars[start:end]))))
+        edits.append((start, end, Char(WHITE_FIGURINE[piece], box, GLYPH_FONT, round(box[3], 2), "".join(c.char for c in chars[start:end]))))
     out = list(chars)
     for start, end, char in sorted(edits, key=lambda e: -e[0]):
         out[start:end] = [char]
     return out
 
 
-TO_FIGURINE_WHITE = dict(zip("KQRBN", "♔♕♖♗♘"))
-assert set(TO_FIGURINE_WHITE) <= set(TO_FIGURINE)
