@@ -25,7 +25,7 @@ from .common import once
 
 LEAF = 8
 #: Matches whose ids a worker remembers; a full memory starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 
 
 class TreeBPE:
