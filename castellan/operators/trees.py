@@ -8,6 +8,7 @@ running on.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -40,26 +41,52 @@ def ancestors(nodes: DataFrame, id_col: str, parent_col: str, broken: Column, re
     return state.select("id", "tainted", "distance")
 
 
-def line_to(nodes: DataFrame, targets: DataFrame, id_col: str = "id", parent_col: str = "parent_id", max_depth: int = 2000) -> DataFrame:
+def line_to(nodes: DataFrame, targets: DataFrame, id_col: str = "id", parent_col: str = "parent_id") -> DataFrame:
     """(target, depth, id): the line from the root to each target, depth 0 at the root.
 
-    Each round adds one ancestor to every unfinished target. An ancestor met
-    before ends its line, so cycles end.
+    Links of one, two, four, .. steps are made by joining links to themselves,
+    and every round of them doubles what is known of each line: n moves take
+    log2(n) joins. A target that still has ancestors after ``MAX_ROUNDS`` leads
+    into a cycle of links; those few are walked step by step, and an ancestor
+    met before ends the line.
     """
-    links = nodes.select(F.col(id_col).alias("n"), F.col(parent_col).alias("p"))
-    front = targets.select(F.col(id_col).alias("target"), F.col(id_col).alias("at"), F.array(F.col(id_col)).alias("seen"))
-    front = cut(front.join(links, front.at == links.n, "left_semi"))
+    known = nodes.select(F.col(id_col).alias("k"))
+    links = nodes.select(F.col(id_col).alias("n"), F.col(parent_col).alias("p")).where("n <> p")
+    jump = cut(links.join(known, links.p == known.k, "left_semi"))
+    step = jump
+    rows = targets.select(F.col(id_col).alias("target"), F.lit(0).cast("long").alias("up"), F.col(id_col).alias("id"))
+    rows = cut(rows.join(known, rows.target == known.k, "left_semi"))
+    levels = []
+    while not jump.isEmpty() and len(levels) < MAX_ROUNDS:
+        levels.append(jump)
+        far = jump.select(F.col("n").alias("m"), F.col("p").alias("q"))
+        jump = cut(jump.join(far, jump.p == far.m).select("n", F.col("q").alias("p")))
+    endless = jump.select(F.col("n").alias("m")) if len(levels) == MAX_ROUNDS else None
+    turning = None
+    if endless is not None:
+        turning = rows.join(endless, rows.id == endless.m, "left_semi")
+        rows = cut(rows.join(endless, rows.id == endless.m, "left_anti"))
+    for k, level in enumerate(levels):
+        rows = rows.union(rows.join(level, rows.id == level.n).select("target", F.col("up") + (1 << k), F.col("p").alias("id")))
+        rows = cut(rows)
+        if rows.where(F.col("up") >= 1 << k).isEmpty():
+            break
+    found = rows.select("target", (F.max("up").over(W.partitionBy("target")) - F.col("up")).alias("depth"), "id")
+    return found if turning is None else found.union(_walked(step, turning))
+
+
+def _walked(links: DataFrame, targets: DataFrame) -> DataFrame:
+    """Lines of targets on or below a cycle, one ancestor a round."""
+    front = cut(targets.select("target", F.col("id").alias("at"), F.array("id").alias("seen")))
     done = None
-    for _ in range(max_depth):
-        step = front.join(links, front.at == links.n).select("target", "seen", F.when(~F.array_contains("seen", F.col("p")), F.col("p")).alias("p"))
-        known = links.select(F.col("n").alias("k"))
-        step = cut(step.join(known, step.p == known.k, "left"))
-        ended = step.where("k is null").select("target", "seen")
+    while not front.isEmpty():
+        step = cut(front.join(links, front.at == links.n, "left"))
+        again = F.col("p").isNull() | F.array_contains("seen", F.col("p"))
+        ended = step.where(again).select("target", "seen")
         done = ended if done is None else done.union(ended)
-        front = step.where("k is not null").select("target", F.col("p").alias("at"), F.array_append("seen", F.col("p")).alias("seen"))
-        if front.isEmpty():
-            break
-    return done.select("target", F.posexplode(F.reverse("seen")).alias("depth", "id"))
+        front = cut(step.where(~again).select("target", F.col("p").alias("at"), F.array_append("seen", F.col("p")).alias("seen")))
+    lines = targets.select("target", F.array("id").alias("seen")).where("false") if done is None else done
+    return lines.select("target", F.posexplode(F.reverse("seen")).alias("depth", "id")).select("target", F.col("depth").cast("long"), "id")
 
 
 def children(nodes: DataFrame, parent_col: str = "parent_id", order: str = "variation_index", id_col: str = "id") -> DataFrame:
@@ -86,15 +113,32 @@ def fen_before(moves: DataFrame, games: DataFrame) -> DataFrame:
     return up.join(first, up.game_id == first.g, "left").select("id", F.when(F.col("parent_id").isNull(), F.col("initial_fen")).otherwise(F.col("parent_fen")).alias("fen_before"))
 
 
-def printed_tree(moves: DataFrame, max_depth: int = 2000) -> DataFrame:
-    """(id, path, depth, label) in depth-first order of ``path``; depth counts variations only."""
+def printed_tree(moves: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(id, path, depth, label) in depth-first order of ``path``; depth counts variations only.
+
+    A game (``by``) is one group; parents that are missing or come in a cycle
+    end a path.
+    """
     from ..functions.chess import move_label
 
-    rows = line_to(moves, moves, max_depth=max_depth).join(moves.select(F.col("id").alias("m"), "variation_index"), F.col("id") == F.col("m"))
-    paths = rows.groupBy("target").agg(F.transform(F.array_sort(F.collect_list(F.struct("depth", "variation_index"))), lambda x: x.variation_index).alias("path"))
-    shown = paths.join(moves, paths.target == moves.id)
-    # A variation is printed before its main line goes on, so index 0 sorts last among deeper paths.
-    return shown.select("id", "path", F.size(F.filter("path", lambda v: v > 0)).alias("depth"), move_label("ply", F.col("san")).alias("label")).orderBy("path")
+    by = by or ["game_id"]
+
+    def paths(frame: pd.DataFrame) -> pd.DataFrame:
+        up, index = dict(zip(frame["id"], frame["parent_id"])), dict(zip(frame["id"], frame["variation_index"]))
+        known: dict[str, list[int]] = {}
+        for start in frame["id"]:
+            line, at = [], start
+            while at in up and at not in known and at not in line:
+                line.append(at)
+                at = up[at]
+            path = known.get(at, [])
+            for at in reversed(line):
+                path = known[at] = [*path, int(index[at])]
+        return pd.DataFrame({"id": frame["id"], "path": frame["id"].map(known), "label": frame["label"]})
+
+    shown = moves.select(*by, "id", "parent_id", "variation_index", move_label("ply", F.col("san")).alias("label"))
+    found = shown.groupBy(*by).applyInPandas(paths, f"id {dict(moves.dtypes)['id']}, path array<int>, label string")
+    return found.select("id", "path", F.size(F.filter("path", lambda v: v > 0)).alias("depth"), "label").orderBy("path", "id")
 
 
 def carried_forward(rows: DataFrame, group: list[str], order: list[str], value: Column, name: str = "carried") -> DataFrame:

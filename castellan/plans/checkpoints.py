@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -11,5 +13,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise in ``spark.checkpoint.dir``; a local folder only where none is named."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="castellan-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named:
+            named = tempfile.mkdtemp(prefix="castellan-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        sc.setCheckpointDir(named)
     return df.checkpoint(eager=True)

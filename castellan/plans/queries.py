@@ -745,7 +745,8 @@ def t13_printed_tree(spark, sf_dir):
     """Every move of the books, labelled, in depth-first order."""
     m = parsed_books(spark, sf_dir)["moves"]
     key = lambda c: F.concat_ws("/", "book_id", c)
-    return trees.printed_tree(m.withColumn("parent_id", F.when(F.col("parent_id").isNotNull(), key("parent_id"))).withColumn("id", key("id"))).select("id", "depth", "label")
+    m = m.withColumn("parent_id", F.when(F.col("parent_id").isNotNull(), key("parent_id"))).withColumn("id", key("id"))
+    return trees.printed_tree(m, ["book_id", "game_id"]).select("id", "depth", "label")
 
 
 @query()

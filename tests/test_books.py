@@ -89,7 +89,7 @@ def test_tree_lookups(spark):
     line = trees.line_to(m, m.where("id = 'm4'")).orderBy("depth")
     assert rows(line, "id") == [("m1",), ("m2",), ("m4",)]
     assert {r.parent: r.children for r in trees.children(m).collect()}["m1"] == ["m2", "m3"]
-    assert rows(trees.printed_tree(m), "id", "depth", "label") == [("m1", 0, "1. e4"), ("m2", 0, "1… e5"), ("m4", 0, "2. Nf3"), ("m5", 0, "2… Nc8"), ("m3", 1, "1… c5")]
+    assert rows(trees.printed_tree(m, ["book_id"]), "id", "depth", "label") == [("m1", 0, "1. e4"), ("m2", 0, "1… e5"), ("m4", 0, "2. Nf3"), ("m5", 0, "2… Nc8"), ("m3", 1, "1… c5")]
     assert sorted(rows(reader.annotated_pages(m), "page", "broken")) == [(12, 0), (13, 1)]
     assert reader.page_after(m, 13).first().next_page == 12 and reader.page_after(m, 12).first().next_page == 13
     up = {r.id: (r.tainted, r.distance) for r in trees.ancestors(m, "id", "parent_id", F.col("status") == "broken", F.col("id") == "m1").collect()}
