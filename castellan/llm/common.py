@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,7 +24,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="castellan-ckpt-"))
+        if not named:
+            named = tempfile.mkdtemp(prefix="castellan-ckpt-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        sc.setCheckpointDir(named)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -144,9 +150,6 @@ def stored(df: DataFrame) -> DataFrame:
     For larger intermediates than ``cut``: columns compress, and the reader
     knows their size. The folder is removed when the driver's Python ends.
     """
-    import atexit
-    import uuid
-
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     root = f"{spark.sparkContext.getCheckpointDir()}/castellan-{uuid.uuid4().hex}"

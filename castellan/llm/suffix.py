@@ -221,7 +221,8 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     classes = stored(classes)
     whole = classes.where("c > 1").select("key", "rh", F.array(F.lit(0)).alias("starts"), F.array("rep.n").alias("stops"))
 
-    hot = classes.where("open").groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > hot_regions).select("key", F.lit(True).alias("hot"))
+    hot = classes.where("open").groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > hot_regions).select("key")
+    hot = stored(hot).withColumn("hot", F.lit(True))
     undecided = classes.where("open").join(hot, "key", "left").select("key", "rh", "rep.*", F.coalesce("hot", F.lit(False)).alias("hot"))
     wanted = undecided.groupBy("doc_id", "th").agg(F.collect_list(F.struct("key", "rh", "a", "n", "d", "hot")).alias("want"))
     match = (docs.doc_id.eqNullSafe(F.col("w.doc_id"))) & (docs.th == F.col("w.th"))
