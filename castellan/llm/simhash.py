@@ -14,8 +14,8 @@ tiles hold documents of like numbers of shingles, since sets that are 0.8
 similar differ by at most that factor in size, and population counts of sorted
 sub-tiles still skip what they can.
 
-Within a task only a spanning forest of its links leaves, which keeps
-connectivity and bounds the rows. Null texts are empty. A document without
+A task's links leave it as stars, each row with the smallest of its group,
+which keeps connectivity and bounds the rows. Null texts are empty. A document without
 words has fingerprint zero and is linked like any other.
 """
 
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Forest, connected_components, cut, groups, texts
@@ -35,6 +35,7 @@ from .common import Forest, connected_components, cut, groups, texts
 SEED = 42
 CHUNK = 1 << 16  # shingles whose bits are unpacked at once
 TILE_ROWS = 1 << 16  # rows of a tile that one task compares with its neighbours
+SET_HASHES = 4_000_000  # shingle hashes of a tile that one task holds of either side
 SUB_A, SUB_B = 256, 4096
 LANE_STEP = 0x9E3779B97F4A7C15
 
@@ -109,15 +110,11 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return picked.mapInArrow(run, f"id {dict(picked.dtypes)['id']}, n long, " + ", ".join(f"f{k} long" for k in range(lanes)))
 
 
-def _links(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, radius: int, ratio: float, forest: Forest, at_a: np.ndarray, at_b: np.ndarray) -> list[tuple[int, int]]:
-    """Unite every pair (row of a, row of b) within ``radius`` bits and ``ratio`` in size; the pairs that united trees."""
-    used = []
-    pop_b = np.bitwise_count(b).sum(1, dtype=np.int64)
-    order = np.argsort(pop_b, kind="stable")
-    b, at_b, size_b, pop_b = b[order], at_b[order], size_b[order], pop_b[order]
-    pop_a = np.bitwise_count(a).sum(1, dtype=np.int64)
-    order = np.argsort(pop_a, kind="stable")
-    a, at_a, size_a, pop_a = a[order], at_a[order], size_a[order], pop_a[order]
+def _near(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, least: int, radius: int, ratio: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (row of a, row of b) over ``least`` and up to ``radius`` bits apart and within ``ratio`` in size, sub-tile by sub-tile."""
+    in_a, in_b = (np.argsort(np.bitwise_count(x).sum(1, dtype=np.int64), kind="stable") for x in (a, b))
+    a, b, size_a, size_b = a[in_a], b[in_b], size_a[in_a], size_b[in_b]
+    pop_a, pop_b = (np.bitwise_count(x).sum(1, dtype=np.int64) for x in (a, b))
     lanes = a.shape[1]
     early = min(2, lanes)
     for i in range(0, len(a), SUB_A):
@@ -129,24 +126,26 @@ def _links(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray,
             for k in range(1, early):
                 d = d + np.bitwise_count(x[:, None, k] ^ y[None, :, k])
             p, q = np.nonzero(d <= radius)
-            if len(p) and lanes > early:
-                near = np.bitwise_count(x[p] ^ y[q]).sum(1, dtype=np.int64) <= radius
+            if len(p) and (lanes > early or least >= 0):
+                whole = np.bitwise_count(x[p] ^ y[q]).sum(1, dtype=np.int64)
+                near = (whole <= radius) & (whole > least)
                 p, q = p[near], q[near]
             if len(p) and ratio > 0:
                 m, n = size_a[i + p], size_b[j + q]
                 near = np.minimum(m, n) >= ratio * np.maximum(m, n)
                 p, q = p[near], q[near]
-            u, v = at_a[i + p], at_b[j + q]
-            while len(u):
-                ru = np.fromiter(map(forest.find, u.tolist()), dtype=np.int64, count=len(u)) if len(u) < 2000 else _roots(forest, u)
-                rv = np.fromiter(map(forest.find, v.tolist()), dtype=np.int64, count=len(v)) if len(v) < 2000 else _roots(forest, v)
-                apart = ru != rv
-                u, v, ru, rv = u[apart], v[apart], ru[apart], rv[apart]
-                if not len(u):
-                    break
-                _, once = np.unique(ru, return_index=True)
-                used += [(int(u[s]), int(v[s])) for s in once.tolist() if forest.union(int(ru[s]), int(rv[s]))]
-    return used
+            if len(p):
+                yield in_a[i + p], in_b[j + q]
+
+
+def _unite(forest: Forest, u: np.ndarray, v: np.ndarray, agree=None) -> None:
+    """Unite the trees of pairs unless ``agree`` refuses; pairs within a tree are not looked at."""
+    for lo in range(0, len(u), 2048):
+        x, y = u[lo : lo + 2048], v[lo : lo + 2048]
+        apart = _roots(forest, x) != _roots(forest, y)
+        for i, j in zip(x[apart].tolist(), y[apart].tolist()):
+            if forest.find(i) != forest.find(j) and (agree is None or agree(i, j)):
+                forest.union(i, j)
 
 
 def _roots(forest: Forest, nodes: np.ndarray) -> np.ndarray:
@@ -154,31 +153,43 @@ def _roots(forest: Forest, nodes: np.ndarray) -> np.ndarray:
     return np.fromiter(map(forest.find, known.tolist()), dtype=np.int64, count=len(known))[back]
 
 
-def _compare(lanes: int, radius: int, ratio: float):
+def _compare(lanes: int, radius: int, ratio: float, similarity: float | None = None):
+    """Tasks of ``tiles`` to links (a, b); with a similarity, pairs are compared by their sets ``s``, closer ones first."""
     names = [f"f{k}" for k in range(lanes)]
-    # Closer pairs first, so that a forest of wide links holds everybody's nearest.
-    passes = [radius] if ratio == 0 else [radius * 3 // 5, radius * 4 // 5, radius]
+    bounds = [-1, radius] if similarity is None else [-1, radius * 3 // 5, radius * 4 // 5, radius]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _, g in groups(frames, ["tile", "i", "j"]):
             home = g["side"].to_numpy() == 0
             if home.all() or not home.any():
                 continue
-            rep = g["rep"].to_numpy()
-            ids, at = np.unique(rep, return_inverse=True)
-            prints = g[names].to_numpy().view(np.uint64)
-            n = g["n"].to_numpy()
+            ids, first, at = np.unique(g["rep"].to_numpy(), return_index=True, return_inverse=True)
+            prints, n = g[names].to_numpy().view(np.uint64), g["n"].to_numpy()
+            agree = None
+            if similarity is not None:
+                sets = g["s"].to_numpy()[first]
+                agree = lambda x, y, sets=sets: jaccard(sets[x], sets[y]) >= similarity
             forest = Forest(len(ids))
-            used = []
-            for r in passes:
-                used += _links(prints[home], prints[~home], n[home], n[~home], r, ratio, forest, at[home], at[~home])
-            if used:
-                ends = ids[np.array(used)]
-                yield pd.DataFrame({"a": ends[:, 0], "b": ends[:, 1]})
+            for least, most in zip(bounds, bounds[1:]):
+                for p, q in _near(prints[home], prints[~home], n[home], n[~home], least, most, ratio):
+                    _unite(forest, at[home][p], at[~home][q], agree)
+            root = np.fromiter(map(forest.find, range(len(ids))), dtype=np.int64, count=len(ids))
+            moved = np.flatnonzero(root != np.arange(len(ids)))
+            if len(moved):
+                yield pd.DataFrame({"a": ids[moved], "b": ids[root[moved]]})
 
     return run
 
 
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """Similarity of two sorted sets; empty ones are alike."""
+    if not len(x) or not len(y):
+        return float(len(x) == len(y))
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    both = int((y[at] == x).sum())
+    return both / (len(x) + len(y) - both)
+
+
 def half_ball(dims: int, radius: int) -> list[tuple[int, ...]]:
     """Offsets with absolute sum up to ``radius`` whose first non-zero entry is positive."""
     out = []
@@ -188,36 +199,46 @@ def half_ball(dims: int, radius: int) -> list[tuple[int, ...]]:
     return out
 
 
-def links(reps: DataFrame, lanes: int, radius: int, ratio: float = 0.0, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """Spanning links (a, b) between representatives (rep, n, f0, ..) within ``radius`` bits.
+def tiles(reps: DataFrame, lanes: int, radius: int, ratio: float, load: Column, most: int) -> DataFrame:
+    """Representatives (rep, n, f0, .., more) dealt to the tasks that compare them, sorted by task.
 
-    With ``ratio`` above 0 a link also needs sizes n within that factor, and
-    tiles go by size; else they go by population counts of 16-bit blocks.
-    Ids are longs.
+    Rows of side 0 are at home in their tile, rows of side 1 are compared with
+    them: the tile's own rows and guests from the neighbouring tiles of one half
+    of the ball. A tile whose ``load`` sums to over ``most`` is split into
+    blocks, and every pair of blocks is a task.
     """
     if ratio > 0:
         tile = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.log(F.lit(1 / ratio))).cast("long")
         offsets = [1]
     else:
-        blocks = [(k, s) for k in range(lanes) for s in (0, 16, 32, 48)][:4] if lanes == 1 else [(k, None) for k in range(lanes)]
+        blocks = [(0, s) for s in (0, 16, 32, 48)] if lanes == 1 else [(k, None) for k in range(lanes)]
         step = 2 * radius + 70
         counts = [F.bit_count(F.col(f"f{k}") if s is None else F.shiftrightunsigned(f"f{k}", s).bitwiseAND(0xFFFF)).cast("long") + radius for k, s in blocks]
         tile = sum((c * step**k for k, c in enumerate(counts)), F.lit(0).cast("long"))
         offsets = [sum(x * step**k for k, x in enumerate(o)) for o in half_ball(len(blocks), radius)]
+    cols = reps.columns
     base = cut(reps.withColumn("tile", tile))
-    most = base.groupBy("tile").count().agg(F.max("count")).first()[0] or 0
-    g = max(1, -(-most // tile_rows))
+    heaviest = base.groupBy("tile").agg(F.sum(load).alias("load")).agg(F.max("load")).first()[0] or 0
+    g = max(1, -(-int(heaviest) // most))
     block = F.pmod(F.xxhash64("rep"), F.lit(g)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(g - 1)))
-    cols = ["rep", "n", *(f"f{k}" for k in range(lanes))]
     home = base.select(*cols, "tile", block.alias("i"), every.alias("j"), F.lit(0).alias("side"))
     own = base.select(*cols, "tile", every.alias("i"), block.alias("j"), F.lit(1).alias("side")).where("i <= j")
     guest = base.select(*cols, "tile", block.alias("j"), F.explode(F.array(*(F.lit(o).cast("long") for o in offsets))).alias("o"))
     guest = guest.select(*cols, (F.col("tile") - F.col("o")).alias("tile"), every.alias("i"), "j", F.lit(1).alias("side"))
     # A guest is of use only where a tile has residents.
     guest = guest.join(base.select("tile").distinct(), "tile", "left_semi").select(*cols, "tile", "i", "j", "side")
-    dealt = home.union(own).union(guest).repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j", "side", "rep")
-    return dealt.mapInPandas(_compare(lanes, radius, ratio), "a long, b long")
+    return home.union(own).union(guest).repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j", "side", "rep")
+
+
+def links(reps: DataFrame, lanes: int, radius: int, ratio: float = 0.0, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """Spanning links (a, b) between representatives (rep, n, f0, ..) within ``radius`` bits.
+
+    With ``ratio`` above 0 a link also needs sizes n within that factor, and
+    tiles go by size; else they go by population counts of 16-bit blocks.
+    Ids are longs.
+    """
+    return tiles(reps, lanes, radius, ratio, F.lit(1), tile_rows).mapInPandas(_compare(lanes, radius, ratio), "a long, b long")
 
 
 def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, lanes: int = 1, radius: int = 2, ratio: float = 0.0) -> DataFrame:
@@ -244,47 +265,40 @@ def radius_for(similarity: float, bits: int, deviations: float) -> int:
     return int(bits * p + deviations * (bits * p * (1 - p)) ** 0.5)
 
 
-def similar(edges: DataFrame, df: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
-    """The edges (a, b) whose ends' sets of shingles are that similar by Jaccard."""
+def sets(df: DataFrame, ends: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(id, s): the sorted set of shingle hashes of the documents whose id is in ``ends``."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 128):
                 part = whole.slice(lo, 128)
-                held = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in texts(part, "text")]
+                held = [np.sort(np.unique(shingle_hashes(t, words)).view(np.int64)) for t in texts(part, "text")]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(held, pa.list_(pa.int64()))], names=["id", "s"])
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    ends = edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct()
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(ends, "id", "left_semi")
-    held = docs.mapInArrow(sets, "id long, s array<long>")
-    x, y = held.select(F.col("id").alias("a"), F.col("s").alias("x")), held.select(F.col("id").alias("b"), F.col("s").alias("y"))
-    return edges.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(judge, "a long, b long")
+    return docs.mapInArrow(run, "id long, s array<long>")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, lanes: int = 4, deviations: float = 3.0) -> DataFrame:
     """The rows of ``df`` of which each group of near-duplicates keeps the smallest id.
 
-    Pairs of like sizes whose ``64 * lanes`` bit fingerprints are as close as
-    sets of that Jaccard similarity are, give or take ``deviations`` standard
-    deviations, span a forest in which closer pairs come first. The shingle
-    sets of each of its edges are compared, and edges that reach the similarity
-    make the groups. Ids are longs; rows with a null id stay.
+    Candidates are pairs of like sizes whose ``64 * lanes`` bit fingerprints are
+    as close as sets of that Jaccard similarity are, give or take ``deviations``
+    standard deviations. A first pass over the tiles finds the documents that
+    have any. Those few are tiled again with their sets of shingles, and each
+    candidate pair that its task has not yet united is compared exactly, closer
+    pairs first. Ids are longs; rows with a null id stay.
     """
     radius = radius_for(similarity, 64 * lanes, deviations)
     names = [f"f{k}" for k in range(lanes)]
     prints = cut(fingerprints(df, id_col, text_col, words, lanes))
     reps = cut(prints.where("id is not null").groupBy(*names, "n").agg(F.min("id").alias("rep")))
-    equal = prints.join(reps, [*names, "n"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    found = cut(equal.union(links(reps.select("rep", "n", *names), lanes, radius, similarity)).distinct())
-    groups_ = connected_components(similar(found, df, id_col, text_col, words, similarity))
+    equal = cut(prints.join(reps, [*names, "n"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct())
+    found = links(reps.select("rep", "n", *names), lanes, radius, similarity)
+    ends = cut(found.select(F.col("a").alias("id")).union(found.select(F.col("b").alias("id"))).distinct())
+    whole = sets(df, ends, id_col, text_col, words).join(reps.withColumnRenamed("rep", "id"), "id").withColumnRenamed("id", "rep")
+    near = tiles(whole.select("rep", "n", *names, "s"), lanes, radius, similarity, F.size("s"), SET_HASHES)
+    edges = near.mapInPandas(_compare(lanes, radius, similarity, similarity), "a long, b long").union(equal)
+    groups_ = connected_components(edges)
     gone = groups_.where("node <> component").select(F.col("node").alias("__gone"))
     return df.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
