@@ -30,9 +30,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(named)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
+def cut(df: DataFrame, rows: int | None = None, per_file: int = 100_000) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
+
+    With a bound on its ``rows``, it goes into as few files as hold ``per_file``
+    rows each: many partitions of a small table would be as many files.
+    """
     ensure_checkpoint_dir(df.sparkSession)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // per_file)))
     return df.checkpoint(eager=True)
 
 
@@ -111,8 +117,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     fold = lambda e: e.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     current = cut(fold(edges))
     nodes = current.select(F.col("a").alias("node")).union(current.select(F.col("b").alias("node"))).distinct()
-    nodes = cut(nodes)
-    before = None
+    before, n = None, current.count()
+    nodes = cut(nodes, 2 * n)
     for _ in range(max_rounds):
         both = current.union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -121,11 +127,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("x"), "a", "m")
         small = small.select(F.col("x").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b")))
-        current = cut(fold(small))
+        current = cut(fold(small), 2 * n)
         now = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
-        before = now
+        before, n = now, now[0]
     else:
         raise RuntimeError("components did not settle")
     stars = current.groupBy("a").agg(F.min("b").alias("b"))
@@ -144,15 +150,19 @@ def once(make: Callable):
     return get
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, rows: int | None = None, per_file: int = 200_000) -> DataFrame:
     """``df`` written as Parquet into the shared checkpoint folder and read again.
 
+    A bound on its ``rows`` limits the number of files, as in ``cut``.
+
     For larger intermediates than ``cut``: columns compress, and the reader
     knows their size. The folder is removed when the driver's Python ends.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     root = f"{spark.sparkContext.getCheckpointDir()}/castellan-{uuid.uuid4().hex}"
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // per_file)))
     df.write.parquet(root)
 
     def remove() -> None:

@@ -112,7 +112,8 @@ def verdicts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host
     """(id, th, host, counts, base_failed, kept) of every row."""
     rows = cut(measured(df, id_col, text_col, host_col))
     # Cut, so that the join reads two plain exchanges and a hot host can be split.
-    verdict = cut(host_verdicts(rows).select(F.col("host").alias("__host"), "host_ok"))
+    verdict = host_verdicts(rows).select(F.col("host").alias("__host"), "host_ok")
+    verdict = cut(verdict, rows.select("host").distinct().count())
     return rows.join(verdict, rows.host == F.col("__host"), "left").select("id", "th", "host", *COUNTS, "base_failed", (~F.col("base_failed") & F.coalesce("host_ok", F.lit(True))).alias("kept"))
 
 

@@ -199,7 +199,7 @@ def half_ball(dims: int, radius: int) -> list[tuple[int, ...]]:
     return out
 
 
-def tiles(reps: DataFrame, lanes: int, radius: int, ratio: float, load: Column, most: int) -> DataFrame:
+def tiles(reps: DataFrame, lanes: int, radius: int, ratio: float, load: Column, most: int, rows: int | None = None, per_file: int = 100_000) -> DataFrame:
     """Representatives (rep, n, f0, .., more) dealt to the tasks that compare them, sorted by task.
 
     Rows of side 0 are at home in their tile, rows of side 1 are compared with
@@ -217,7 +217,7 @@ def tiles(reps: DataFrame, lanes: int, radius: int, ratio: float, load: Column,
         tile = sum((c * step**k for k, c in enumerate(counts)), F.lit(0).cast("long"))
         offsets = [sum(x * step**k for k, x in enumerate(o)) for o in half_ball(len(blocks), radius)]
     cols = reps.columns
-    base = cut(reps.withColumn("tile", tile))
+    base = cut(reps.withColumn("tile", tile), rows, per_file)
     heaviest = base.groupBy("tile").agg(F.sum(load).alias("load")).agg(F.max("load")).first()[0] or 0
     g = max(1, -(-int(heaviest) // most))
     block = F.pmod(F.xxhash64("rep"), F.lit(g)).cast("int")
@@ -231,14 +231,14 @@ def tiles(reps: DataFrame, lanes: int, radius: int, ratio: float, load: Column,
     return home.union(own).union(guest).repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j", "side", "rep")
 
 
-def links(reps: DataFrame, lanes: int, radius: int, ratio: float = 0.0, tile_rows: int = TILE_ROWS) -> DataFrame:
+def links(reps: DataFrame, lanes: int, radius: int, ratio: float = 0.0, tile_rows: int = TILE_ROWS, rows: int | None = None) -> DataFrame:
     """Spanning links (a, b) between representatives (rep, n, f0, ..) within ``radius`` bits.
 
     With ``ratio`` above 0 a link also needs sizes n within that factor, and
     tiles go by size; else they go by population counts of 16-bit blocks.
     Ids are longs.
     """
-    return tiles(reps, lanes, radius, ratio, F.lit(1), tile_rows).mapInPandas(_compare(lanes, radius, ratio), "a long, b long")
+    return tiles(reps, lanes, radius, ratio, F.lit(1), tile_rows, rows).mapInPandas(_compare(lanes, radius, ratio), "a long, b long")
 
 
 def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, lanes: int = 1, radius: int = 2, ratio: float = 0.0) -> DataFrame:
@@ -251,8 +251,9 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     names = [f"f{k}" for k in range(lanes)]
     by = names + (["n"] if ratio > 0 else [])
     folded = prints.where("id is not null").groupBy(*by).agg(F.min("id").alias("rep"), *([] if ratio > 0 else [F.max("n").alias("n")]))
-    reps = cut(folded)
-    found = connected_components(links(reps.select("rep", "n", *names), lanes, radius, ratio))
+    total = prints.count()
+    reps = cut(folded, total)
+    found = connected_components(links(reps.select("rep", "n", *names), lanes, radius, ratio, rows=total))
     # One id may have several texts; its classes are joined through the id itself.
     named = reps.join(found, reps.rep == found.node, "left").select(*by, F.coalesce("component", "rep").alias("component"))
     return prints.join(named, by).select("id", "n", *names, F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
@@ -292,12 +293,13 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     radius = radius_for(similarity, 64 * lanes, deviations)
     names = [f"f{k}" for k in range(lanes)]
     prints = cut(fingerprints(df, id_col, text_col, words, lanes))
-    reps = cut(prints.where("id is not null").groupBy(*names, "n").agg(F.min("id").alias("rep")))
-    equal = cut(prints.join(reps, [*names, "n"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct())
-    found = links(reps.select("rep", "n", *names), lanes, radius, similarity)
-    ends = cut(found.select(F.col("a").alias("id")).union(found.select(F.col("b").alias("id"))).distinct())
+    total = prints.count()
+    reps = cut(prints.where("id is not null").groupBy(*names, "n").agg(F.min("id").alias("rep")), total)
+    equal = cut(prints.join(reps, [*names, "n"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct(), total)
+    found = links(reps.select("rep", "n", *names), lanes, radius, similarity, rows=total)
+    ends = cut(found.select(F.col("a").alias("id")).union(found.select(F.col("b").alias("id"))).distinct(), total)
     whole = sets(df, ends, id_col, text_col, words).join(reps.withColumnRenamed("rep", "id"), "id").withColumnRenamed("id", "rep")
-    near = tiles(whole.select("rep", "n", *names, "s"), lanes, radius, similarity, F.size("s"), SET_HASHES)
+    near = tiles(whole.select("rep", "n", *names, "s"), lanes, radius, similarity, F.size("s"), SET_HASHES, ends.count(), 2_000)
     edges = near.mapInPandas(_compare(lanes, radius, similarity, similarity), "a long, b long").union(equal)
     groups_ = connected_components(edges)
     gone = groups_.where("node <> component").select(F.col("node").alias("__gone"))
