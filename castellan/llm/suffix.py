@@ -213,22 +213,23 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     """
     docs = documents(df, id_col, text_col)
     occ = stored(docs.select("doc_id", "th", "text").mapInArrow(_occurrences(length), OCCURRENCE))
+    total = occ.count()
     keys = occ.groupBy("key").agg(F.count("*").alias("c"), F.min("rh").alias("lo"), F.max("rh").alias("hi")).where("c > 1")
     # Stored, so that the join below reads two plain exchanges and a hot anchor can be split.
-    keys = stored(keys.select("key", (F.col("lo") != F.col("hi")).alias("open")))
-    again = stored(occ.join(keys, "key"))
+    keys = stored(keys.select("key", (F.col("lo") != F.col("hi")).alias("open")), total)
+    again = stored(occ.join(keys, "key"), total)
     classes = again.groupBy("key", "rh", "open").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "th", "a", "n", "d")).alias("rep"))
-    classes = stored(classes)
+    classes = stored(classes, total)
     whole = classes.where("c > 1").select("key", "rh", F.array(F.lit(0)).alias("starts"), F.array("rep.n").alias("stops"))
 
     hot = classes.where("open").groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > hot_regions).select("key")
-    hot = stored(hot).withColumn("hot", F.lit(True))
+    hot = stored(hot, classes.count()).withColumn("hot", F.lit(True))
     undecided = classes.where("open").join(hot, "key", "left").select("key", "rh", "rep.*", F.coalesce("hot", F.lit(False)).alias("hot"))
     wanted = undecided.groupBy("doc_id", "th").agg(F.collect_list(F.struct("key", "rh", "a", "n", "d", "hot")).alias("want"))
     match = (docs.doc_id.eqNullSafe(F.col("w.doc_id"))) & (docs.th == F.col("w.th"))
     # Rows that repeat id and text all match; one of them is enough.
     sliced = docs.join(wanted.alias("w"), match).select("text", "want").mapInArrow(_slices(length), "key bigint, rh bigint, d int, region binary, hot boolean")
-    sliced = stored(sliced.dropDuplicates(["key", "rh"]))
+    sliced = stored(sliced.dropDuplicates(["key", "rh"]), undecided.count(), 10_000)
     cold = sliced.where("not hot").select("key", "rh", "d", "region").repartition("key").sortWithinPartitions("key", "rh")
     by_array = cold.mapInPandas(_shards(length), "key bigint, rh bigint, starts array<int>, stops array<int>")
     windows = sliced.where("hot").select("key", "rh", "region").mapInArrow(_windows(length), "key bigint, rh bigint, at int, w binary")
