@@ -9,10 +9,14 @@ the differences of their counts: tile pairs beyond that are skipped, all other
 pairs are compared exactly with numpy exclusive-or and bit counts.
 
 Narrow radii tile by the population counts of four 16-bit blocks, which prunes
-far more than the whole count. Wide radii prune nothing that way; there the
-tiles hold documents of like numbers of shingles, since sets that are 0.8
-similar differ by at most that factor in size, and population counts of sorted
-sub-tiles still skip what they can.
+far more than the whole count. Wide radii prune nothing that way, and a cut of
+the radius loses pairs. ``keep_one`` therefore works on sets: its fingerprints
+and sizes are those of the distinct shingles, its tiles hold sets of like sizes,
+since sets that are 0.8 similar differ by at most that factor in size, and its
+candidates are decided by parity bitmaps. Each element flips one bit of its
+set's bitmap, so two bitmaps differ in at most as many bits as the sets have
+elements that are in one of them only. That number is bounded by the similarity
+and the sizes, so no similar pair is lost.
 
 A task's links leave it as stars, each row with the smallest of its group,
 which keeps connectivity and bounds the rows. Null texts are empty. A document without
@@ -37,6 +41,9 @@ CHUNK = 1 << 16  # shingles whose bits are unpacked at once
 TILE_ROWS = 1 << 16  # rows of a tile that one task compares with its neighbours
 SET_HASHES = 4_000_000  # shingle hashes of a tile that one task holds of either side
 SUB_A, SUB_B = 256, 4096
+BITMAP_A, BITMAP_B = 64, 2048  # the same for bitmaps, which have more lanes
+BITMAP_LEAST = 256  # bits
+SLACK = 1e-6  # for bounds in floating point, which may admit a pair too many
 LANE_STEP = 0x9E3779B97F4A7C15
 
 
@@ -110,6 +117,37 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return picked.mapInArrow(run, f"id {dict(picked.dtypes)['id']}, n long, " + ", ".join(f"f{k} long" for k in range(lanes)))
 
 
+def parity_bitmap(h: np.ndarray) -> bytes:
+    """A bit for each place, odd numbers of elements set it; 0.7 to 1.4 bits an element and 256 bits at least.
+
+    The places are the lowest bits of the elements, so the exclusive-or of both
+    halves of a bitmap is the bitmap of half the size.
+    """
+    bits = BITMAP_LEAST
+    while bits < 0.7 * len(h):
+        bits *= 2
+    odd = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def set_prints(df: DataFrame, id_col: str, text_col: str, words: int, lanes: int) -> DataFrame:
+    """(id, n, f0, .., same, p): size, fingerprint, digest and parity bitmap of every row's set of shingles."""
+    import xxhash
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 128):
+                part = whole.slice(lo, 128)
+                held = [np.unique(shingle_hashes(t, words)) for t in texts(part, "text")]
+                prints = [majority([lane(h, k) for h in held]).view(np.int64) for k in range(lanes)]
+                same = np.array([xxhash.xxh64_intdigest(h.astype("<u8").tobytes(), SEED) for h in held], dtype=np.uint64).view(np.int64)
+                columns = [part.column(0), pa.array([len(h) for h in held], pa.int64()), *map(pa.array, prints), pa.array(same), pa.array([parity_bitmap(h) for h in held], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "n", *(f"f{k}" for k in range(lanes)), "same", "p"])
+
+    picked = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return picked.mapInArrow(run, f"id {dict(picked.dtypes)['id']}, n long, " + "".join(f"f{k} long, " for k in range(lanes)) + "same long, p binary")
+
+
 def _near(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, least: int, radius: int, ratio: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (row of a, row of b) over ``least`` and up to ``radius`` bits apart and within ``ratio`` in size, sub-tile by sub-tile."""
     in_a, in_b = (np.argsort(np.bitwise_count(x).sum(1, dtype=np.int64), kind="stable") for x in (a, b))
@@ -153,30 +191,103 @@ def _roots(forest: Forest, nodes: np.ndarray) -> np.ndarray:
     return np.fromiter(map(forest.find, known.tolist()), dtype=np.int64, count=len(known))[back]
 
 
-def _compare(lanes: int, radius: int, ratio: float, similarity: float | None = None):
-    """Tasks of ``tiles`` to links (a, b); with a similarity, pairs are compared by their sets ``s``, closer ones first."""
+def _bitmaps(p: list[bytes]) -> np.ndarray:
+    """A row of 64-bit lanes for each bitmap, all folded to the shortest."""
+    sizes = np.fromiter(map(len, p), dtype=np.int64, count=len(p))
+    least = int(sizes.min())
+    out = np.empty((len(p), least // 8), dtype=np.uint64)
+    for size in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == size)
+        held = np.frombuffer(b"".join(p[k] for k in at.tolist()), dtype=np.uint64)
+        out[at] = np.bitwise_xor.reduce(held.reshape(len(at), size // least, least // 8), axis=1)
+    return out
+
+
+def _alike(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, similarity: float, upward: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (row of a, row of b) that sizes and bitmaps allow to be ``similarity`` alike; ``upward`` leaves out larger rows of a.
+
+    A pair is dropped early where its first lanes already differ in more bits
+    than the pairs of its sub-tile may.
+    """
+    in_a, in_b = np.argsort(size_a, kind="stable"), np.argsort(size_b, kind="stable")
+    a, b, size_a, size_b = a[in_a], b[in_b], size_a[in_a], size_b[in_b]
+    columns = np.ascontiguousarray(b.T)
+    share = (1 - similarity) / (1 + similarity)
+    for i in range(0, len(a), BITMAP_A):
+        x, m = a[i : i + BITMAP_A], size_a[i : i + BITMAP_A]
+        first = np.searchsorted(size_b, m[0] if upward else m[0] * similarity - SLACK)
+        last = np.searchsorted(size_b, m[-1] / similarity + SLACK, "right")
+        for j in range(first, last, BITMAP_B):
+            till = min(j + BITMAP_B, last)
+            n = size_b[j:till]
+            top = share * (m[-1] + n[-1]) + SLACK
+            early = 1
+            while early < a.shape[1] and 32 * early - 16 * early**0.5 <= top:
+                early += 1
+            d = np.zeros((len(x), till - j), dtype=np.uint16 if early < 1000 else np.uint32)
+            for k in range(early):
+                d += np.bitwise_count(x[:, k, None] ^ columns[None, k, j:till])
+            p, q = np.nonzero(d <= top)
+            if len(p):
+                whole = np.bitwise_count(x[p] ^ b[j + q]).sum(1, dtype=np.int64)
+                fits = (whole <= share * (m[p] + n[q]) + SLACK) & (np.minimum(m[p], n[q]) >= similarity * np.maximum(m[p], n[q]) - SLACK)
+                if fits.any():
+                    yield in_a[i + p[fits]], in_b[j + q[fits]]
+
+
+def _compare_sets(similarity: float, lanes: int = 0, radius: int = 0):
+    """Tasks of ``tiles`` to links (a, b) of pairs that bitmaps ``p`` allow; with lanes, only of pairs whose sets ``s`` are alike, closer fingerprints first."""
     names = [f"f{k}" for k in range(lanes)]
-    bounds = [-1, radius] if similarity is None else [-1, radius * 3 // 5, radius * 4 // 5, radius]
+    bounds = [-1, radius * 3 // 5, radius * 4 // 5, radius, 64 * lanes]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, g in groups(frames, ["tile", "i", "j"]):
+        for (_, i, j), g in groups(frames, ["tile", "i", "j"]):
             home = g["side"].to_numpy() == 0
             if home.all() or not home.any():
                 continue
             ids, first, at = np.unique(g["rep"].to_numpy(), return_index=True, return_inverse=True)
-            prints, n = g[names].to_numpy().view(np.uint64), g["n"].to_numpy()
-            agree = None
-            if similarity is not None:
-                sets = g["s"].to_numpy()[first]
+            maps, n = _bitmaps(g["p"].tolist()), g["n"].to_numpy()
+            forest = Forest(len(ids))
+            pairs = lambda: _alike(maps[home], maps[~home], n[home], n[~home], similarity, i == j)  # noqa: B023, E731
+            if not lanes:
+                for p, q in pairs():
+                    _unite(forest, at[home][p], at[~home][q])
+            else:
+                prints, sets = g[names].to_numpy().view(np.uint64), g["s"].to_numpy()[first]
+                one, two = prints[home], prints[~home]
                 agree = lambda x, y, sets=sets: jaccard(sets[x], sets[y]) >= similarity
+                for least, most in zip(bounds, bounds[1:]):
+                    for p, q in pairs():
+                        d = np.bitwise_count(one[p] ^ two[q]).sum(1, dtype=np.int64)
+                        turn = (d > least) & (d <= most)
+                        _unite(forest, at[home][p[turn]], at[~home][q[turn]], agree)
+            yield from _stars(forest, ids)
+
+    return run
+
+
+def _stars(forest: Forest, ids: np.ndarray) -> Iterator[pd.DataFrame]:
+    root = np.fromiter(map(forest.find, range(len(ids))), dtype=np.int64, count=len(ids))
+    moved = np.flatnonzero(root != np.arange(len(ids)))
+    if len(moved):
+        yield pd.DataFrame({"a": ids[moved], "b": ids[root[moved]]})
+
+
+def _compare(lanes: int, radius: int, ratio: float):
+    """Tasks of ``tiles`` to links (a, b)."""
+    names = [f"f{k}" for k in range(lanes)]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, g in groups(frames, ["tile", "i", "j"]):
+            home = g["side"].to_numpy() == 0
+            if home.all() or not home.any():
+                continue
+            ids, at = np.unique(g["rep"].to_numpy(), return_inverse=True)
+            prints, n = g[names].to_numpy().view(np.uint64), g["n"].to_numpy()
             forest = Forest(len(ids))
-            for least, most in zip(bounds, bounds[1:]):
-                for p, q in _near(prints[home], prints[~home], n[home], n[~home], least, most, ratio):
-                    _unite(forest, at[home][p], at[~home][q], agree)
-            root = np.fromiter(map(forest.find, range(len(ids))), dtype=np.int64, count=len(ids))
-            moved = np.flatnonzero(root != np.arange(len(ids)))
-            if len(moved):
-                yield pd.DataFrame({"a": ids[moved], "b": ids[root[moved]]})
+            for p, q in _near(prints[home], prints[~home], n[home], n[~home], -1, radius, ratio):
+                _unite(forest, at[home][p], at[~home][q])
+            yield from _stars(forest, ids)
 
     return run
 
@@ -283,24 +394,27 @@ def sets(df: DataFrame, ends: DataFrame, id_col: str, text_col: str, words: int)
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, lanes: int = 4, deviations: float = 3.0) -> DataFrame:
     """The rows of ``df`` of which each group of near-duplicates keeps the smallest id.
 
-    Candidates are pairs of like sizes whose ``64 * lanes`` bit fingerprints are
-    as close as sets of that Jaccard similarity are, give or take ``deviations``
-    standard deviations. A first pass over the tiles finds the documents that
+    Candidates are all pairs whose sizes and parity bitmaps do not rule that
+    Jaccard similarity out. A first pass over the tiles finds the documents that
     have any. Those few are tiled again with their sets of shingles, and each
-    candidate pair that its task has not yet united is compared exactly, closer
-    pairs first. Ids are longs; rows with a null id stay.
+    candidate pair that its task has not yet united is compared exactly, in the
+    order of ``64 * lanes`` bit fingerprints: first those as close as sets of
+    that similarity are, give or take ``deviations`` standard deviations, then
+    the rest. Ids are longs; rows with a null id stay.
     """
     radius = radius_for(similarity, 64 * lanes, deviations)
     names = [f"f{k}" for k in range(lanes)]
-    prints = cut(fingerprints(df, id_col, text_col, words, lanes))
+    prints = cut(set_prints(df, id_col, text_col, words, lanes))
     total = prints.count()
-    reps = cut(prints.where("id is not null").groupBy(*names, "n").agg(F.min("id").alias("rep")), total)
-    equal = cut(prints.join(reps, [*names, "n"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct(), total)
-    found = links(reps.select("rep", "n", *names), lanes, radius, similarity, rows=total)
+    by = [*names, "n", "same"]
+    reps = cut(prints.where("id is not null").groupBy(*by).agg(F.min("id").alias("rep"), F.first("p").alias("p")), total)
+    equal = cut(prints.join(reps.drop("p"), by).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct(), total)
+    weight = F.sqrt(F.length("p") / 64)  # a task's work grows with the bits and the square of the rows
+    found = tiles(reps.select("rep", "n", "p"), lanes, radius, similarity, weight, TILE_ROWS, total).mapInPandas(_compare_sets(similarity), "a long, b long")
     ends = cut(found.select(F.col("a").alias("id")).union(found.select(F.col("b").alias("id"))).distinct(), total)
     whole = sets(df, ends, id_col, text_col, words).join(reps.withColumnRenamed("rep", "id"), "id").withColumnRenamed("id", "rep")
-    near = tiles(whole.select("rep", "n", *names, "s"), lanes, radius, similarity, F.size("s"), SET_HASHES, ends.count(), 2_000)
-    edges = near.mapInPandas(_compare(lanes, radius, similarity, similarity), "a long, b long").union(equal)
+    near = tiles(whole.select("rep", "n", *names, "p", "s"), lanes, radius, similarity, F.size("s"), SET_HASHES, ends.count(), 2_000)
+    edges = near.mapInPandas(_compare_sets(similarity, lanes, radius), "a long, b long").union(equal)
     groups_ = connected_components(edges)
     gone = groups_.where("node <> component").select(F.col("node").alias("__gone"))
     return df.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")

@@ -168,6 +168,40 @@ def test_near_copies_go_and_others_stay(spark):
     assert kept == {d for d, _ in rows} - near
 
 
+def test_near_copies_that_repeat_a_line_go(spark):
+    r = random.Random(3)
+    words = lambda n: " ".join(f"w{r.randrange(100_000)}" for _ in range(n))
+    rows, near = [], set()
+    for k in range(40):
+        body, line = words((300, 1000)[k % 2]), words(10)
+        rows += [(10 * k, f"{body}\n{line}"), (10 * k + 1, "\n".join([body] + [line] * (7 + k % 6)))]
+        near.add(10 * k + 1)
+    kept = {x.doc_id for x in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {d for d, _ in rows} - near
+
+
+def test_candidates_lose_no_pair(spark):
+    """Pairs about the bound, found as by brute force."""
+    r = random.Random(4)
+    rows = []
+    for k in range(120):
+        base = [f"w{r.randrange(100_000)}" for _ in range(r.choice((24, 60, 250, 357, 600)))]
+        rows.append((10 * k, " ".join(base)))
+        for c in range(3):
+            n = len(base) - 4
+            at, copy = r.randrange(len(base)), base[:]
+            copy[at:at] = [f"w{r.randrange(100_000)}" for _ in range(max(1, round(n * r.uniform(0.08, 0.27)) - 4))]
+            rows.append((10 * k + 1 + c, " ".join(copy)))
+    sets = {d: set(simhash.shingle_hashes(t.encode(), 5).tolist()) for d, t in rows}
+    forest = common.Forest(2000)
+    for a in sets:
+        for b in range(a // 10 * 10, a):
+            if b in sets and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                forest.union(a, b)
+    kept = {x.doc_id for x in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {d for d in sets if forest.find(d) == d} and 130 < len(kept) < 470
+
+
 def test_connected_components(spark):
     r = random.Random(2)
     edges = [(k, k + 1) for k in range(100, 160)] + [(r.randrange(1000, 1400), r.randrange(1000, 1400)) for _ in range(300)] + [(5000, 5000 + k) for k in range(50)] + [(7, 7)]
