@@ -1,16 +1,17 @@
 """Suffix arrays by induced sorting, and permuted longest common prefixes.
 
-The text's level is vectorised: suffixes are classified by whole runs, buckets
-are filled in waves, and leftmost-smaller substrings are named by ragged
-comparison. The reduced string, whose alphabet is as large as itself, recurses
-on plain integers.
+All levels are vectorised. Suffixes are classified by whole runs. On the text's
+level buckets are filled in waves, and leftmost-smaller substrings are named by
+ragged comparison. The reduced strings, whose alphabets are as large as
+themselves, recurse with all buckets at once.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-SMALL_ALPHABET = 1024
+#: Alphabets beyond this go without a step for each bucket.
+MOST_BUCKETS = 1024
 
 
 def classify(s: np.ndarray) -> np.ndarray:
@@ -121,71 +122,60 @@ def _names(s: np.ndarray, lms: np.ndarray, order: np.ndarray) -> tuple[np.ndarra
     return out, int(name[-1]) + 1
 
 
-def _plain(s: list[int], sigma: int) -> list[int]:
-    """Induced sorting of integers whose last one is the unique smallest."""
+def _ranked(s: np.ndarray) -> np.ndarray:
+    """Suffix array of a reduced string: integers whose last one is the unique smallest.
+
+    Its alphabet is about as large as itself, so filling bucket after bucket
+    would take a step of Python each. All buckets are induced at once instead.
+    A suffix is its factor, the characters with their types up to the next
+    leftmost-smaller position, and then the suffix there. No factor is a proper
+    beginning of another, so suffixes sort by factor, then by the rank of the
+    leftmost-smaller suffix that follows. Factors get their names by doubling;
+    the names of leftmost-smaller factors are the next reduced string.
+    """
     n = len(s)
     if n == 1:
-        return [0]
-    smaller = bytearray(n)
-    smaller[n - 1] = 1
-    for i in range(n - 2, -1, -1):
-        smaller[i] = s[i] < s[i + 1] or (s[i] == s[i + 1] and smaller[i + 1])
-    sizes = np.bincount(np.array(s), minlength=sigma)
-    stops = np.cumsum(sizes)
-    begin, stop = (stops - sizes).tolist(), stops.tolist()
-    lms = [i for i in range(1, n) if smaller[i] and not smaller[i - 1]]
-
-    def induce(seeds: list[int]) -> list[int]:
-        sa = [-1] * n
-        tail = stop[:]
-        for i in reversed(seeds):
-            tail[s[i]] -= 1
-            sa[tail[s[i]]] = i
-        head = begin[:]
-        for k in range(n):
-            j = sa[k] - 1
-            if j >= 0 and not smaller[j]:
-                c = s[j]
-                sa[head[c]] = j
-                head[c] += 1
-        tail = stop[:]
-        for k in range(n - 1, -1, -1):
-            j = sa[k] - 1
-            if j >= 0 and smaller[j]:
-                c = s[j]
-                tail[c] -= 1
-                sa[tail[c]] = j
-        sa[0] = n - 1
-        return sa
-
-    sa = induce(sorted(lms, key=s.__getitem__))
-    is_lms = bytearray(n)
-    for i in lms:
-        is_lms[i] = 1
-    nxt = dict(zip(lms, lms[1:] + [n - 1]))
-    name, names, last = -1, {}, None
-    for i in sa:
-        if is_lms[i]:
-            j = nxt[i]
-            if last is None or j - i != nxt[last] - last or s[i : j + 1] != s[last : nxt[last] + 1]:
-                name += 1
-            names[i] = name
-            last = i
-    reduced = [names[i] for i in lms]
-    if name + 1 < len(lms):
-        ranked = [lms[i] for i in _plain(reduced, name + 1)]
+        return np.zeros(1, dtype=np.int64)
+    smaller = classify(s)
+    lms = leftmost(smaller)
+    if not len(lms):  # descends to its end
+        return np.arange(n - 1, -1, -1)
+    # The next such position after each; behind the last one there is none but the end itself.
+    follow = np.searchsorted(lms, np.arange(n), "right")
+    stop = np.append(lms, n - 1)[follow]
+    span = stop - np.arange(n)
+    name = _dense(2 * s + smaller)
+    reach = 1
+    while reach <= int(span.max()):
+        second = np.zeros(n, dtype=np.int64)
+        more = np.flatnonzero(span >= reach)
+        second[more] = name[more + reach] + 1
+        name = _dense(name * (n + 1) + second)
+        reach *= 2
+    reduced = _dense(name[lms])
+    if int(reduced.max()) + 1 == len(lms):
+        rank = reduced
     else:
-        ranked = [0] * len(lms)
-        for i, k in zip(lms, reduced):
-            ranked[k] = i
-    return induce(ranked)
+        rank = np.empty(len(lms), dtype=np.int64)
+        rank[_ranked(reduced)] = np.arange(len(lms))
+    tail = np.append(rank, 0)[follow]
+    return np.argsort(name * (len(lms) + 1) + tail)
+
+
+def _dense(x: np.ndarray) -> np.ndarray:
+    """Ranks of values, equal ones share one."""
+    order = np.argsort(x)
+    sorted_ = x[order]
+    rank = np.empty(len(x), dtype=np.int64)
+    rank[order] = np.cumsum(np.concatenate([[False], sorted_[1:] != sorted_[:-1]]))
+    return rank
 
 
 def suffix_array(s: np.ndarray, sigma: int) -> np.ndarray:
     """Suffix array of integers below ``sigma`` whose last one is 0, found nowhere else."""
     s = np.ascontiguousarray(s, dtype=np.int64)
-    if len(s) < 256:
-        return np.array(_plain(s.tolist(), sigma), dtype=np.int64)
+    if sigma > MOST_BUCKETS:
+        return _ranked(s)
     smaller = classify(s)
     lms = leftmost(smaller)
     rough = lms[np.argsort(s[lms], kind="stable")]
@@ -195,11 +185,7 @@ def suffix_array(s: np.ndarray, sigma: int) -> np.ndarray:
     order = sa[is_lms[sa]]
     names, count = _names(s, lms, order)
     if count < len(lms):
-        if count <= SMALL_ALPHABET and len(names) >= 256:
-            reduced = suffix_array(names, count)
-        else:
-            reduced = np.array(_plain(names.tolist(), count), dtype=np.int64)
-        order = lms[reduced]
+        order = lms[_ranked(names)]
     return _induce(s, smaller, order, sigma)
 
 

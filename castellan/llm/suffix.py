@@ -5,22 +5,25 @@ else in the corpus, the same document included. Texts are UTF-8 bytes, matches
 stay within documents, null texts are empty, and strings are judged on the
 input. Shorter documents keep everything. Repeated rows match each other.
 
-1. *Anchors.* Each window of ``length`` bytes names the least hash of its grams
-   of ``GRAM`` bytes. Equal windows name equal anchors at equal places, so a
-   window can only repeat among places of the same anchor. Neighbouring windows
-   with one anchor form a region, on average some 140 windows.
-2. *Folding.* Regions of equal bytes fold into one with a count. A region that
-   occurs twice repeats with all its windows; an anchor that occurs once repeats
-   with none. Only anchors with different regions are undecided.
-3. *Suffix arrays.* Undecided regions are dealt by anchor. Each task leaves out
-   places whose surroundings no other region of the anchor shares, joins the
-   rest into shards, builds the suffix array by induced sorting, and reads
-   repeats off the permuted common prefixes of neighbours.
+1. *Anchors* deal windows to shards. Each window of ``length`` bytes names the
+   least hash of its grams of ``GRAM`` bytes. Equal windows name equal anchors
+   at equal places, so a window can only repeat among places of one anchor.
+   Neighbouring windows with one anchor form a region, on average some 140
+   windows; an anchor that occurs once is done with.
+2. *Pre-aggregation.* Regions of equal bytes are represented by at most two of
+   them, the first and the last place, which is all a suffix array needs to see
+   that they repeat. An anchor whose regions are all alike leaves two places;
+   consecutive such regions of the same two documents join into two long
+   strings.
+3. *Suffix arrays* decide. Each task joins its strings into shards, builds the
+   suffix array by induced sorting, and reads repeats off the permuted common
+   prefixes of neighbours. Of anchors with different regions, places whose
+   surroundings no other region shares are left out first.
 4. *Cutting.* Repeated windows go back to every document that has the region.
 
 An anchor with more than ``HOT_REGIONS`` different regions would fill one task.
-Its windows are instead counted one by one, by digest with partial sums, which
-gives the same verdicts.
+Its windows are dealt one by one instead, by digest with partial sums, and the
+first and last place of each go to suffix arrays like those of equal regions.
 """
 
 from __future__ import annotations
@@ -33,17 +36,21 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import groups, stored, text_or_empty, texts
 from .sais import permuted_lcp, suffix_array
 
 LENGTH = 400
 GRAM = 128
-HOT_REGIONS = 20_000
+HOT_REGIONS = 2_000
 SHARD_BYTES = 2_000_000
 SEGMENT = 1 << 20
+#: Bytes from which on two long strings that are alike are compared in parts.
+RUN_BYTES = 1 << 19
 #: Neighbouring window places that share one core when regions are compared.
 BLOCK = 64
+VERDICT = "key bigint, rh bigint, starts array<int>, stops array<int>"
 OCCURRENCE = "doc_id bigint, th bigint, a int, n int, d int, key bigint, rh bigint"
 
 
@@ -144,12 +151,13 @@ def intervals(hit: np.ndarray) -> tuple[list[int], list[int]]:
     return np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()
 
 
-def contenders(regions_: list[bytes], anchors: list[int], length: int = LENGTH) -> list[tuple[int, int, int]]:
+def contenders(regions_: list[bytes], anchors: list[int], twice: list[bool], length: int = LENGTH) -> list[tuple[int, int, int]]:
     """(region, first start, last start + 1) of the places that may repeat among regions of one anchor.
 
     Equal windows have their anchor at one distance. Windows whose distances lie
     in one block all contain the block's core, so a window can only repeat if
-    another region has the same core; what has none is left out.
+    another region has the same core; what has none is left out. A region that
+    occurs ``twice`` contends with all its places and is named twice.
     """
     cores: dict[tuple[int, bytes], list[int]] = {}
     for k, (region, d) in enumerate(zip(regions_, anchors)):
@@ -165,22 +173,29 @@ def contenders(regions_: list[bytes], anchors: list[int], length: int = LENGTH)
                 lo, hi = max(0, anchors[k] - j * BLOCK - BLOCK + 1), min(n, anchors[k] - j * BLOCK + 1)
                 old = reach.get(k, (lo, hi))
                 reach[k] = min(lo, old[0]), max(hi, old[1])
-    return [(k, lo, hi) for k, (lo, hi) in sorted(reach.items())]
+    for k, again in enumerate(twice):
+        if again:
+            reach[k] = 0, len(regions_[k]) - length + 1
+    return [(k, lo, hi) for k, (lo, hi) in sorted(reach.items()) for _ in range(1 + twice[k])]
 
 
 def _shards(length: int):
-    """Sorted (key, rh, d, region) rows to (key, rh, starts, stops) of repeated starts."""
+    """Sorted (key, rh, d, region, twice) rows to (key, rh, starts, stops) of repeated starts."""
 
     def solve(held: list[tuple[int, int, int, bytes]]) -> pd.DataFrame:
-        found = [intervals(h) for h in repeated_starts([region for *_, region in held], length)]
-        rows = [(key, rh, [lo + x for x in f[0]], [lo + x for x in f[1]]) for (key, rh, lo, _), f in zip(held, found) if f[0]]
+        rows, last = [], None
+        for (key, rh, lo, _), hit in zip(held, repeated_starts([region for *_, region in held], length)):
+            if (key, rh) != last and hit.any():  # of a region that is there twice, one answer is enough
+                starts, stops = intervals(hit)
+                rows.append((key, rh, [lo + x for x in starts], [lo + x for x in stops]))
+            last = key, rh
         return pd.DataFrame(rows, columns=["key", "rh", "starts", "stops"])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
         for (key,), g in groups(frames, ["key"]):
             parts, rh = [bytes(r) for r in g["region"]], g["rh"].tolist()
-            for k, lo, hi in contenders(parts, g["d"].tolist(), length):
+            for k, lo, hi in contenders(parts, g["d"].tolist(), g["twice"].tolist(), length):
                 held.append((key, rh[k], lo, parts[k][lo : hi - 1 + length]))
                 size += hi - lo + length
             if size >= SHARD_BYTES:
@@ -192,15 +207,67 @@ def _shards(length: int):
     return run
 
 
+def _twins(length: int):
+    """Sorted (p, q, side, region, items) rows, two for each (p, q), to (key, rh, starts, stops) of the items' repeated starts."""
+
+    def solve(held: list[tuple[bytes, list]]) -> pd.DataFrame:
+        rows = []
+        for (_, items), hit in zip(held, repeated_starts([region for region, _ in held], length)):
+            for x in items if items is not None else ():
+                starts, stops = intervals(hit[x["at"] : x["at"] + x["n"]])
+                if starts:
+                    rows.append((x["key"], x["rh"], starts, stops))
+        return pd.DataFrame(rows, columns=["key", "rh", "starts", "stops"])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for _, g in groups(frames, ["p", "q"]):
+            for region, items in zip(g["region"], g["items"]):
+                held.append((bytes(region), items))
+                size += len(region)
+            if size >= SHARD_BYTES:
+                yield solve(held)
+                held, size = [], 0
+        if held:
+            yield solve(held)
+
+    return run
+
+
+def twin_runs(classes: DataFrame) -> DataFrame:
+    """The two strings to compare for classes of equal strings (key, rh, lo, hi, n), lo and hi being places (x, y, a).
+
+    Consecutive classes of the same two texts at the same distance join, up to
+    ``RUN_BYTES``. Returns (p, q, side, x, y, a, n, items), two rows for each
+    (p, q); the items (key, rh, at, n) of a run go with its first side.
+    """
+    texts_ = [F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in ("lo", "hi") for c in "xya"]
+    rows = classes.select("key", "rh", "n", *texts_).withColumn("off", F.col("lo_a") - F.col("hi_a")).withColumn("seg", F.floor(F.col("lo_a") / RUN_BYTES))
+    by = ["lo_x", "lo_y", "hi_x", "hi_y", "off", "seg"]
+    order = W.partitionBy(*by).orderBy("lo_a", "key", "rh")
+    new = F.when(F.lag(F.col("lo_a") + F.col("n")).over(order) == F.col("lo_a"), 0).otherwise(1)
+    rows = rows.withColumn("new", new).withColumn("run", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    item = F.struct("lo_a", "key", "rh", "n")
+    runs = rows.groupBy(*by, "run").agg(F.min("lo_a").alias("a"), F.sum("n").cast("int").alias("n"), F.array_sort(F.collect_list(item)).alias("held"))
+    items = F.transform("held", lambda x: F.struct(x["key"].alias("key"), x["rh"].alias("rh"), (x["lo_a"] - F.col("a")).alias("at"), x["n"].alias("n")))
+    who = [*by, "a"]
+    runs = runs.select(*who, "n", items.alias("items"), F.xxhash64(*who).alias("p"), F.xxhash64(F.lit("q"), *who).alias("q"))
+    one = runs.select("p", "q", F.lit(0).alias("side"), F.col("lo_x").alias("x"), F.col("lo_y").alias("y"), "a", "n", "items")
+    none = F.lit(None).cast(dict(one.dtypes)["items"])
+    two = runs.select("p", "q", F.lit(1).alias("side"), F.col("hi_x").alias("x"), F.col("hi_y").alias("y"), (F.col("a") - F.col("off")).alias("a"), "n", none.alias("items"))
+    return one.union(two)
+
+
 def _windows(length: int):
-    """(key, rh, region) rows to one row per window: its place and digest."""
+    """(key, rh, region, twice) rows to one row per window: its place and digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, rh, region in zip(*(c.to_pylist() for c in batch.columns)):
+            for key, rh, region, twice in zip(*(c.to_pylist() for c in batch.columns)):
                 n = len(region) - length + 1
-                both = [hashlib.blake2b(region[i : i + length], digest_size=16).digest() for i in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array([key] * n, pa.int64()), pa.array([rh] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(both, pa.binary())], names=["key", "rh", "at", "w"])
+                both = np.frombuffer(b"".join(hashlib.blake2b(region[i : i + length], digest_size=16).digest() for i in range(n)), dtype=np.int64).reshape(n, 2)
+                columns = [pa.array([key] * n, pa.int64()), pa.array([rh] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array([twice] * n)]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "rh", "at", "v", "w", "twice"])
 
     return run
 
@@ -218,39 +285,64 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     # Stored, so that the join below reads two plain exchanges and a hot anchor can be split.
     keys = stored(keys.select("key", (F.col("lo") != F.col("hi")).alias("open")), total)
     again = stored(occ.join(keys, "key"), total)
-    classes = again.groupBy("key", "rh", "open").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "th", "a", "n", "d")).alias("rep"))
+    place = F.struct(F.col("doc_id").alias("x"), F.col("th").alias("y"), "a", "n", "d")
+    classes = again.groupBy("key", "rh", "open").agg((F.count("*") > 1).alias("twice"), F.min(place).alias("lo"), F.max(place).alias("hi"))
     classes = stored(classes, total)
-    whole = classes.where("c > 1").select("key", "rh", F.array(F.lit(0)).alias("starts"), F.array("rep.n").alias("stops"))
 
+    # What is asked of each document: regions of anchors that have several, and both sides of those that are all alike.
     hot = classes.where("open").groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > hot_regions).select("key")
     hot = stored(hot, classes.count()).withColumn("hot", F.lit(True))
-    undecided = classes.where("open").join(hot, "key", "left").select("key", "rh", "rep.*", F.coalesce("hot", F.lit(False)).alias("hot"))
-    wanted = undecided.groupBy("doc_id", "th").agg(F.collect_list(F.struct("key", "rh", "a", "n", "d", "hot")).alias("want"))
-    match = (docs.doc_id.eqNullSafe(F.col("w.doc_id"))) & (docs.th == F.col("w.th"))
+    undecided = classes.where("open").join(hot, "key", "left").select("lo.x", "lo.y", F.struct(F.lit(0).cast("bigint").alias("p"), F.lit(0).cast("bigint").alias("q"), "key", "rh", "lo.a", "lo.n", "lo.d", "twice", F.coalesce("hot", F.lit(False)).alias("hot"), F.lit(-1).alias("side")).alias("w"))
+    runs = stored(twin_runs(classes.where("not open").select("key", "rh", F.col("lo.n").alias("n"), "lo", "hi")), total)
+    nothing = F.lit(0).cast("bigint")
+    sides = runs.select("x", "y", F.struct("p", "q", nothing.alias("key"), nothing.alias("rh"), "a", "n", F.lit(0).alias("d"), F.lit(False).alias("twice"), F.lit(False).alias("hot"), "side").alias("w"))
+    wanted = undecided.union(sides).groupBy("x", "y").agg(F.collect_list("w").alias("want"))
+    match = (docs.doc_id.eqNullSafe(F.col("x"))) & (docs.th == F.col("y"))
+    schema = "p bigint, q bigint, key bigint, rh bigint, d int, twice boolean, hot boolean, side int, region binary"
     # Rows that repeat id and text all match; one of them is enough.
-    sliced = docs.join(wanted.alias("w"), match).select("text", "want").mapInArrow(_slices(length), "key bigint, rh bigint, d int, region binary, hot boolean")
-    sliced = stored(sliced.dropDuplicates(["key", "rh"]), undecided.count(), 10_000)
-    cold = sliced.where("not hot").select("key", "rh", "d", "region").repartition("key").sortWithinPartitions("key", "rh")
-    by_array = cold.mapInPandas(_shards(length), "key bigint, rh bigint, starts array<int>, stops array<int>")
-    windows = sliced.where("hot").select("key", "rh", "region").mapInArrow(_windows(length), "key bigint, rh bigint, at int, w binary")
-    twice = windows.groupBy("w").agg(F.count("*").alias("c")).where("c > 1").select("w")
-    by_count = windows.join(twice, "w").groupBy("key", "rh").agg(F.sort_array(F.collect_list("at")).alias("starts"))
-    by_count = by_count.select("key", "rh", "starts", F.transform("starts", lambda x: x + 1).alias("stops"))
-    singles = by_array.union(by_count).join(classes.where("c > 1").select("key", "rh"), ["key", "rh"], "left_anti")
-    verdicts = whole.union(singles)
+    sliced = docs.join(wanted, match).select("text", "want").mapInArrow(_slices(length), schema)
+    sliced = stored(sliced.dropDuplicates(["p", "q", "key", "rh", "side"]), classes.count(), 10_000)
+
+    cold = sliced.where("side < 0 and not hot").select("key", "rh", "d", "region", "twice").repartition("key").sortWithinPartitions("key", "rh")
+    by_anchor = cold.mapInPandas(_shards(length), VERDICT)
+    by_twins = _decide(runs.select("p", "q", "side", "items"), sliced.where("side >= 0").select("p", "q", "side", "region"), length)
+    verdicts = by_anchor.union(by_twins).union(_by_window(sliced.where("hot").select("key", "rh", "region", "twice"), length))
     hits = again.select("doc_id", "th", "a", "key", "rh").join(verdicts, ["key", "rh"])
     spans = F.transform(F.arrays_zip("starts", "stops"), lambda z: F.struct((F.col("a") + z["starts"]).alias("start"), (F.col("a") + z["stops"] + (length - 1)).alias("stop")))
     return hits.select("doc_id", "th", spans.alias("spans")).groupBy("doc_id", "th").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
 
+def _decide(runs: DataFrame, regions_: DataFrame, length: int) -> DataFrame:
+    """Verdicts (key, rh, starts, stops) of suffix arrays over both sides of every run."""
+    both = runs.join(regions_, ["p", "q", "side"]).select("p", "q", "side", "region", "items")
+    return both.repartition("p", "q").sortWithinPartitions("p", "q", "side").mapInPandas(_twins(length), VERDICT)
+
+
+def _by_window(regions_: DataFrame, length: int) -> DataFrame:
+    """Verdicts (key, rh, starts, stops) of hot anchors' regions, whose windows are dealt by digest."""
+    windows = stored(regions_.mapInArrow(_windows(length), "key bigint, rh bigint, at int, v bigint, w bigint, twice boolean"))
+    place = F.struct(F.col("key").alias("x"), F.col("rh").alias("y"), F.col("at").alias("a"))
+    same = windows.groupBy("v", "w").agg((F.count("*") + F.count_if("twice")).alias("c"), F.min(place).alias("lo"), F.max(place).alias("hi")).where("c > 1")
+    runs = stored(twin_runs(same.select(F.col("v").alias("key"), F.col("w").alias("rh"), F.lit(1).alias("n"), "lo", "hi")))
+    wanted = runs.groupBy("x", "y").agg(F.collect_list(F.struct("p", "q", "side", "a", "n")).alias("want"))
+    cut_ = regions_.join(wanted, (F.col("key") == F.col("x")) & (F.col("rh") == F.col("y"))).select(F.explode("want").alias("w"), "region")
+    both = cut_.select("w.p", "w.q", "w.side", F.expr(f"substring(region, w.a + 1, w.n + {length - 1})").alias("region"))
+    sure = _decide(runs.select("p", "q", "side", "items"), both, length).select(F.col("key").alias("v"), F.col("rh").alias("w"))
+    found = windows.join(sure, ["v", "w"]).groupBy("key", "rh").agg(F.sort_array(F.collect_list("at")).alias("starts"))
+    return found.select("key", "rh", "starts", F.transform("starts", lambda x: x + 1).alias("stops"))
+
+
 def _slices(length: int):
+    names = ["p", "q", "key", "rh", "d", "twice", "hot", "side"]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.int32(), pa.binary())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
                 part = batch.slice(lo, 64)
-                rows = [(w["key"], w["rh"], w["d"], text[w["a"] : w["a"] + w["n"] - 1 + length], w["hot"]) for text, want in zip(texts(part), part.column(1).to_pylist()) for w in want]
-                columns = list(zip(*rows)) if rows else [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_()))], names=["key", "rh", "d", "region", "hot"])
+                rows = [(*(w[c] for c in names), text[w["a"] : w["a"] + w["n"] - 1 + length]) for text, want in zip(texts(part), part.column(1).to_pylist()) for w in want]
+                columns = list(zip(*rows)) if rows else [()] * len(kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[*names, "region"])
 
     return run
 
