@@ -2,14 +2,19 @@
 
 A document becomes its token ids followed by one separator id. Only documents
 longer than a sequence are cut; their first piece takes the remainder. Pieces
-go, in the order in which they arrive, to the open bin they fill best; a
-lookahead of ``LOOKAHEAD`` pieces lets the longest arrive first. At most
-``OPEN_BINS`` bins are open: a bitset keyed by free space finds the best bin,
-and when a new bin is needed the fullest open one closes first.
-
-Tasks pack shards of pieces independently. What is left in the open bins of all
-shards is packed once more in far fewer shards, so the waste of an unfinished
-bin does not grow with the number of tasks. Null texts are empty: one token.
+go one by one, in the order in which they arrive, to the open bin they fill
+best. At most ``OPEN_BINS`` bins are open: a bitset keyed by free space finds the
+best bin, and when a new bin is needed the fullest open one closes first.
+
+Tasks pack shards of pieces independently, in the order of a hash of their
+document. The pieces of bins that are open at the end of a shard arrive once
+more, from all shards in far fewer and the longest first, so the waste of
+unfinished bins does not grow with the number of tasks. That is so at every
+size, also when one shard holds all pieces.
+
+Null texts are empty: one token, the separator. Repeated rows are packed row by
+row. A text that spells a special token of the vocabulary gets that token's id,
+as the tokenizers library has it; ``add_special_tokens`` only adds none around.
 """
 
 from __future__ import annotations
@@ -29,8 +34,6 @@ from .common import cut, once
 SEQUENCE = 2048
 OPEN_BINS = 1024
 SEPARATOR = 0
-#: Pieces that wait to arrive longest first; short ones then fill what long ones left.
-LOOKAHEAD = 4096
 #: Pieces that one task packs; leftovers are OPEN_BINS bins of it.
 SHARD = 400_000
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -41,25 +44,28 @@ def encoder(vocabulary: str):
     """Text to ids by a byte-level BPE file of the tokenizers library.
 
     The file's merges number its ids upwards, so the ids are ranks and a rank
-    encoder gives what the library gives, special strings taken as plain text;
-    a file without that property goes to the library itself.
+    encoder gives what the library gives. A file without that property, or whose
+    special tokens do more than stand for themselves, goes to the library.
     """
     import public_tokenizers
 
-    model = json.load(open(vocabulary, encoding="utf-8"))["model"]
+    with open(vocabulary, encoding="utf-8") as f:
+        file = json.load(f)
+    model, added = file["model"], file.get("added_tokens") or []
     merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
     vocab = model["vocab"]
-    if all(vocab.get(a + b) == 256 + k for k, (a, b) in enumerate(merges)):
+    plain_tokens = all(a["special"] and not (a["single_word"] or a["lstrip"] or a["rstrip"] or a["normalized"]) for a in added)
+    if plain_tokens and all(vocab.get(a + b) == 256 + k for k, (a, b) in enumerate(merges)):
         import tiktoken
 
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
         ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items() if i < 256 + len(merges)}
-        return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        fast = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={a["content"]: a["id"] for a in added})
+        return lambda text: fast.encode(text, allowed_special="all")
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(vocabulary)
-    own.encode_special_tokens = True
     return lambda text: own.encode(text, add_special_tokens=False).ids
 
 
@@ -134,9 +140,8 @@ def _pack(round_: int, size: int, open_bins: int, last: bool):
         shard = pd.concat(held, ignore_index=True)
         length = shard["length"].to_numpy()
         bins, offsets = np.empty(len(shard), dtype=np.int64), np.empty(len(shard), dtype=np.int64)
-        for lo in range(0, len(shard), LOOKAHEAD):
-            for k in (lo + np.argsort(-length[lo : lo + LOOKAHEAD], kind="stable")).tolist():
-                bins[k], offsets[k] = fit.place(int(length[k]))
+        for k, n in enumerate(length.tolist()):
+            bins[k], offsets[k] = fit.place(n)
         left = fit.unfinished() if not last else set()
         base = (round_ << 60) | (TaskContext.get().partitionId() << 36)
         yield shard.assign(sequence_id=bins + base, offset=offsets, open=np.isin(bins, list(left)))
@@ -155,13 +160,10 @@ def pack(rows: DataFrame, size: int = SEQUENCE, open_bins: int = OPEN_BINS, shar
     schema = PACKED + ", open boolean"
     n = rows.count()
     order = [F.xxhash64("doc_id", "piece"), "doc_id", "piece", "start", "length", "ids_crc32"]
-    deal = lambda df, parts: df.repartition(parts, F.xxhash64("doc_id", "piece", "start")).sortWithinPartitions(*order)
-    parts = max(1, -(-n // shard))
-    if parts == 1:
-        return deal(rows, 1).mapInPandas(_pack(0, size, open_bins, True), schema).drop("open")
-    first = cut(deal(rows, parts).mapInPandas(_pack(0, size, open_bins, False), schema))
+    deal = lambda df, n: df.repartition(max(1, -(-n // shard)), F.xxhash64("doc_id", "piece", "start"))
+    first = cut(deal(rows, n).sortWithinPartitions(*order).mapInPandas(_pack(0, size, open_bins, False), schema))
     left = first.where("open").select("doc_id", "piece", "start", "length", "ids_crc32")
-    again = deal(left, max(1, -(-left.count() // shard))).mapInPandas(_pack(1, size, open_bins, True), schema)
+    again = deal(left, left.count()).sortWithinPartitions(F.desc("length"), *order).mapInPandas(_pack(1, size, open_bins, True), schema)
     return first.where("not open").union(again).drop("open")
 
 

@@ -131,7 +131,6 @@ def test_bpe_query(spark, doc_rows, clashing, nothing, odd, odd_rows):
 
 def check_packing(got, rows):
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     encoded = t.encode_batch([x for _, x in rows], add_special_tokens=False)
     want = collections.Counter()
     total = 0
@@ -163,6 +162,11 @@ def test_packing_query(spark, doc_rows, clashing, nothing, odd_rows):
     assert packing.pack_documents(nothing, P.path(queries.VOCABULARY)).count() == 0
 
 
+def test_packing_ids_of_special_strings(spark):
+    rows = [(1, "a<|endoftext|>b"), (2, "<|endoftext|>"), (3, "<|endoftext|><|endoftext|> x"), (4, "<|endoftext|"), (5, "\n <|endoftext|>\n"), (6, "<|EndOfText|> é")]
+    check_packing(packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), P.path(queries.VOCABULARY)), rows)
+
+
 def test_packing_in_shards(spark, docs, doc_rows):
     rows = packing.pieces(docs, P.path(queries.VOCABULARY))
     whole, total = check_packing(packing.pack(rows, open_bins=8, shard=40), doc_rows)
