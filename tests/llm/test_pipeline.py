@@ -28,7 +28,7 @@ def test_stages_in_turn(spark, docs):
             near = {b for k, a in enumerate(ids) for b in ids[k + 1 :] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
             assert set(ids) - set(kept) == near
         else:
-            w = pii.train()
+            w = pii.weights()
             assert all(not base for base, _ in pii.find(list(kept.values()), w)) and len(kept) == len(rows)
         rows = list(kept.items())
         now = spark.createDataFrame(out.collect(), docs.schema)
