@@ -8,12 +8,15 @@ chunks (``TRAINING_ROWS``). Viterbi recovers the states; lines that begin a role
 start a turn, which is rendered as ``<|role|>`` and the text without its marker.
 
 A conversation may hold any share of all rows. Viterbi is a product of max-plus
-matrices, so blocks of ``BLOCK`` turns reduce to one matrix each, a scan over
-the blocks of a conversation fixes the states at their borders, and blocks are
-then solved independently.
+matrices, so blocks of ``BLOCK`` turn numbers reduce to one matrix each, a scan
+over the blocks of a conversation fixes the states at their borders, and blocks
+are then solved independently. Where turn numbers repeat so often that a block
+holds over ``CROWDED`` rows, it is split by turn, then by text, then among equal
+rows. The scan holds 36 numbers for each block of one conversation.
 
 Null texts are empty and count as one blank line; null turns sort first; equal
-turns are ordered by text.
+turns are ordered by text, in crowded blocks by a hash of it first. Null
+conversations are one conversation of their own. Repeated rows are all parsed.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ ROLES = ("system", "user", "assistant")
 STATES = 6  # 2 * role begins, 2 * role + 1 continues
 TRAINING_ROWS = 3000
 BLOCK = 256
+CROWDED = 4 * BLOCK
 #: Fixed speaker markers by style, for system, user and assistant.
 MARKERS = (("System:", "User:", "Assistant:"), ("Instructions:", "Human:", "AI:"), ("### System", "### Instruction", "### Response"), ("Context:", "Q:", "A:"))
 MARKER = re.compile(r"^\s*(?:\*\*|\[|<)?(System|Instructions|### System|Context|User|Human|### Instruction|Q|Assistant|AI|### Response|A)(?:\*\*|\]|>)?\s*(?::|$|(?<=System)|(?<=Instruction)|(?<=Response))\s*", re.IGNORECASE)
@@ -55,11 +59,12 @@ def line_features(lines: list[str]) -> np.ndarray:
 class Model:
     """Log tables: first state, transition, and one emission table per feature."""
 
-    def __init__(self, sequences: list[tuple[np.ndarray, np.ndarray]]):
+    def __init__(self, sequences: list[tuple[np.ndarray, np.ndarray]], opens: list[bool] | None = None):
+        """From sequences of (features, states); only those that open a conversation say how one begins."""
         first, step = np.ones(STATES), np.full((STATES, STATES), 0.1)
         emit = [np.full((STATES, n), 0.1) for n in SIZES]
-        for feature, state in sequences:
-            first[state[0]] += 1
+        for k, (feature, state) in enumerate(sequences):
+            first[state[0]] += opens is None or opens[k]
             np.add.at(step, (state[:-1], state[1:]), 1)
             for k in range(len(SIZES)):
                 np.add.at(emit[k], (state, feature[:, k]), 1)
@@ -106,34 +111,43 @@ def labelled(text: str, role: str) -> tuple[np.ndarray, np.ndarray]:
     return f, np.array([2 * r] + [2 * r + 1] * (len(f) - 1))
 
 
-def fit(rows: list[tuple[int, int, str, str]]) -> Model:
-    """From (conversation, turn, text, role) rows; unknown roles are left out."""
-    sequences, last = [], None
-    for conv, _, text, role in sorted(rows, key=lambda r: (str(r[0]), r[1] or 0)):
+def fit(rows: list[tuple[int, int, str, str]], start: int | None = None) -> Model:
+    """From (conversation, turn, text, role) rows; unknown roles are left out.
+
+    Only rows of consecutive turns follow each other. With ``start``, the number
+    that turns begin with, only sequences from there on open a conversation.
+    """
+    sequences, opens, last = [], [], None
+    for conv, turn, text, role in sorted(rows, key=lambda r: (str(r[0]), r[1] or 0, r[2] or "")):
         if role in ROLES:
             f, s = labelled(text or "", role)
-            if conv == last:
+            if last in ((conv, (turn or 0) - 1), (conv, turn or 0)) and sequences:
                 sequences[-1] = (np.concatenate([sequences[-1][0], f]), np.concatenate([sequences[-1][1], s]))
             else:
                 sequences.append((f, s))
-            last = conv
-    return Model(sequences)
+                opens.append(start is None or turn == start)
+            last = conv, turn or 0
+    return Model(sequences, opens)
+
+
+#: A block's place: conversation, whether its turns are numbered, their range, and what a crowded one is split by.
+KEY = ["conv", "known", "range", "only", "part", "copy"]
+KEY_TYPES = "conv string, known boolean, range bigint, only bigint, part bigint, copy bigint"
 
 
 def _blocks(model: Model):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for (conv, block), g in groups(frames, ["conv", "block"]):
+        for (conv, *block), g in groups(frames, KEY):
             f = np.concatenate([line_features(t.split("\n")) for t in g["text"]])
             first = model.first + model.scores(f[:1])[0]
             alone = first if len(f) == 1 else (first[:, None] + model.matrix(f[1:])).max(0)
-            yield pd.DataFrame({"conv": [conv], "block": [block], "m": [model.matrix(f).ravel()], "alone": [alone]})
+            yield pd.DataFrame({"conv": [conv], **{c: [v] for c, v in zip(KEY[1:], block)}, "m": [model.matrix(f).ravel()], "alone": [alone]})
 
     return run
 
 
 def _borders(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for (conv,), g in groups(frames, ["conv"]):
-        blocks = g["block"].tolist()
         before = [np.asarray(g["alone"].iloc[0])]
         ms = [np.asarray(m).reshape(STATES, STATES) for m in g["m"]]
         for m in ms[1:]:
@@ -142,7 +156,7 @@ def _borders(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for k in range(len(ms) - 1, 0, -1):
             leave.append(int((before[k - 1] + ms[k][:, leave[-1]]).argmax()))
         leave.reverse()
-        yield pd.DataFrame({"conv": conv, "block": blocks, "entry": [-1, *leave[:-1]], "leave": leave})
+        yield g[KEY].assign(entry=[-1, *leave[:-1]], leave=leave)
 
 
 def render(role: str, lines: list[str], starts: bool) -> str:
@@ -154,22 +168,22 @@ def render(role: str, lines: list[str], starts: bool) -> str:
 
 
 def _turns(model: Model):
-    names = ["conv_id", "turn", "piece", "role", "starts", "n_lines", "rendered"]
+    names = ["conv", "known", "turn", "piece", "role", "starts", "n_lines", "rendered"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows: list[tuple] = []
-        for _, g in groups(frames, ["conv", "block"]):
+        for _, g in groups(frames, KEY):
             chunks = [t.split("\n") for t in g["text"]]
             f = np.concatenate([line_features(c) for c in chunks])
             states = model.path(f, int(g["entry"].iloc[0]), int(g["leave"].iloc[0]))
             at = 0
-            for conv, turn, lines in zip(g["conv"], g["turn"], chunks):
+            for conv, known, turn, lines in zip(g["conv"], g["known"], g["turn"], chunks):
                 s = states[at : at + len(lines)]
                 at += len(lines)
                 bounds = [0, *[k for k in range(1, len(s)) if s[k] % 2 == 0], len(s)]
                 for piece, (lo, hi) in enumerate(zip(bounds, bounds[1:])):
                     role, starts = ROLES[s[lo] // 2], bool(s[lo] % 2 == 0)
-                    rows.append((conv, turn, piece, role, starts, hi - lo, render(role, lines[lo:hi], starts)))
+                    rows.append((conv, known, turn, piece, role, starts, hi - lo, render(role, lines[lo:hi], starts)))
             if len(rows) >= 4096:
                 yield pd.DataFrame(rows, columns=names)
                 rows = []
@@ -179,24 +193,46 @@ def _turns(model: Model):
     return run
 
 
-def parse(chunks: DataFrame, model: Model, block: int = BLOCK) -> DataFrame:
+def blocked(rows: DataFrame, block: int, crowded: int) -> DataFrame:
+    """Rows (conv, known, turn, text) with the rest of the ``KEY`` of their block."""
+    none = F.lit(0).cast("bigint")
+    rows = rows.withColumn("range", F.floor(F.col("turn") / F.lit(block))).withColumns({"only": none, "part": none, "copy": none})
+    full = cut(rows.groupBy("conv", "known", "range").agg(F.count("*").alias("c")).where(F.col("c") > crowded).drop("c"))
+    if full.isEmpty():
+        return rows
+    by = ["conv", "known", "range", "turn"]
+    # A number for each row, kept, so that equal rows stay where they are when a task runs again.
+    many = cut(rows.join(full, by[:3], "left_semi").withColumn("salt", F.monotonically_increasing_id()).withColumn("h", F.xxhash64("text")))
+    turns = many.groupBy(*by).agg(F.count("*").alias("c2"))
+    texts_ = many.groupBy(*by, "h").agg(F.count("*").alias("c3"))
+    many = many.join(turns, by).join(texts_, [*by, "h"])
+    part = F.when(F.col("c2") > crowded, F.pmod("h", F.ceil(F.col("c2") / block))).otherwise(none)
+    copy = F.when(F.col("c3") > crowded, 1 + F.pmod("salt", F.ceil(F.col("c3") / block))).otherwise(none)
+    many = many.withColumns({"only": F.col("turn"), "part": part, "copy": copy})
+    return rows.join(full, by[:3], "left_anti").unionByName(many.select(*rows.columns))
+
+
+def parse(chunks: DataFrame, model: Model, block: int = BLOCK, crowded: int = CROWDED) -> DataFrame:
     """Turns of transcripts whose chunks are rows (conv_id, turn, text), in order of turn.
 
     Returns (conv_id, turn, piece, role, starts, n_lines, rendered): pieces of a
     chunk in order; a piece that does not start continues the turn before it.
     """
-    rows = chunks.select(F.coalesce(F.col("conv_id").cast("bigint"), F.lit(-1)).alias("conv"), F.coalesce(F.col("turn").cast("bigint"), F.lit(-1)).alias("turn"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("block", F.floor(F.col("turn") / F.lit(block)))
-    order = ["conv", "block", "turn", "text"]
-    ends = rows.groupBy("conv").agg(F.min("block").alias("lo"), F.max("block").alias("hi")).where("lo <> hi").select("conv")
+    conv, turn = F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint")
+    rows = chunks.select(F.coalesce(conv.cast("string"), F.lit("")).alias("conv"), turn.isNotNull().alias("known"), F.coalesce(turn, F.lit(0)).alias("turn"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = blocked(rows, block, crowded)
+    order = [*KEY, "turn", "text"]
+    place = F.struct(*KEY[1:])
+    ends = rows.groupBy("conv").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("conv")
     long = rows.join(ends, "conv", "left_semi")
-    deal = lambda df: df.repartition("conv", "block").sortWithinPartitions(*order)
-    blocks = cut(deal(long).mapInPandas(_blocks(model), "conv bigint, block bigint, m array<double>, alone array<double>"))
-    borders = blocks.repartition("conv").sortWithinPartitions("conv", "block").mapInPandas(_borders, "conv bigint, block bigint, entry int, leave int")
+    deal = lambda df: df.repartition(*KEY).sortWithinPartitions(*order)
+    blocks = cut(deal(long).mapInPandas(_blocks(model), KEY_TYPES + ", m array<double>, alone array<double>"))
+    borders = blocks.repartition("conv").sortWithinPartitions(*KEY).mapInPandas(_borders, KEY_TYPES + ", entry int, leave int")
     # A conversation of one block has nothing to fix at its borders.
     alone = rows.join(ends, "conv", "left_anti").withColumn("entry", F.lit(-1)).withColumn("leave", F.lit(-1))
-    solved = deal(long.join(borders, ["conv", "block"]).select(*alone.columns).union(alone))
-    return solved.mapInPandas(_turns(model), "conv_id bigint, turn bigint, piece int, role string, starts boolean, n_lines bigint, rendered string")
+    solved = deal(long.join(borders, KEY).select(*alone.columns).union(alone))
+    made = solved.mapInPandas(_turns(model), "conv string, known boolean, turn bigint, piece int, role string, starts boolean, n_lines bigint, rendered string")
+    return made.select(F.when(F.col("conv") != "", F.col("conv").cast("bigint")).alias("conv_id"), F.when(F.col("known"), F.col("turn")).alias("turn"), "piece", "role", "starts", "n_lines", "rendered")
 
 
 def transcripts(conversations: DataFrame) -> DataFrame:
@@ -209,9 +245,27 @@ def transcripts(conversations: DataFrame) -> DataFrame:
     return conversations.select("conv_id", "turn", "role", F.when(lost | (marker == ""), body).otherwise(F.concat(marker, F.lit(" "), body)).alias("text"))
 
 
+def training_rows(chunks: DataFrame, most: int = TRAINING_ROWS) -> tuple[list[tuple], int | None]:
+    """At most ``most`` labelled rows and as many that follow them, and the number that turns begin with.
+
+    Rows are taken by a threshold on their own hash, so no conversation, however
+    long, is the sample, and what reaches the driver does not grow.
+    """
+    size = chunks.agg(F.count("*").alias("n"), F.min("turn").alias("start")).first()
+    if not size["n"]:
+        return [], None
+    h = F.xxhash64("conv_id", "turn", "text")
+    least = int(min(1.0, 2.0 * most / size["n"]) * (1 << 64)) - (1 << 63)
+    near = chunks.select("conv_id", "turn", "text", "role").where(h < F.lit(least)) if least < 1 << 63 else chunks.select("conv_id", "turn", "text", "role")
+    picked = near.distinct().orderBy(h, "conv_id", "turn").limit(most)
+    keys = picked.select(F.col("conv_id").alias("c"), (F.col("turn") + 1).alias("t")).distinct()
+    after = chunks.select("conv_id", "turn", "text", "role").join(F.broadcast(keys), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("turn") == F.col("t")))
+    after = after.select("conv_id", "turn", "text", "role").distinct().orderBy(h, "conv_id", "turn").limit(most)
+    return sorted({tuple(r) for r in picked.union(after).collect()}, key=str), size["start"]
+
+
 def report(conversations: DataFrame) -> DataFrame:
     """Transcripts of the table parsed back into turns."""
     chunks = transcripts(conversations)
-    sample = chunks.orderBy(F.xxhash64("conv_id"), "conv_id", "turn", "text").limit(TRAINING_ROWS)
-    model = fit([(r["conv_id"], r["turn"], r["text"], r["role"]) for r in sample.collect()])
-    return parse(chunks, model)
+    rows, start = training_rows(chunks)
+    return parse(chunks, fit(rows, start))
