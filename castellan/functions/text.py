@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..kernels.constants import ALPHABETS, CONFUSABLE, FIGURINES, FIXES, GAME_START, MAX_COMMENT, MAX_TITLE, NEUTRAL_MOVE, PIECE_MOVE, SAN_LETTERS
+from ..kernels.constants import ALPHABETS, CASTLES, CONFUSABLE, FIGURINES, FIXES, GAME_START, MAX_COMMENT, MAX_TITLE, PIECE_MOVE, SAN_LETTERS
 
 LETTERS = "".join(sorted(set("".join(ALPHABETS.values()))))
-__all__ = ["ALPHABETS", "CONFUSABLE", "NEUTRAL_MOVE", "GAME_START", "LETTERS"]
+__all__ = ["ALPHABETS", "CONFUSABLE", "GAME_START", "LETTERS"]
 
 
 def normalise(text: Column | str) -> Column:
@@ -70,8 +70,10 @@ def ends_in_word(text: Column | str) -> Column:
 
 
 def neutral_moves(text: Column | str) -> Column:
-    """Moves that name no piece, in any language."""
-    return F.regexp_count(text, F.lit(NEUTRAL_MOVE))
+    """Moves that name no piece, in any language: words that begin with a pawn's move, and castlings."""
+    words = F.split(text, "[^A-Za-z0-9]+")
+    pawns = F.size(F.filter(words, lambda w: w.rlike("^[a-h]x?[a-h]?[1-8]([0-9]|$)")))
+    return pawns + F.regexp_count(text, F.lit(f"(?<![A-Za-z0-9])(?:{'|'.join(CASTLES)})(?![A-Za-z])"))
 
 
 def piece_letters(text: Column | str) -> Column:

@@ -6,14 +6,35 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
-from .constants import DOTLESS_NUMBER, GLYPH_FONT, MOVE_BODY, MOVE_NUMBER
-from .tokens import Box, PageText, union
+from .constants import GLYPH_FONT, MOVE_BODY, MOVE_NUMBER
+from .tokens import ASCII_LETTERS, ASCII_WORD, SQUARE, Box, PageText, union
 
 # Fixed values.
 MIN_HEIGHT, MIN_COVERAGE = 6.0, 0.6
 CHAR_COVER, MAX_LEFTOVERS = 0.8, 3
 WHITE_FIGURINE = dict(zip("KQRBN", "♔♕♖♗♘"))
-NUMBERS = (re.compile(MOVE_NUMBER), re.compile(DOTLESS_NUMBER))
+NUMBER = re.compile(MOVE_NUMBER)
+REACH = 5  # how far into a word a move's square may stand, a capture's sign not counted
+
+
+def ends_in_number(word: str) -> bool:
+    """Whether a word closes with one to three digits that no letter precedes."""
+    n = 0
+    while n < len(word) and word[-1 - n].isdecimal():
+        n += 1
+    return 1 <= n <= 3 and word[: len(word) - n][-1:] not in ASCII_LETTERS
+
+
+def opens_as_move(word: str) -> bool:
+    """Whether a word begins like a castling or has a whole square near its front."""
+    if word[:1] in tuple("Oo0") and word[1:2] == "-" and word[2:3] in tuple("Oo0"):
+        return True
+    return any(m.start() - (word[m.start() - 1 : m.start()] == "x") <= REACH and word[m.end() : m.end() + 1] not in ASCII_WORD for m in SQUARE.finditer(word))
+
+
+def has_dotless_number(text: str) -> bool:
+    words = text.split()
+    return any(ends_in_number(a) and opens_as_move(b) for a, b in zip(words, words[1:]))
 
 
 @dataclass(frozen=True)
@@ -27,7 +48,7 @@ class Line:
 
     @property
     def has_notation(self) -> bool:
-        return any(p.search(self.text) for p in NUMBERS)
+        return bool(NUMBER.search(self.text)) or has_dotless_number(self.text)
 
 
 @dataclass(frozen=True)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..kernels import images
+from ..plans.checkpoints import cut
 
 SQUARES = "book_id string, page int, ord int, start int, bbox " + schemas.BOX + ", squares array<array<float>>"
 READ = f"book_id string, page int, start int, end int, rows array<string>, bbox {schemas.BOX}, twins array<struct<a:string,b:string>>, empty string"
@@ -39,11 +40,32 @@ def squares(pictures: DataFrame) -> DataFrame:
     return pictures.select("book_id", "page", "ord", "start", "bbox", "width", "pixels").mapInPandas(run, SQUARES)
 
 
+def on_pages(pages: DataFrame, pictures: DataFrame | None = None, rasters: DataFrame | None = None, skip: DataFrame | None = None) -> DataFrame:
+    """The boards of all pages, ``start`` being their place in the page's text.
+
+    Stored pictures (with ``page_area`` and ``height``) come first; a page whose
+    pictures show no board is searched as a scanned sheet. Pages of ``skip``
+    (book_id, page) are read already.
+    """
+    from .scans import framed_boards
+
+    by = ["book_id", "page"]
+    left = lambda df, done: df if done is None else df.join(done.select(*by).distinct(), by, "left_anti")
+    found = None if pictures is None else cut(squares(shaped_like_boards(left(pictures, skip))))
+    if rasters is not None:
+        drawn = framed_boards(left(left(rasters, skip), found))
+        found = drawn if found is None else found.unionByName(drawn)
+    if found is None:
+        raise ValueError("neither pictures nor rasters to look for boards in")
+    found = cut(found)
+    return found.drop("start").join(place(found, pages), [*by, "ord"]).select(*(f.name for f in found.schema.fields))
+
+
 def read(found: DataFrame) -> DataFrame:
     """Boards as rows of characters; one book is clustered in order, as one group."""
 
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
-        f = frame.sort_values(["page", "ord"])
+        f = frame.sort_values(["page", "ord"], kind="stable")
         cells = [np.asarray(s, dtype=np.float32) for board in f["squares"] for s in board]
         labels = images.cluster(cells)
         empty, pairs = images.twins(cells, labels)
@@ -55,14 +77,14 @@ def read(found: DataFrame) -> DataFrame:
 
 
 def place(boards: DataFrame, pages: DataFrame) -> DataFrame:
-    """Text offset of each picture (book_id, page, ord, bbox): the first character below it and under its middle half, moved back to its word's start."""
+    """Text offset of each picture (book_id, page, ord, bbox): the first character below its lower edge and mostly under it, moved back to its word's start."""
     chars = pages.select("book_id", "page", "text", F.posexplode("chars").alias("pos", "c"))
     c, b = F.col("c.bbox"), F.col("bbox")
     across = F.least(c.x + c.w, b.x + b.w) - F.greatest(c.x, b.x)
-    below = (c.w > 0) & (c.h > 0) & (c.y + c.h <= b.y + b.h / 2) & (across > 0.5 * c.w)
+    below = (c.w > 0) & (c.h > 0) & (c.y + c.h <= b.y) & (across > 0.5 * c.w)
     hit = boards.select("book_id", "page", "ord", "bbox").join(chars, ["book_id", "page"]).where(below)
     first = hit.groupBy("book_id", "page", "ord").agg(F.min("pos").alias("pos"))
     text = pages.select("book_id", "page", "text")
     at = boards.select("book_id", "page", "ord").join(first, ["book_id", "page", "ord"], "left").join(text, ["book_id", "page"])
     word = F.length(F.regexp_extract(F.expr("substring(text, 1, pos)"), r"(\S*)$", 1))
-    return at.select("book_id", "page", "ord", F.coalesce(F.col("pos") - word, F.length("text")).alias("start"))
+    return at.select("book_id", "page", "ord", F.coalesce(F.col("pos") - word, F.length("text")).cast("int").alias("start"))

@@ -16,13 +16,13 @@ def letters_of(pages: DataFrame, options: Options = Options()) -> DataFrame:
     return report.select("book_id", notation.piece_letters().alias("letters"))
 
 
-def run(pages: DataFrame, options: Options = Options(), glyphs: DataFrame | None = None, drawn: DataFrame | None = None) -> dict[str, DataFrame]:
+def run(pages: DataFrame, options: Options = Options(), glyphs: DataFrame | None = None, drawn: DataFrame | None = None, rasters: DataFrame | None = None) -> dict[str, DataFrame]:
     """All tables of a reading.
 
     ``pages`` follow ``schemas.PAGES``. ``glyphs`` are piece symbols recognised
     on page images (``schemas.GLYPHS``), used for books that need them; ``drawn``
-    are board images as ``pictures.squares`` takes them, used on pages without
-    a diagram set in a font.
+    are stored pictures and ``rasters`` whole pages, searched for boards as
+    ``pictures.on_pages`` does on pages without a diagram set in a font.
     """
     if options.infer_symbols:
         found = cut(books.symbol_meanings(pages, letters_of, options))
@@ -36,8 +36,8 @@ def run(pages: DataFrame, options: Options = Options(), glyphs: DataFrame | None
     report = notation.overridden(report, options.force_notation, options.force_language)
     printed = cut(books.find_diagrams(pages))
     blocks, extra, seen = printed, None, None
-    if drawn is not None and options.read_pictures:
-        seen = cut(pictures.read(pictures.squares(drawn.join(printed.select("book_id", "page").distinct(), ["book_id", "page"], "left_anti"))))
+    if options.read_pictures and not (drawn is None and rasters is None):
+        seen = cut(pictures.read(pictures.on_pages(pages, drawn, rasters, printed)))
         blocks = printed.unionByName(seen.select(*printed.columns))
         extra = seen.groupBy("book_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("page", "start", "rows"))), lambda x: x.rows).alias("drawn"), F.first("twins").alias("twins"), F.first("empty").alias("empty"))
     tokens = cut(books.tokenize(pages, report.select("book_id", notation.piece_letters().alias("letters")), blocks))

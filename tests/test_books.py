@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from castellan import schemas
+from castellan.kernels import images
 from castellan.operators import books, diagnosis, glyphs, notation, patches, pictures, reader, survey, trees
 from castellan.plans.run import letters_of, run
 from castellan.sinks import archives as sink
@@ -186,7 +187,7 @@ def test_pictures(spark):
     out = pictures.read(pictures.squares(df)).orderBy("page").collect()
     assert len(out) == 2 and len(out[0].twins) == 6 and out[0].rows[2] == out[0].empty * 8
     page = P.of_texts(spark.createDataFrame([("b", 1, "some words")], "book_id string, page int, text string"))
-    at = pictures.place(df.where("page = 1").select("book_id", "page", "ord", F.struct(F.lit(7.0).alias("x"), F.lit(705.0).alias("y"), F.lit(3.0).alias("w"), F.lit(100.0).alias("h")).alias("bbox")), page)
+    at = pictures.place(df.where("page = 1").select("book_id", "page", "ord", F.struct(F.lit(7.0).alias("x"), F.lit(710.0).alias("y"), F.lit(3.0).alias("w"), F.lit(100.0).alias("h")).alias("bbox")), page)
     assert at.first().start == 5
 
 
@@ -251,3 +252,97 @@ def test_command_lines(spark, tmp_path, texts, capsys):
     (tmp_path / "truth.json").write_text(json.dumps({"5": [{"pieces": "N", "text": "x"}], "6": [{"pieces": "B", "text": "y"}]}))
     score.main([f"{tmp_path}/glyphs", f"{tmp_path}/truth.json", "--pages", "5", "--sweep"])
     assert "b2" in capsys.readouterr().out and score.page_numbers("5-6,9") == [5, 6, 9]
+
+
+def test_line_crops_and_symbols(spark):
+    """Black rectangles on a sheet: the wide one is a symbol, and its place comes back in points."""
+    import numpy as np
+
+    from castellan.operators import scans
+
+    sheet = np.full((624 * 5, 472 * 5), 255, np.uint8)
+    line = (20.0, 100.0, 40.0, 10.0)
+    top = round((624 - 110) * 5)
+    for x, w in ((10, 30), (70, 15), (100, 15), (130, 15)):
+        sheet[top + 10 : top + 40, 18 * 5 + x : 18 * 5 + x + w] = 0
+    raster = spark.createDataFrame([("b", 1, 472.0, 624.0, sheet.shape[1], sheet.shape[0], bytearray(sheet.tobytes()))], scans.RASTERS)
+    lines = spark.createDataFrame([("b", 1, 0, line), ("b", 1, 1, (20.0, 300.0, 40.0, 10.0))], f"book_id string, page int, idx int, bbox {schemas.BOX}")
+    crops = scans.line_crops(raster, lines)
+    first = crops.orderBy("idx").first()
+    assert tuple(first.clip) == (18.0, 100.0, 44.0, 10.0) and (first.width, first.height, first.scale) == (220, 50, 5.0)
+
+    class Always:
+        n_features_in_ = 1767
+
+        def predict_proba(self, rows):
+            return [[0.02, 0.02, 0.03, 0.03, 0.9]] * len(rows)
+
+    got = glyphs.find_glyphs(crops, glyphs.Classifier(Always())).collect()
+    assert [(r.piece, r.page, r.idx, tuple(r.bbox), r.width_ratio) for r in got] == [("N", 1, 0, (20.0, 102.0, 6.0, 6.0), 2.0)]
+    assert glyphs.find_glyphs(crops, glyphs.Classifier(Always()), least=0.95).count() == 0
+    Always.n_features_in_ = 3
+    with pytest.raises(ValueError):
+        glyphs.Classifier(Always())
+    assert glyphs.Classifier(object()).classify_many([]) == []
+
+
+def test_models_are_read_from_files_folders_and_archives(tmp_path):
+    import zipfile
+
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    crops = [np.where(rng.random((30, 20 + 4 * k)) < 0.1 + 0.18 * k, 0, 255).astype(np.uint8) for k in range(5) for _ in range(8)]
+    model = glyphs.Softmax.fit([images.hog(c) for c in crops], np.repeat(np.arange(5), 8))
+    np.savez(tmp_path / "classifier.npz", weights=model.weights, bias=model.bias)
+    with zipfile.ZipFile(tmp_path / "model.zip", "w") as z:
+        z.writestr("a/older/classifier.npz", b"not this one")
+        z.write(tmp_path / "classifier.npz", "a/classifier.npz")
+    for path in (tmp_path, tmp_path / "classifier.npz", tmp_path / "model.zip"):
+        read = glyphs.Classifier.load(str(path)).classify_many(crops)
+        assert sum(p == "KQRBN"[k // 8] for k, (p, _) in enumerate(read)) >= 36 and all(0 <= c <= 1 for _, c in read)
+    with zipfile.ZipFile(tmp_path / "empty.zip", "w") as z:
+        z.writestr("x", b"")
+    with pytest.raises(ValueError):
+        glyphs.Classifier.load(str(tmp_path / "empty.zip"))
+
+
+@pytest.mark.parametrize("tilt", [0.0, 0.8])
+def test_boards_on_a_scanned_sheet(spark, tilt):
+    """Two boards pasted on a sheet of prose are found, placed and read; a page with a stored picture is not searched."""
+    import numpy as np
+    from test_kernels import synthetic_board
+
+    from castellan.operators import scans
+
+    sheet = np.full((1000, 760), 255, np.uint8)
+    places = ["rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR", "r1bq1rk1/pp2ppbp/2np1np1/8/2P1P3/2N1BP2/PP2N1PP/R2QKB1R"]
+    for k, p in enumerate(places):
+        board = (synthetic_board(p) * 255).astype(np.uint8)
+        y, x = 100 + 450 * k, 20 + 380 * k  # a line of pixels shows one rule, the longest
+        sheet[y : y + board.shape[0], x : x + board.shape[1]] = board
+    sheet[30:34, 50:700] = 0  # a rule that is no board
+    if tilt:
+        shift = np.round(np.arange(760) * np.tan(np.radians(tilt))).astype(int)
+        sheet = np.stack([np.roll(sheet[:, c], shift[c]) for c in range(760)], 1)
+    raster = spark.createDataFrame([("b", n, 760 * 0.36, 1000 * 0.36, 760, 1000, bytearray(sheet.tobytes())) for n in (1, 2)], scans.RASTERS)
+    text = P.of_texts(spark.createDataFrame([("b", 1, "8... under the first"), ("b", 2, "x")], "book_id string, page int, text string"))
+    under = text.withColumn("chars", F.transform("chars", lambda c, i: c.withField("bbox", F.struct((100 + 4 * i).cast("double").alias("x"), F.lit(180.0).alias("y"), F.lit(1.0).alias("w"), F.lit(10.0).alias("h")))))
+    skip = spark.createDataFrame([("b", 2)], "book_id string, page int")
+    found = pictures.on_pages(under, None, raster, skip)
+    got = found.orderBy("ord").collect()
+    assert [(r.page, r.ord, len(r.squares)) for r in got] == [(1, 0, 64), (1, 1, 64)]
+    assert got[0].start == 0 and got[1].start == len("8... under the first")
+    if not tilt:
+        read = pictures.read(found).orderBy("start").collect()
+        assert [r.rows[0][0] == read[0].rows[0][7] for r in read[:1]] == [True] and read[0].rows[3] == read[0].empty * 8
+    with pytest.raises(ValueError):
+        pictures.on_pages(under)
+
+
+def test_findings_and_mismatches(spark):
+    found = spark.createDataFrame([(1, 0, 0, "N", 0.9), (1, 0, 1, "R", 0.4), (1, 1, 0, "Q", 0.5), (2, 0, 0, "N", 0.8)], "page int, line_no int, ord int, piece string, confidence double")
+    truth = spark.createDataFrame([(1, 0, "NR"), (1, 1, "Q"), (1, 2, "B"), (2, 0, "N")], "page int, line_no int, pieces string")
+    assert rows(glyphs.piece_counts(found), "piece", "n") == [("N", 2), ("Q", 1)]
+    assert sorted(map(tuple, glyphs.findings(found, ["page", "line_no"]).collect())) == [(1, 0, "♘", "N0.90"), (1, 1, "♕", "Q0.50"), (2, 0, "♘", "N0.80")]
+    assert sorted(map(tuple, glyphs.mismatches(found, truth, ["page", "line_no"]).collect())) == [(1, 0, "NR", "N", "N0.90 R0.40"), (1, 2, "B", "", "")]
