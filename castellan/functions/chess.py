@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -66,26 +66,37 @@ def piece_count(placement: Column | str, piece: str) -> Column:
     return F.regexp_count(placement, F.lit(piece))
 
 
+def _once(function: Callable, *columns: pd.Series) -> list:
+    """A function of each row, computed once for rows that are alike; null where an argument is."""
+    known: dict[tuple, object] = {}
+    out = []
+    for row in zip(*columns):
+        if row not in known:
+            known[row] = None if any(v is None for v in row) else function(*row)
+        out.append(known[row])
+    return out
+
+
 @pandas_udf("double")
 def confusable_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     """Edit distance in which look-alike characters cost half."""
-    return pd.Series([None if x is None or y is None else distance.confusable_distance(x, y) for x, y in zip(a, b)])
+    return pd.Series(_once(distance.confusable_distance, a, b), dtype="float64")
 
 
 @pandas_udf("int")
 def common_subsequence(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else distance.common_subsequence(x, y) for x, y in zip(a, b)], dtype="Int32")
+    return pd.Series(_once(distance.common_subsequence, a, b), dtype="Int32")
 
 
 @pandas_udf("array<string>")
 def legal_moves(fen: pd.Series) -> pd.Series:
     """SAN of every legal move."""
-    return fen.map(lambda f: None if f is None else [rules.position(f).san(m) for m in rules.position(f).legal])
+    return pd.Series(_once(lambda f: [rules.position(f).san(m) for m in rules.position(f).legal], fen))
 
 
 @pandas_udf("boolean")
 def is_valid(fen: pd.Series) -> pd.Series:
-    return fen.map(lambda f: None if f is None else rules.position(f).valid())
+    return pd.Series(_once(lambda f: rules.position(f).valid(), fen), dtype="boolean")
 
 
 @pandas_udf("move_uci string, san string, fen string, status string, confidence double, reason string, candidates array<string>, settled_by string")
@@ -106,6 +117,12 @@ def origin_hints(square: pd.Series) -> pd.Series:
     return square.map(rules.name)
 
 
+def settled(candidates: Column, hints: Column) -> Column:
+    """The one candidate that the hints name; null when they name none or several."""
+    named = F.array_intersect(candidates, hints)
+    return F.when(F.size(named) == 1, F.element_at(named, 1))
+
+
 @pandas_udf("string")
 def case_partner(char: pd.Series) -> pd.Series:
     return char.map(boards.partner)

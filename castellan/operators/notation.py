@@ -14,9 +14,14 @@ MANY, FULL_FIGURINES, FULL_LETTERS = 20, 200, 100
 
 def font_inventory(pages: DataFrame) -> DataFrame:
     """(book_id, font, n, first): characters that are not blank per font, first seen place for ties."""
-    chars = pages.select("book_id", "page", F.posexplode("chars").alias("pos", "c"))
-    printed = chars.where(F.trim(F.regexp_replace("c.char", r"\s", "")) != "")
-    return printed.groupBy("book_id", F.col("c.font").alias("font")).agg(F.count("*").alias("n"), F.min(F.struct("page", "pos")).alias("first"))
+    seen = F.filter(F.transform("chars", lambda c, i: F.struct(c.font.alias("font"), i.alias("pos"), c.char.rlike(r"^\s*$").alias("blank"))), lambda x: ~x.blank)
+    held = pages.select("book_id", "page", seen.alias("seen"))
+    # A page has few fonts, so its characters are counted in place and only fonts become rows.
+    names = F.array_distinct(F.transform("seen", lambda x: x.font))
+    own = lambda f: F.filter("seen", lambda x: x.font.eqNullSafe(f))
+    per = F.transform(names, lambda f: F.struct(f.alias("font"), F.size(own(f)).alias("n"), F.element_at(own(f), 1).pos.alias("pos")))
+    fonts = held.select("book_id", "page", F.explode(per).alias("f"))
+    return fonts.groupBy("book_id", F.col("f.font").alias("font")).agg(F.sum(F.col("f.n").cast("bigint")).alias("n"), F.min(F.struct("page", F.col("f.pos").alias("pos"))).alias("first"))
 
 
 def ranked_fonts(pages: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..kernels import images
 from ..plans.checkpoints import cut
+from .relations import together, without
 
 SQUARES = "book_id string, page int, ord int, start int, bbox " + schemas.BOX + ", squares array<array<float>>"
 READ = f"book_id string, page int, start int, end int, rows array<string>, bbox {schemas.BOX}, twins array<struct<a:string,b:string>>, empty string"
@@ -50,11 +51,11 @@ def on_pages(pages: DataFrame, pictures: DataFrame | None = None, rasters: DataF
     from .scans import framed_boards
 
     by = ["book_id", "page"]
-    left = lambda df, done: df if done is None else df.join(done.select(*by).distinct(), by, "left_anti")
+    left = lambda df, done: df if done is None else without(df, done, by)
     found = None if pictures is None else cut(squares(shaped_like_boards(left(pictures, skip))))
     if rasters is not None:
         drawn = framed_boards(left(left(rasters, skip), found))
-        found = drawn if found is None else found.unionByName(drawn)
+        found = drawn if found is None else together(found, drawn)
     if found is None:
         raise ValueError("neither pictures nor rasters to look for boards in")
     found = cut(found)
@@ -88,3 +89,17 @@ def place(boards: DataFrame, pages: DataFrame) -> DataFrame:
     at = boards.select("book_id", "page", "ord").join(first, ["book_id", "page", "ord"], "left").join(text, ["book_id", "page"])
     word = F.length(F.regexp_extract(F.expr("substring(text, 1, pos)"), r"(\S*)$", 1))
     return at.select("book_id", "page", "ord", F.coalesce(F.col("pos") - word, F.length("text")).cast("int").alias("start"))
+
+
+def centroids(rows: DataFrame, by: list[str], vector: str) -> DataFrame:
+    """(by, k, centre): the mean of each of a group's coordinates, k from 1."""
+    return rows.select(*by, F.posexplode(vector).alias("__p", "__v")).groupBy(*by, (F.col("__p") + 1).alias("k")).agg(F.avg(F.col("__v").cast("double")).alias("centre"))
+
+
+def ground_shades(rows: DataFrame, by: list[str], shades: str, side: int = images.SIDE) -> DataFrame:
+    """(by, light, dark, is_board): mean shade of either parity of a board's squares, row by row, and whether they differ enough."""
+    k = F.col("__p")
+    parity = (F.floor(k / side) + k % side) % 2
+    mean = lambda p: F.avg(F.when(parity == p, F.col("__v").cast("double")))
+    both = rows.select(*by, F.posexplode(shades).alias("__p", "__v")).groupBy(*by).agg(mean(0).alias("light"), mean(1).alias("dark"))
+    return both.withColumn("is_board", F.abs(F.col("light") - F.col("dark")) >= images.MIN_CONTRAST)

@@ -108,16 +108,26 @@ def covered_width(intervals: DataFrame, group: list[str], start: str, end: str)
 def column_cut(boxes: DataFrame, group: list[str], width: Column, middle: Column) -> DataFrame:
     """Per group the integer x in the middle half that fewest boxes cross, nearest the middle; null where the guards refuse it.
 
-    Only the positions a box crosses are enumerated, summed per position before
-    they meet.
+    A box adds one where it begins and takes it away where it ends; a running
+    sum over those few places says how many boxes cross any position. Between
+    two of them that number stays, so only the position nearest the middle of
+    each stretch competes.
     """
     span = boxes.select(*group, "x", "w", width.alias("width"), middle.alias("middle"))
     pages = span.groupBy(*group).agg(F.count("*").alias("n"), F.first("width").alias("width"), F.first("middle").alias("middle"))
     lo, hi = F.floor(F.col("width") * 0.25), F.floor(F.col("width") * 0.75) - 1
-    cuts = pages.where("n >= 8").select(*group, "n", "middle", F.explode(F.sequence(lo, hi)).alias("cut"))
     first, last = F.greatest(F.floor(F.col("x")) + 1, lo), F.least(F.ceil(F.col("x") + F.col("w")) - 1, hi)
-    hit = span.where(first <= last).select(*group, F.explode(F.sequence(first, last)).alias("cut")).groupBy(*group, "cut").agg(F.count("*").alias("crossing"))
-    scored = cuts.join(hit, [*group, "cut"], "left").na.fill(0, ["crossing"])
+    crossed = span.where(first <= last)
+    ends = crossed.select(*group, F.explode(F.array(F.struct(first.alias("at"), F.lit(1).alias("d")), F.struct((last + 1).alias("at"), F.lit(-1).alias("d")))).alias("e")).select(*group, "e.*")
+    # Every page also has a place of its own at the left end.
+    edge = pages.where("n >= 8").select(*group, lo.alias("at"), F.lit(0).alias("d"))
+    steps = ends.union(edge).groupBy(*group, "at").agg(F.sum("d").alias("d"))
+    order = W.partitionBy(*group).orderBy("at")
+    steps = steps.withColumn("crossing", F.sum("d").over(order)).withColumn("next", F.lead("at").over(order))
+    near = steps.join(pages.where("n >= 8"), group).withColumn("stop", F.least(F.coalesce(F.col("next") - 1, hi), hi)).where("at <= stop")
+    # Of integers as near to the middle the smaller one counts.
+    best_at = F.greatest(F.col("at"), F.least(F.col("stop"), F.ceil(F.col("middle") - 0.5)))
+    scored = near.withColumn("cut", best_at)
     best = scored.groupBy(*group, "n").agg(F.min(F.struct("crossing", F.abs(F.col("cut") - F.col("middle")).alias("d"), "cut")).alias("b")).select(*group, "n", "b.crossing", "b.cut")
     sides = best.join(boxes.select(*group, "x", "w"), group).groupBy(*group, "n", "crossing", "cut").agg(F.count_if(F.col("x") + F.col("w") <= F.col("cut")).alias("left"), F.count_if(F.col("x") >= F.col("cut")).alias("right"))
     good = (F.col("crossing") <= F.greatest(F.lit(3.0), 0.05 * F.col("n"))) & (F.least("left", "right") >= 0.2 * F.col("n"))
@@ -159,3 +169,33 @@ def sweep(rows: DataFrame, thresholds: list[float], by: list[str], confidence: s
     """Per threshold the accepted rows and how many of them hit, from one pass: every threshold is a conditional sum."""
     pairs = F.array(*(F.struct(F.lit(t).alias("threshold"), F.count_if(F.col(confidence) >= t).alias("accepted"), F.count_if((F.col(confidence) >= t) & hit).alias("hits")) for t in thresholds))
     return rows.groupBy(*by).agg(pairs.alias("p")).select(*by, F.explode("p").alias("p")).select(*by, "p.*")
+
+
+def attached(rows: DataFrame, items: DataFrame, keys: list[str], name: str, *columns: str) -> DataFrame:
+    """Rows with all their items as one ordered array, null without any."""
+    held = items.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
+    return rows.join(held, keys, "left")
+
+
+def without(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys are not done yet."""
+    return rows.join(done.select(*keys).distinct(), keys, "left_anti")
+
+
+def together(first: DataFrame, *more: DataFrame) -> DataFrame:
+    """All rows of all tables, columns matched by name."""
+    for other in more:
+        first = first.unionByName(other)
+    return first
+
+
+def zipped(rows: DataFrame, keys: list[str], **arrays: Column) -> DataFrame:
+    """A row for each position of arrays side by side, the first being 1; a shorter one is filled up with nulls."""
+    both = F.arrays_zip(*(c.alias(n) for n, c in arrays.items()))
+    return rows.select(*keys, F.posexplode(both).alias("__p", "__z")).select(*keys, (F.col("__p") + 1).alias("pos"), *(F.col(f"__z.{n}").alias(n) for n in arrays))
+
+
+def around(rows: DataFrame, by: list[str], order: list[str], at: Column, reach: int) -> DataFrame:
+    """Rows of each group that stand within ``reach`` of place ``at`` (from 0)."""
+    place = F.row_number().over(W.partitionBy(*by).orderBy(*order)) - 1
+    return rows.withColumn("__k", place).where(F.abs(F.col("__k") - at) <= reach).drop("__k")

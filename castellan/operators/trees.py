@@ -26,10 +26,14 @@ def ancestors(nodes: DataFrame, id_col: str, parent_col: str, broken: Column, re
     state = base.join(up, base.up == up.u, "left").select(
         "id", F.when(F.col("u").isNotNull(), F.col("up")).alias("up"), F.coalesce("b", F.lit(False)).alias("tainted"), F.when(F.col("r"), F.lit(1)).alias("distance"), F.lit(1).alias("span")
     )
-    for _ in range(MAX_ROUNDS):
+    last = None
+    for k in range(64):
         state = cut(state)
-        if state.where("up is not null").isEmpty():
+        now = state.agg(F.count("up"), F.count_if("tainted"), F.count("distance")).first()
+        # Past a million ancestors only cycles of links are expected to go on, and those change nothing more.
+        if not now[0] or (k >= MAX_ROUNDS and now == last):
             break
+        last = now
         far = state.select(F.col("id").alias("f"), F.col("up").alias("f_up"), F.col("tainted").alias("f_tainted"), F.col("distance").alias("f_distance"), F.col("span").alias("f_span"))
         state = state.join(far, state.up == far.f, "left").select(
             "id",

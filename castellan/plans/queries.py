@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import chess, geometry, text
-from ..kernels.constants import ALPHABETS, FIGURINES, FIXES, IN_MOVE, MOVE_NUMBER
-from ..operators import diagnosis, glyphs, patches, relations, trees
+from ..kernels.constants import ALPHABETS, FIGURINES, FIXES, MOVE_NUMBER
+from ..operators import diagnosis, glyphs, patches, pictures, relations, trees
+from ..sinks.archives import content_hash
 from ..sources import pages as page_sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,7 +148,7 @@ def f13_f14_titles_and_names(spark, sf_dir):
 
 @query("SELECT doc_id, sha256(text) AS digest FROM documents")
 def k4_f24_content_hash(spark, sf_dir):
-    return t(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
+    return t(spark, sf_dir, "documents").select("doc_id", content_hash("text").alias("digest"))
 
 
 # Notation composed from orders, one book per customer.
@@ -174,16 +175,18 @@ def a5_letter_hits(spark, sf_dir):
     return letter_hits(notation_lines(spark, sf_dir).withColumnRenamed("book", "book_id"))
 
 
-@query(f"""
+NOTATION_SQL = f"""
 WITH m AS (SELECT o_custkey % 97 AS book, {MOVE_SQL} AS text FROM orders),
 l AS (SELECT book, substr(unnest(regexp_extract_all(text, '[KQRBN][a-h][1-8]')), 1, 1) AS letter FROM m),
 h AS (SELECT book, letter, count(*) AS hits FROM l GROUP BY 1, 2),
 a(o, language, alphabet) AS (VALUES (0, 'en', 'KQRBN'), (1, 'fr', 'RDTFC'), (2, 'de', 'KDTLS'), (3, 'es', 'RDTAC'), (4, 'it', 'RDTAC'), (5, 'nl', 'KDTLP')),
 s AS (SELECT book, o, language, alphabet, sum(hits) AS score FROM h JOIN a ON contains(alphabet, letter) GROUP BY ALL),
-b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY book ORDER BY score DESC, o) AS k FROM s) WHERE k = 1)
-SELECT b.book AS book_id, b.language, CAST(b.score AS BIGINT) AS best, CAST(coalesce(max(CASE WHEN s.alphabet <> b.alphabet THEN s.score END), 0) AS BIGINT) AS runner
-FROM b JOIN s ON s.book = b.book GROUP BY b.book, b.language, b.score
-""")
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY book ORDER BY score DESC, o) AS k FROM s) WHERE k = 1),
+r AS (SELECT k.book, k.language, CAST(k.score AS BIGINT) AS best, CAST(coalesce(max(CASE WHEN s.alphabet <> k.alphabet THEN s.score END), 0) AS BIGINT) AS runner FROM k JOIN s ON s.book = k.book GROUP BY k.book, k.language, k.score)
+"""
+
+
+@query(NOTATION_SQL + "SELECT book AS book_id, language, best, runner FROM r")
 def i1_i2_best_language(spark, sf_dir):
     from ..operators.notation import best_language, language_scores, letter_hits
 
@@ -191,11 +194,14 @@ def i1_i2_best_language(spark, sf_dir):
 
 
 @query(f"""
-SELECT o_custkey % 97 AS book, CAST(sum(length(regexp_replace({MOVE_SQL}, '[^.]', '', 'g'))) AS BIGINT) AS numbers, count(*) AS pages FROM orders GROUP BY 1
+WITH p AS (SELECT o_custkey % 97 AS book_id, {MOVE_SQL} AS text FROM orders)
+SELECT book_id, count(*) AS pages, count(CASE WHEN starts_with(text, '1. ') THEN 1 END) AS starts, CAST(sum(length(regexp_replace(text, '[^.]', '', 'g'))) AS BIGINT) AS numbers FROM p GROUP BY 1
 """)
-def a22_survey(spark, sf_dir):
-    n = F.regexp_count("text", F.lit(MOVE_NUMBER))
-    return longs(notation_lines(spark, sf_dir).groupBy("book").agg(F.sum(n).alias("numbers"), F.count("*").alias("pages")), "numbers")
+def a22_o8_survey(spark, sf_dir):
+    """Pages, game starts and move numbers per book; a line with the number 1 begins a game."""
+    from ..operators.survey import survey
+
+    return longs(survey(notation_lines(spark, sf_dir).withColumnRenamed("book", "book_id")), "starts", "numbers")
 
 
 @query(f"""
@@ -204,11 +210,14 @@ SELECT CAST(book AS VARCHAR) AS book_id, CAST(sum(len(regexp_extract_all(text, '
 """)
 def a9_placement_score(spark, sf_dir):
     lines = notation_lines(spark, sf_dir).select(F.col("book").cast("string").alias("book_id"), F.translate("text", "KQRBN", "♔♕♖♗♘").alias("text"))
-    assert IN_MOVE
     return longs(glyphs.placement_score(lines), "placed", "total")
 
 
-@query()
+@query(f"""
+WITH m AS (SELECT CAST(o_custkey % 97 AS VARCHAR) AS book_id, {MOVE_SQL} AS text FROM orders),
+w AS (SELECT book_id, 'move_number' AS kind, string_split(text, ' ')[1] AS text FROM m UNION ALL SELECT book_id, 'move', unnest(string_split(text, ' ')[2:]) FROM m)
+SELECT book_id, kind, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM w GROUP BY 1, 2
+""")
 def t1_tokens(spark, sf_dir):
     """Tokens of composed notation; counts per kind of every book."""
     from ..operators.books import tokenize
@@ -217,23 +226,16 @@ def t1_tokens(spark, sf_dir):
     return tokenize(pages).groupBy("book_id", "kind").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
-@query()
-def t4_parse(spark, sf_dir):
-    """Composed notation read as games, book by book."""
-    from ..operators.books import parse, table_of, tokenize
-
-    pages = page_sources.of_texts(notation_lines(spark, sf_dir).select(F.col("book").cast("string").alias("book_id"), "page", "text"))
-    moves = table_of(parse(tokenize(pages)), "move")
-    return moves.groupBy("book_id", "status").agg(F.count("*").alias("n"))
-
-
 # --- aggregates ---
 
 
-@query("SELECT lang, CAST(sum(length(text) - length(regexp_replace(text, '[^ \n]', '', 'g'))) AS BIGINT) AS printed FROM documents GROUP BY 1")
-def a1_character_inventory(spark, sf_dir):
-    blank = F.length("text") - F.length(F.translate("text", " \n", ""))
-    return t(spark, sf_dir, "documents").groupBy("lang").agg(F.sum(F.length("text") - blank).alias("printed"))
+@query("SELECT lang AS book_id, 'Serif' AS font, CAST(sum(length(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]', '', 'g'))) AS BIGINT) AS n, min(doc_id) AS first_page FROM documents GROUP BY 1")
+def a1_font_inventory(spark, sf_dir):
+    """Printed characters per font of every book; a language's documents are a book's pages."""
+    from ..operators.notation import font_inventory
+
+    pages = page_sources.of_texts(t(spark, sf_dir, "documents").select(F.col("lang").alias("book_id"), F.col("doc_id").alias("page"), "text"))
+    return longs(font_inventory(pages).select("book_id", "font", "n", F.col("first.page").alias("first_page")), "first_page")
 
 
 @query("SELECT o_orderpriority, count(*) AS moves, count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS ok, count(CASE WHEN o_orderstatus = 'O' THEN 1 END) AS uncertain, count(CASE WHEN o_orderstatus = 'P' THEN 1 END) AS broken FROM orders GROUP BY 1")
@@ -322,8 +324,7 @@ WITH e AS (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding,
 SELECT label, CAST(k AS BIGINT) AS k, round(avg(CAST(v AS DOUBLE)), 6) AS centre FROM e GROUP BY 1, 2
 """)
 def a15_centroids(spark, sf_dir):
-    e = t(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("p", "v"))
-    return e.groupBy("label", (F.col("p") + 1).cast("long").alias("k")).agg(F.round(F.avg(F.col("v").cast("double")), 6).alias("centre"))
+    return longs(pictures.centroids(t(spark, sf_dir, "embeddings"), ["label"], "embedding").withColumn("centre", F.round("centre", 6)), "k")
 
 
 @query("""
@@ -382,8 +383,7 @@ def a27_t12_o10_children(spark, sf_dir):
 
 @query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
 def j3_anti(spark, sf_dir):
-    o = t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return t(spark, sf_dir, "customer").select("c_custkey").join(o, "c_custkey", "left_anti")
+    return relations.without(t(spark, sf_dir, "customer").select("c_custkey"), t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
 @query("""
@@ -401,21 +401,23 @@ def j5_parent_lookup(spark, sf_dir):
     return n.select(F.col("id").alias("o_orderkey"), F.expr("id div 2").alias("up"), F.col("parent_o_totalprice").alias("parent_price"))
 
 
-@query("SELECT c_nationkey, o.o_orderstatus, count(*) AS n, count(o.o_orderkey) AS attached FROM customer LEFT JOIN orders o ON o_custkey = c_custkey GROUP BY 1, 2")
+@query("SELECT c_custkey, string_agg(CAST(o_orderkey AS VARCHAR) || o_orderstatus, ',' ORDER BY o_orderkey) AS held FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
 def j1_j2_attach(spark, sf_dir):
-    c, o = t(spark, sf_dir, "customer"), t(spark, sf_dir, "orders")
-    return c.join(o, c.c_custkey == o.o_custkey, "left").groupBy("c_nationkey", "o_orderstatus").agg(F.count("*").alias("n"), F.count("o_orderkey").alias("attached"))
+    """All items of a page, in order, beside it."""
+    o = t(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    a = relations.attached(t(spark, sf_dir, "customer").select("c_custkey"), o, ["c_custkey"], "held", "o_orderkey", "o_orderstatus")
+    return a.select("c_custkey", F.array_join(F.transform("held", lambda x: F.concat(x.o_orderkey.cast("string"), x.o_orderstatus)), ",").alias("held"))
 
 
 PLACES_SQL = """
-WITH a AS (SELECT o_orderkey AS id, o_custkey % 20 AS page, o_orderkey * 7 % 5000 AS x, o_custkey * 13 % 5000 AS y, 5 + o_orderkey % 9 AS w, 4 + o_custkey % 5 AS h FROM orders WHERE o_orderstatus = 'P'),
+WITH a AS (SELECT o_orderkey AS id, o_custkey % 20 AS page, o_orderkey * 7 % 5000 AS x, o_custkey * 13 % 5000 AS y, 5 + o_orderkey % 9 AS w, 4 + o_custkey % 5 AS h FROM orders),
 b AS (SELECT c_custkey AS id, c_custkey % 20 AS page, c_custkey * 11 % 5000 AS x, c_custkey * 17 % 5000 AS y, 40 AS w, 30 AS h FROM customer)
 """
 
 
 def places(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     k, c = F.col("o_orderkey"), F.col("o_custkey")
-    a = t(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(k.alias("id"), (c % 20).alias("page"), (k * 7 % 5000).alias("x"), (c * 13 % 5000).alias("y"), (5 + k % 9).alias("w"), (4 + c % 5).alias("h"))
+    a = t(spark, sf_dir, "orders").select(k.alias("id"), (c % 20).alias("page"), (k * 7 % 5000).alias("x"), (c * 13 % 5000).alias("y"), (5 + k % 9).alias("w"), (4 + c % 5).alias("h"))
     c = F.col("c_custkey")
     b = t(spark, sf_dir, "customer").select(c.alias("id"), (c % 20).alias("page"), (c * 11 % 5000).alias("x"), (c * 17 % 5000).alias("y"), F.lit(40).cast("long").alias("w"), F.lit(30).cast("long").alias("h"))
     return a, b
@@ -467,18 +469,17 @@ def j11_rule_pairs(spark, sf_dir):
 
 
 @query("SELECT p_partkey, CAST(i AS BIGINT) AS pos, string_split(p_name, ' ')[i] AS a, string_split(p_type, ' ')[i] AS b FROM (SELECT *, unnest(range(1, 1 + greatest(len(string_split(p_name, ' ')), len(string_split(p_type, ' '))))) AS i FROM part)")
-def j16_zip(spark, sf_dir):
-    z = F.arrays_zip(F.split("p_name", " ").alias("a"), F.split("p_type", " ").alias("b"))
-    return t(spark, sf_dir, "part").select("p_partkey", F.posexplode(z).alias("p", "z")).select("p_partkey", (F.col("p") + 1).cast("long").alias("pos"), "z.a", "z.b")
+def j16_f21_zip(spark, sf_dir):
+    return longs(relations.zipped(t(spark, sf_dir, "part"), ["p_partkey"], a=F.split("p_name", " "), b=F.split("p_type", " ")), "pos")
 
 
 @query("""
 WITH x AS (SELECT p_partkey, list_distinct(list_intersect(string_split(p_name, ''), string_split(p_brand, ''))) AS s FROM part)
-SELECT p_partkey, CAST(len(s) AS BIGINT) AS shared, len(s) = 1 AS settles FROM x
+SELECT p_partkey, CASE WHEN len(s) = 1 THEN s[1] END AS settled FROM x
 """)
 def j18_u3_hints(spark, sf_dir):
-    shared = F.size(F.array_intersect(F.split("p_name", ""), F.split("p_brand", "")))
-    return t(spark, sf_dir, "part").select("p_partkey", shared.cast("long").alias("shared"), (shared == 1).alias("settles"))
+    """The one candidate that the hints name, if it is the only one."""
+    return t(spark, sf_dir, "part").select("p_partkey", chess.settled(F.split("p_name", ""), F.split("p_brand", "")).alias("settled"))
 
 
 @query("""
@@ -556,58 +557,61 @@ def l1_latest_patch(spark, sf_dir):
     return patches.latest(e, ["move_id", "type"], ["ord"])
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_custkey % 7 = 3 AND EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_nationkey = o_orderkey % 25)")
+@query("SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_nationkey = o_orderkey % 25)")
 def l2_edition_guard(spark, sf_dir):
-    p = t(spark, sf_dir, "orders").where("o_custkey % 7 = 3").select("o_orderkey", F.col("o_custkey").alias("book_id"), (F.col("o_orderkey") % 25).cast("string").alias("sha256"))
+    p = t(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("book_id"), (F.col("o_orderkey") % 25).cast("string").alias("sha256"))
     a = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("book_id"), F.col("c_nationkey").cast("string").alias("sha256"))
     return patches.of_edition(p, a).select("o_orderkey")
 
 
 @query("""
-WITH RECURSIVE w AS (SELECT o_orderkey AS target, o_orderkey AS id, 0 AS up FROM orders WHERE o_orderkey % 50 = 49 UNION ALL SELECT target, id // 2, up + 1 FROM w WHERE id > 0)
+WITH RECURSIVE w AS (SELECT o_orderkey AS target, o_orderkey AS id, 0 AS up FROM orders UNION ALL SELECT target, id // 2, up + 1 FROM w WHERE id > 0)
 SELECT target, CAST(max(up) OVER (PARTITION BY target) - up AS BIGINT) AS depth, id FROM w
 """)
 def t11_line_to(spark, sf_dir):
     n = tree(spark, sf_dir)
-    return longs(trees.line_to(n, n.where("id % 50 = 49"), "id", "up"), "depth")
+    return longs(trees.line_to(n, n, "id", "up"), "depth")
 
 
 @query("SELECT 'customer' AS kind, c_custkey AS id, c_nationkey AS nation FROM customer UNION ALL SELECT 'supplier', s_suppkey, s_nationkey FROM supplier UNION ALL SELECT 'nation', n_nationkey, n_nationkey FROM nation")
 def u1_union_all(spark, sf_dir):
     kinds = (("customer", "c_custkey", "c_nationkey"), ("supplier", "s_suppkey", "s_nationkey"), ("nation", "n_nationkey", "n_nationkey"))
-    one, two, three = (t(spark, sf_dir, name).select(F.lit(name).alias("kind"), F.col(k).cast("long").alias("id"), F.col(n).alias("nation")) for name, k, n in kinds)
-    return one.unionByName(two).unionByName(three)
+    return relations.together(*(t(spark, sf_dir, name).select(F.lit(name).alias("kind"), F.col(k).cast("long").alias("id"), F.col(n).alias("nation")) for name, k, n in kinds))
 
 
-@query()
+@query("""
+WITH p AS (SELECT p_partkey, p_brand, p_type, translate(p_brand, '0Oo1lI8B5S2Z6b9g', '') AS a, translate(p_type, '0Oo1lI8B5S2Z6b9g', '') AS b FROM part)
+SELECT p_partkey, CAST(levenshtein(a, b) AS DOUBLE) AS cost, 0.5 * (length(p_brand) - length(translate(p_brand, '0158', '')))::DOUBLE AS alike, CAST(length(regexp_replace(p_type, '[aeiouAEIOU ]', '', 'g')) AS BIGINT) AS common FROM p
+""")
 def f9_f10_distances(spark, sf_dir):
-    """Weighted edit distance and common subsequence of part names and brands."""
+    """Edit distance of words without look-alikes, half its cost for look-alikes alone, and the common part of a word and its consonants."""
+    bare = lambda c: F.translate(c, "0Oo1lI8B5S2Z6b9g", "")
+    seen = F.translate("p_brand", "0158", "OlSB")
+    consonants = F.regexp_replace("p_type", "[aeiouAEIOU ]", "")
     p = t(spark, sf_dir, "part")
-    return p.select("p_partkey", chess.confusable_distance("p_brand", "p_type").alias("cost"), chess.common_subsequence("p_brand", "p_type").alias("common"))
-
-
-@query()
-def f26_f28_positions(spark, sf_dir):
-    """Legal moves and validity of two positions per nation, from the rules engine."""
-    fens = F.array(F.lit("rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq - 0 1"), F.lit("4k3/P7/8/8/8/8/8/4K3 w - - 0 1"))
-    n = t(spark, sf_dir, "nation").select("n_nationkey", F.explode(fens).alias("fen"))
-    return n.select("n_nationkey", "fen", F.size(chess.legal_moves("fen")).alias("legal"), chess.is_valid("fen").alias("valid"), chess.ply_awaited("fen").alias("ply"))
+    return longs(p.select("p_partkey", chess.confusable_distance(bare("p_brand"), bare("p_type")).alias("cost"), chess.confusable_distance("p_brand", seen).alias("alike"), chess.common_subsequence("p_type", consonants).alias("common")), "common")
 
 
 @query("""
-SELECT n_nationkey, 'rnbqkbnr/8/8/8/8/8/8/R3K2' || CASE WHEN n_nationkey % 2 = 0 THEN 'R' ELSE 'N' END || CASE WHEN n_nationkey % 3 = 0 THEN ' b ' ELSE ' w ' END ||
-  CASE WHEN n_nationkey % 2 = 0 THEN 'KQkq' ELSE 'Qkq' END || ' - 0 ' || (n_nationkey + 1) AS fen FROM nation
+SELECT o_orderkey, 'rnbqkbnr/8/8/8/8/8/8/R3K2' || CASE WHEN o_orderkey % 2 = 0 THEN 'R' ELSE 'N' END || CASE WHEN o_orderkey % 3 = 0 THEN ' b ' ELSE ' w ' END ||
+  CASE WHEN o_orderkey % 2 = 0 THEN 'KQkq' ELSE 'Qkq' END || ' - 0 ' || (o_orderkey + 1) AS fen FROM orders
 """)
 def f27_full_fen(spark, sf_dir):
-    k = F.col("n_nationkey")
+    k = F.col("o_orderkey")
     placement = F.concat(F.lit("rnbqkbnr/8/8/8/8/8/8/R3K2"), F.when(k % 2 == 0, "R").otherwise("N"))
-    n = t(spark, sf_dir, "nation").withColumn("placement", placement)
-    return n.select("n_nationkey", chess.full_fen("placement", k + 1, k % 3 == 0).alias("fen"))
+    n = t(spark, sf_dir, "orders").withColumn("placement", placement)
+    return n.select("o_orderkey", chess.full_fen("placement", k + 1, k % 3 == 0).alias("fen"))
 
 
-@query()
-def i8_cluster(spark, sf_dir):
-    """Ordered clustering of embeddings, each label a book of its own."""
+@query("""
+WITH g AS (SELECT label, vec_id, vec_id % 7 AS kind, count(*) OVER (PARTITION BY label, vec_id % 7) AS n, min(vec_id) OVER (PARTITION BY label, vec_id % 7) AS first FROM embeddings),
+r AS (SELECT label, first, row_number() OVER (PARTITION BY label ORDER BY first) - 1 AS k FROM (SELECT DISTINCT label, first FROM g WHERE n > 1)),
+c AS (SELECT label, count(*) AS kinds FROM r GROUP BY 1),
+f AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS k FROM g WHERE n = 1)
+SELECT g.vec_id, g.label, CAST(coalesce(r.k, coalesce(c.kinds, 0) + f.k) AS INTEGER) AS cluster FROM g LEFT JOIN r ON g.label = r.label AND g.first = r.first LEFT JOIN c ON c.label = g.label LEFT JOIN f ON f.label = g.label AND f.vec_id = g.vec_id
+""")
+def i8_o9_cluster(spark, sf_dir):
+    """Ordered clustering of signatures: seven kinds of squares, told apart by one coordinate and blurred by embeddings; a label is a book."""
     import numpy as np
     import pandas as pd
 
@@ -615,18 +619,19 @@ def i8_cluster(spark, sf_dir):
 
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
         f = frame.sort_values("vec_id")
-        return pd.DataFrame({"vec_id": f["vec_id"], "label": f["label"], "cluster": images.cluster([np.asarray(v) for v in f["embedding"]])})
+        squares = [np.asarray(v[:20], dtype=float) * 1e-4 + 4.0 * (np.arange(20) == k % 7) for k, v in zip(f["vec_id"], f["embedding"])]
+        return pd.DataFrame({"vec_id": f["vec_id"], "label": f["label"], "cluster": images.cluster(squares)})
 
     return t(spark, sf_dir, "embeddings").groupBy("label").applyInPandas(solve, "vec_id bigint, label int, cluster int")
 
 
-@query()
+@query(f"SELECT CAST(o_custkey % 97 AS VARCHAR) AS book_id, o_orderkey AS page, 0 AS idx, {MOVE_SQL} AS text, 0 AS column, true AS has_notation FROM orders")
 def i18_segment_lines(spark, sf_dir):
     """Composed notation set in pages and cut into printed lines."""
     from ..operators.books import segment_lines
 
     pages = page_sources.of_texts(notation_lines(spark, sf_dir).select(F.col("book").cast("string").alias("book_id"), "page", "text"))
-    return segment_lines(pages).select("book_id", "page", "idx", "text", "column", "has_notation")
+    return segment_lines(pages).select("book_id", F.col("page").cast("bigint").alias("page"), "idx", "text", "column", "has_notation")
 
 
 # --- more geometry and predicates ---
@@ -663,10 +668,9 @@ def p15_p16_overlaps(spark, sf_dir):
     return j.select("l_orderkey", "a", "b", geometry.rows_overlap("a_box", "b_box").alias("same_row"), geometry.mostly_inside("a_box", "b_box").alias("inside"))
 
 
-@query(r"""SELECT doc_id, regexp_matches(text, '(^|[^A-Za-z0-9])[0-9]{1,3}[ \t\n\r\f\v]*\.') AS numbered, coalesce(regexp_matches(regexp_extract(trim(text), '([^ \t\n\r\f\v]+)$', 1), '^[A-Za-z][a-z]*[.,;:!?)"”»]*$'), false) AS prose FROM documents WHERE regexp_full_match(text, '[\x00-\x7F]*')""")
+@query(r"""SELECT doc_id, regexp_matches(text, '(^|[^A-Za-z0-9])[0-9]{1,3}[ \t\n\r\f\v]*\.') AS numbered, coalesce(regexp_matches(regexp_extract(trim(text), '([^ \t\n\r\f\v]+)$', 1), '^[A-Za-z][a-z]*[.,;:!?)"”»]*$'), false) AS prose FROM documents""")
 def p11_p20_text_predicates(spark, sf_dir):
-    d = t(spark, sf_dir, "documents").where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
-    return d.select("doc_id", F.col("text").rlike(MOVE_NUMBER).alias("numbered"), text.ends_in_word("text").alias("prose"))
+    return t(spark, sf_dir, "documents").select("doc_id", F.col("text").rlike(MOVE_NUMBER).alias("numbered"), text.ends_in_word("text").alias("prose"))
 
 
 @query("SELECT event_type, least(1.0, count(*) / 200.0) AS confidence, CAST(sum(CASE WHEN value >= 0.45 THEN 1 ELSE 0 END) AS BIGINT) AS confident FROM events GROUP BY 1")
@@ -676,20 +680,24 @@ def a7_f18_p13_saturating(spark, sf_dir):
 
 
 @query("""
-SELECT n_nationkey, CAST(length(p) - length(replace(p, 'P', '')) AS BIGINT) AS white_pawns, CAST(length(p) - length(replace(p, 'r', '')) AS BIGINT) AS black_rooks
-FROM (SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR' ELSE '8/5pk1/6p1/8/8/6P1/5PK1/r7' END AS p FROM nation)
+SELECT o_orderkey, CAST(length(p) - length(replace(p, 'P', '')) AS BIGINT) AS white_pawns, CAST(length(p) - length(replace(p, 'r', '')) AS BIGINT) AS black_rooks
+FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR' ELSE '8/5pk1/6p1/8/8/6P1/5PK1/r7' END AS p FROM orders)
 """)
 def a17_piece_counts(spark, sf_dir):
-    p = F.when(F.col("n_nationkey") % 2 == 0, "rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR").otherwise("8/5pk1/6p1/8/8/6P1/5PK1/r7")
-    n = t(spark, sf_dir, "nation").select("n_nationkey", p.alias("p"))
-    return longs(n.select("n_nationkey", chess.piece_count("p", "P").alias("white_pawns"), chess.piece_count("p", "r").alias("black_rooks")), "white_pawns", "black_rooks")
+    p = F.when(F.col("o_orderkey") % 2 == 0, "rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR").otherwise("8/5pk1/6p1/8/8/6P1/5PK1/r7")
+    n = t(spark, sf_dir, "orders").select("o_orderkey", p.alias("p"))
+    return longs(n.select("o_orderkey", chess.piece_count("p", "P").alias("white_pawns"), chess.piece_count("p", "r").alias("black_rooks")), "white_pawns", "black_rooks")
 
 
-@query("SELECT vec_id, round(avg(CASE WHEN (k - 1) % 2 = 0 THEN v END), 6) AS light, round(avg(CASE WHEN (k - 1) % 2 = 1 THEN v END), 6) AS dark FROM (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS v, generate_subscripts(embedding, 1) AS k FROM embeddings) GROUP BY 1")
-def a16_parity_means(spark, sf_dir):
-    e = t(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("k", "v")).withColumn("v", F.col("v").cast("double"))
-    mean = lambda p: F.round(F.avg(F.when(F.col("k") % 2 == p, F.col("v"))), 6)
-    return e.groupBy("vec_id").agg(mean(0).alias("light"), mean(1).alias("dark"))
+@query("""
+WITH e AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS v, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings),
+m AS (SELECT vec_id, avg(CASE WHEN (k // 8 + k % 8) % 2 = 0 THEN v END) AS light, avg(CASE WHEN (k // 8 + k % 8) % 2 = 1 THEN v END) AS dark FROM e GROUP BY 1)
+SELECT vec_id, round(light, 6) AS light, round(dark, 6) AS dark, abs(light - dark) >= 0.04 AS is_board FROM m
+""")
+def a16_ground_shades(spark, sf_dir):
+    """Shades of the two parities of an 8 x 8 board, and whether they are far enough apart."""
+    g = pictures.ground_shades(t(spark, sf_dir, "embeddings"), ["vec_id"], "embedding")
+    return g.select("vec_id", F.round("light", 6).alias("light"), F.round("dark", 6).alias("dark"), "is_board")
 
 
 @query("""
@@ -705,10 +713,8 @@ def f12_f19_moves_and_plies(spark, sf_dir):
 
 @query("SELECT source, array_to_string(list_sort(list(doc_id))[greatest(1, 15 - 12):15 + 12], ',') AS around FROM documents GROUP BY 1")
 def w5_around(spark, sf_dir):
-    ids = F.array_sort(F.collect_list("doc_id"))
-    at = F.lit(14)
-    lo = F.greatest(F.lit(0), at - 12)
-    return t(spark, sf_dir, "documents").groupBy("source").agg(ids.alias("ids")).select("source", F.array_join(F.slice("ids", lo + 1, at + 13 - lo), ",").alias("around"))
+    near = relations.around(t(spark, sf_dir, "documents").select("source", "doc_id"), ["source"], ["doc_id"], F.lit(14), 12)
+    return near.groupBy("source").agg(F.array_join(F.array_sort(F.collect_list("doc_id")), ",").alias("around"))
 
 
 @query("SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY 1")
@@ -718,107 +724,85 @@ def s1_s3_s5_blocks(spark, sf_dir):
     return page_sources.of_blocks(c, sort_blocks=True).select(F.col("book_id").alias("conv_id"), "text")
 
 
-# --- whole chains over synthesised books ---
-
-
-def parsed_books(spark, sf_dir) -> dict[str, DataFrame]:
-    from ..operators.books import Options
-    from .run import run
+# --- symbols ---
 
-    openings = ["1. e4 e5 2. Nf3 Nc6 3. Bb5 a6 (3... Nf6 4. O-O) 4. Ra5", "1. d4 Nf6 2. c4 g6 3. Nc3 i.g7 4. e4", "Words about it. 1. e4 c5 2. Nf3 d6 3. d4 cxd4 4. Nxd4 1-0 1. c4 e5"]
-    line = F.element_at(F.array(*map(F.lit, openings)), (F.col("n_nationkey") % 3 + 1).cast("int"))
-    books = t(spark, sf_dir, "nation").select(F.col("n_name").alias("book_id"), F.explode(F.sequence(F.lit(1), F.lit(2))).alias("page"), line.alias("text"))
-    return run(page_sources.of_texts(books), Options(infer_symbols=False))
-
-
-@query()
-def a28_book_summary(spark, sf_dir):
-    """Books read from pages: counts and breaks of each."""
-    from ..operators.survey import summary
-
-    r = parsed_books(spark, sf_dir)
-    return summary(r["counts"], diagnosis.book_breaks(r["moves"], r["games"], r["contradicted"]))
 
+@query("SELECT CAST(o_custkey % 97 AS VARCHAR) AS book_id, count(*) AS placed, count(*) AS total FROM orders GROUP BY 1")
+def i17_j6_j19_repair(spark, sf_dir):
+    """Recovered symbols written into composed notation, and how many landed in moves."""
+    from ..operators.books import repair_pages
 
-@query()
-def t13_printed_tree(spark, sf_dir):
-    """Every move of the books, labelled, in depth-first order."""
-    m = parsed_books(spark, sf_dir)["moves"]
-    key = lambda c: F.concat_ws("/", "book_id", c)
-    m = m.withColumn("parent_id", F.when(F.col("parent_id").isNotNull(), key("parent_id"))).withColumn("id", key("id"))
-    return trees.printed_tree(m, ["book_id", "game_id"]).select("id", "depth", "label")
+    lines = notation_lines(spark, sf_dir).select(F.col("book").cast("string").alias("book_id"), "page", F.regexp_replace("text", "[KQRBN]", "t").alias("text"))
+    pages = page_sources.of_texts(lines)
+    at = F.expr("instr(text, 't') - 1").cast("double")
+    found = lines.select("book_id", F.lit("N").alias("piece"), F.lit(0.9).alias("confidence"), "page", geometry.box(at, F.lit(700.0), F.lit(1.0), F.lit(10.0)).alias("bbox"), F.lit(1.6).alias("width_ratio"))
+    return longs(glyphs.placement_score(repair_pages(pages, found.withColumn("page", F.col("page").cast("int")))), "placed", "total")
 
 
-@query()
-def k2_k3_ds15_ds16_archives(spark, sf_dir):
-    """Archives written and opened again: manifests with their counts."""
-    from ..sinks import archives as sink
-    from ..sources import archives as source
+FOUND_SQL = "WITH f AS (SELECT user_id % 50 AS page, user_id AS line_no, event_id AS ord, substr('KQRBN', CAST(event_id % 5 AS INT) + 1, 1) AS piece, value / 100 AS confidence FROM events) "
+THRESHOLD_SQL = "(VALUES " + ", ".join(f"({x}::DOUBLE)" for x in glyphs.THRESHOLDS) + ") v(threshold)"
 
-    r = parsed_books(spark, sf_dir)
-    files = t(spark, sf_dir, "nation").select(F.col("n_name").alias("book_id"), F.concat("n_name", F.lit(".pdf")).alias("filename"), F.encode("n_name", "utf-8").alias("content"), F.lit(2).alias("page_count"))
-    opened = source.opened(sink.archives(files, r["notation"], r["games"], r["moves"]).select(F.col("book_id").alias("path"), "content"))
-    return source.manifests(opened).select("path", "filename", "media_type", "sha256", "page_count", "style", "counts.games", "counts.moves", "counts.ok", "counts.broken")
 
+def found_symbols(spark, sf_dir) -> DataFrame:
+    piece = F.substr(F.lit("KQRBN"), (F.col("event_id") % 5).cast("int") + 1, F.lit(1))
+    return t(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("page"), F.col("user_id").alias("line_no"), F.col("event_id").cast("int").alias("ord"), piece.alias("piece"), (F.col("value") / 100).alias("confidence"))
 
-@query()
-def k7_violations(spark, sf_dir):
-    """Moves of the books that break the exchange format: none should."""
-    from .. import schemas
 
-    return schemas.violations(parsed_books(spark, sf_dir)["moves"], "id", schemas.move_rules())
+def true_symbols(found: DataFrame) -> DataFrame:
+    held = F.array_sort(F.collect_list(F.struct("ord", "piece")))
+    return found.groupBy("page", "line_no").agg(F.array_join(F.transform(held, lambda x: x.piece), "").alias("pieces"))
 
 
-@query()
-def l3_patches_replayed(spark, sf_dir):
-    """One patched move per book, replayed through its line."""
-    m = parsed_books(spark, sf_dir)
-    first = m["games"].select("book_id", F.col("id").alias("game_id"), F.col("initial_fen").alias("first_fen"))
-    p = t(spark, sf_dir, "nation").select(F.lit(1).alias("ord"), F.col("n_name").alias("book_id"), F.lit("g1-m2").alias("move_id"), F.lit("san_edit").alias("type"), F.lit('{"san": "d5"}').alias("value"))
-    return patches.apply(m["moves"].join(first, ["book_id", "game_id"]), p).select("book_id", "id", "san", "status", "fen")
+@query(FOUND_SQL + f"SELECT threshold, count(CASE WHEN confidence >= threshold THEN 1 END) AS recovered, count(*) AS total, 0::BIGINT AS invented FROM f, {THRESHOLD_SQL} GROUP BY 1")
+def a21_glyph_scores(spark, sf_dir):
+    """Threshold sweep of symbols against a transcript of all of them, by common subsequence of each line."""
+    found = found_symbols(spark, sf_dir)
+    return longs(glyphs.scores(found, true_symbols(found), ["page", "line_no"]), "recovered", "total", "invented")
 
 
-@query()
-def i1_notation_reports(spark, sf_dir):
-    """Notation reports of composed books."""
-    from ..operators.notation import needs_glyph_recovery, reports
+@query(FOUND_SQL + "SELECT piece, count(*) AS n FROM f WHERE confidence >= 0.45 GROUP BY 1")
+def a29_piece_counts(spark, sf_dir):
+    return glyphs.piece_counts(found_symbols(spark, sf_dir))
 
-    pages = page_sources.of_texts(notation_lines(spark, sf_dir).select(F.col("book").cast("string").alias("book_id"), "page", "text"))
-    return reports(pages).select("book_id", "style", "language", "confidence", "neutral_move_count", needs_glyph_recovery().alias("needs"))
 
+@query(FOUND_SQL + """
+, l AS (SELECT page, line_no, string_agg(piece, '' ORDER BY ord) AS want, coalesce(string_agg(CASE WHEN confidence >= 0.45 THEN piece END, '' ORDER BY ord), '') AS got FROM f GROUP BY 1, 2)
+SELECT * FROM l WHERE want <> got
+""")
+def l11_mismatches(spark, sf_dir):
+    """Lines of a transcript that the sure symbols do not spell."""
+    found = found_symbols(spark, sf_dir)
+    return glyphs.mismatches(found, true_symbols(found), ["page", "line_no"]).drop("candidates")
 
-@query()
-def i4_i5_diagrams(spark, sf_dir):
-    """Diagrams set in an invented font, found on pages of every nation."""
-    from ..operators.books import find_diagrams
 
-    rows = "TSLDMLST\nJJJJJJJJ\n........\n........\n........\n........\nIIIIIIII\nRNBQKBNR"
-    pages = t(spark, sf_dir, "nation").select(F.col("n_name").alias("book_id"), F.lit(1).alias("page"), F.concat("n_name", F.lit("\n" + rows + "\nand words")).alias("text"))
-    return find_diagrams(page_sources.of_texts(pages)).select("book_id", "page", "start", "end", F.array_join("rows", "/").alias("rows"))
+@query(f"""
+WITH p AS (SELECT o_custkey % 97 AS book_id, o_orderkey AS page, {MOVE_SQL} AS text, o_orderkey % 12 AS x FROM orders)
+SELECT CAST(book_id AS VARCHAR) AS book_id, page, CAST(CASE WHEN page % 5 = 0 OR x >= length(text) THEN length(text) ELSE x - length(regexp_extract(left(text, CAST(x AS INT)), '([^ ]*)$', 1)) END AS BIGINT) AS start FROM p
+""")
+def j20_picture_places(spark, sf_dir):
+    """Where pictures stand in their pages' texts; every fifth hangs too low to have text below."""
+    lines = notation_lines(spark, sf_dir).select(F.col("book").cast("string").alias("book_id"), F.col("page").cast("int").alias("page"), "text")
+    low = F.when(F.col("page") % 5 == 0, 709.0).otherwise(710.0)
+    boards = lines.select("book_id", "page", F.lit(0).alias("ord"), geometry.box((F.col("page") % 12).cast("double"), low, F.lit(30.0), F.lit(30.0)).alias("bbox"))
+    return longs(pictures.place(boards, page_sources.of_texts(lines)).drop("ord"), "page", "start")
 
 
-@query()
-def i17_j6_j19_repair(spark, sf_dir):
-    """Recovered symbols written into composed notation, and how many landed in moves."""
-    from .. import schemas
-    from ..operators.books import repair_pages
+@query(f"WITH b AS ({BOXES_SQL}) SELECT l_orderkey, l_partkey, l_linenumber FROM b WHERE w * 3 >= 60 AND (w * 3) / (h * 20) BETWEEN 0.85 AND 1.18 AND (w * 3) * (h * 20) <= 0.5 * 12000 AND l_partkey % 100 >= 64")
+def s7_pictures_like_boards(spark, sf_dir):
+    """Pictures wide enough, square enough, not most of their page and with pixels enough."""
+    b = boxes(spark, sf_dir).select("l_orderkey", "l_partkey", "l_linenumber", geometry.box(F.col("box.x"), F.col("box.y"), F.col("box.w") * 3, F.col("box.h") * 20).alias("bbox"), F.lit(12000.0).alias("page_area"), (F.col("l_partkey") % 100).alias("width"), F.lit(200).alias("height"))
+    return pictures.shaped_like_boards(b).select("l_orderkey", "l_partkey", "l_linenumber")
 
-    lines = notation_lines(spark, sf_dir).select(F.col("book").cast("string").alias("book_id"), "page", F.regexp_replace("text", "[KQRBN]", "t").alias("text"))
-    pages = page_sources.of_texts(lines)
-    at = F.expr("instr(text, 't') - 1").cast("double")
-    found = lines.select("book_id", F.lit("N").alias("piece"), F.lit(0.9).alias("confidence"), "page", geometry.box(at, F.lit(700.0), F.lit(1.0), F.lit(10.0)).alias("bbox"), F.lit(1.6).alias("width_ratio"))
-    assert schemas.GLYPHS
-    return glyphs.placement_score(repair_pages(pages, found.withColumn("page", F.col("page").cast("int"))))
 
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")
+def l4_windowed_events(spark, sf_dir):
+    """Events per hour and type, run as a stream to its end; nothing is late as the stream reads all files at once."""
+    from ..streaming.books import event_counts
+    from .checkpoints import stream_to_end
 
-@query()
-def a21_glyph_scores(spark, sf_dir):
-    """Threshold sweep of symbols against a transcript, by common subsequence of each line."""
-    e = t(spark, sf_dir, "events")
-    piece = lambda c: F.substr(F.lit("KQRBN"), (c % 5).cast("int") + 1, F.lit(1))
-    found = e.select((F.col("user_id") % 50).alias("page"), F.col("user_id").alias("line_no"), F.col("event_id").cast("int").alias("ord"), piece(F.col("event_id")).alias("piece"), (F.col("value") / 100).alias("confidence"))
-    truth = found.groupBy("page", "line_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "piece"))), lambda x: x.piece), "").alias("pieces"))
-    return glyphs.scores(found, truth, ["page", "line_no"])
+    events = spark.readStream.schema(t(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+    counts = stream_to_end(event_counts(events, "1 hour", "1000 days"), "complete")
+    return counts.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("hour"), "event_type", "n", F.round("value", 4).alias("value"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -829,8 +813,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(page_sources.of_texts(lines))["counts"]
 
 
-def columns_of(df: DataFrame) -> list[Column]:
-    return [F.col(c) for c in df.columns]
-
+from . import book_queries  # noqa: E402  (registers its queries)
 
-__all__ = ["ORACLES", "QUERIES", "W", "flagship"]
+__all__ = ["ORACLES", "QUERIES", "W", "book_queries", "flagship"]

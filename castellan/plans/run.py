@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import books, diagnosis, notation, pictures
+from ..operators import books, diagnosis, notation, pictures, relations
 from ..operators.books import Options
 from .checkpoints import cut
 
@@ -38,7 +38,7 @@ def run(pages: DataFrame, options: Options = Options(), glyphs: DataFrame | None
     blocks, extra, seen = printed, None, None
     if options.read_pictures and not (drawn is None and rasters is None):
         seen = cut(pictures.read(pictures.on_pages(pages, drawn, rasters, printed)))
-        blocks = printed.unionByName(seen.select(*printed.columns))
+        blocks = relations.together(printed, seen.select(*printed.columns))
         extra = seen.groupBy("book_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("page", "start", "rows"))), lambda x: x.rows).alias("drawn"), F.first("twins").alias("twins"), F.first("empty").alias("empty"))
     tokens = cut(books.tokenize(pages, report.select("book_id", notation.piece_letters().alias("letters")), blocks))
     parsed = cut(books.parse(tokens, options, extra))

@@ -9,7 +9,7 @@ import zipfile
 from datetime import UTC, datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import __version__, schemas
@@ -18,6 +18,11 @@ VERSION = "1.0.0"
 NAME = "castellan"
 
 
+def content_hash(content: Column | str) -> Column:
+    """What a source is known by, JVM-side; ``manifest`` writes the same."""
+    return F.sha2(content, 256)
+
+
 def media_type(filename: str) -> str:
     return schemas.MEDIA_TYPES.get("." + filename.rsplit(".", 1)[-1].lower(), schemas.OTHER_MEDIA)
 
