@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -19,15 +20,36 @@ WORD_SPACE = b" \t\n\x0b\x0c\r"
 MASK = (1 << 64) - 1
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Point checkpoints at the cluster's shared folder; a local one only where none is named."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The folder for checkpoints, below the cluster's shared one; it goes when the driver's Python ends.
+
+    Where none is named, a local master gets a temporary one and a cluster an error.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
         if not named:
+            if not re.match(r"local(\[|$)", sc.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             named = tempfile.mkdtemp(prefix="castellan-ckpt-")
             atexit.register(shutil.rmtree, named, ignore_errors=True)
         sc.setCheckpointDir(named)
+    folder = sc.getCheckpointDir()
+    if folder not in _LEAVING:
+        _LEAVING.add(folder)
+        atexit.register(remove, spark, folder)
+    return folder
+
+
+_LEAVING: set[str] = set()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system it is; what is gone or out of reach stays so."""
+    sc = spark.sparkContext
+    if sc._jvm is not None and sc._jsc is not None and not sc._jsc.sc().isStopped():
+        where = sc._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def cut(df: DataFrame, rows: int | None = None, per_file: int = 100_000) -> DataFrame:
@@ -159,17 +181,33 @@ def stored(df: DataFrame, rows: int | None = None, per_file: int = 200_000) -> D
     knows their size. The folder is removed when the driver's Python ends.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    root = f"{spark.sparkContext.getCheckpointDir()}/castellan-{uuid.uuid4().hex}"
+    root = f"{ensure_checkpoint_dir(spark)}/castellan-{uuid.uuid4().hex}"
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // per_file)))
     df.write.parquet(root)
+    return spark.read.schema(df.schema).parquet(root)
 
-    def remove() -> None:
-        jvm, context = spark.sparkContext._jvm, spark.sparkContext._jsc
-        if jvm is not None and context is not None and not context.sc().isStopped():
-            where = jvm.org.apache.hadoop.fs.Path(root)
-            where.getFileSystem(context.hadoopConfiguration()).delete(where, True)
 
-    atexit.register(remove)
-    return spark.read.schema(df.schema).parquet(root)
+#: Bits of a page, fixed by Spark's bitmap functions, and the most pages that are broadcast: 32 MB.
+PAGE, MOST_PAGES = 32_768, 8_192
+
+
+def apart(df: DataFrame, key: Column, marks: DataFrame, n: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows whose ``key`` may be among ``marks`` (one bigint column, ``n`` rows), and rows whose key is not.
+
+    The first need an exact join; the others pass without an exchange. A bitmap
+    of at most 32 MB is broadcast. Where so many marks would fill it, all rows
+    count as the first kind and there are no others.
+    """
+    pages = 1
+    while pages < MOST_PAGES and pages * PAGE < 16 * n:
+        pages *= 2
+    if 2 * n > pages * PAGE:
+        return df, None
+    of = lambda h: F.pmod(F.xxhash64(h), F.lit(pages * PAGE))
+    place = of(marks[marks.columns[0]])
+    bitmap = marks.select(place.alias("p")).groupBy(F.expr(f"p div {PAGE}").alias("__page")).agg(F.expr(f"bitmap_construct_agg(p % {PAGE})").alias("__bits"))
+    rows = df.withColumn("__place", of(key)).join(F.broadcast(bitmap), F.expr(f"__place div {PAGE}") == F.col("__page"), "left")
+    byte = F.conv(F.hex(F.expr(f"substring(__bits, cast(__place % {PAGE} div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    hit = F.coalesce(F.shiftright(byte, 0).bitwiseAND(F.expr("shiftleft(1, cast(__place % 8 as int))")) != 0, F.lit(False))
+    return rows.where(hit).select(*df.columns), rows.where(~hit).select(*df.columns)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, connected_components, cut, groups, texts
+from .common import Forest, apart, connected_components, cut, groups, texts
 
 SEED = 42
 CHUNK = 1 << 16  # shingles whose bits are unpacked at once
@@ -315,8 +315,9 @@ def tiles(reps: DataFrame, lanes: int, radius: int, ratio: float, load: Column,
 
     Rows of side 0 are at home in their tile, rows of side 1 are compared with
     them: the tile's own rows and guests from the neighbouring tiles of one half
-    of the ball. A tile whose ``load`` sums to over ``most`` is split into
-    blocks, and every pair of blocks is a task.
+    of the ball. A tile whose ``load`` sums to over ``most`` is split into as
+    many blocks as that takes, and every pair of blocks is a task. Rows are
+    copied only as often as their own tile or one that they visit is split.
     """
     if ratio > 0:
         tile = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.log(F.lit(1 / ratio))).cast("long")
@@ -329,16 +330,18 @@ def tiles(reps: DataFrame, lanes: int, radius: int, ratio: float, load: Column,
         offsets = [sum(x * step**k for k, x in enumerate(o)) for o in half_ball(len(blocks), radius)]
     cols = reps.columns
     base = cut(reps.withColumn("tile", tile), rows, per_file)
-    heaviest = base.groupBy("tile").agg(F.sum(load).alias("load")).agg(F.max("load")).first()[0] or 0
-    g = max(1, -(-int(heaviest) // most))
-    block = F.pmod(F.xxhash64("rep"), F.lit(g)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(g - 1)))
-    home = base.select(*cols, "tile", block.alias("i"), every.alias("j"), F.lit(0).alias("side"))
-    own = base.select(*cols, "tile", every.alias("i"), block.alias("j"), F.lit(1).alias("side")).where("i <= j")
-    guest = base.select(*cols, "tile", block.alias("j"), F.explode(F.array(*(F.lit(o).cast("long") for o in offsets))).alias("o"))
-    guest = guest.select(*cols, (F.col("tile") - F.col("o")).alias("tile"), every.alias("i"), "j", F.lit(1).alias("side"))
+    # A row for each tile that has rows: at most 17 ** 4 population counts, or the logarithm of the largest set.
+    split = cut(base.groupBy("tile").agg(F.greatest(F.lit(1), F.ceil(F.sum(load) / most)).cast("int").alias("g")), 1)
+    each = F.explode(F.array(*(F.lit(o).cast("long") for o in offsets)))
+    guests = split.select(F.col("g").alias("h"), "tile", each.alias("o")).select((F.col("tile") - F.col("o")).alias("tile"), "h")
+    split = cut(split.join(guests.groupBy("tile").agg(F.max("h").alias("h")), "tile", "left").select("tile", "g", F.coalesce("h", F.lit(0)).alias("h")), 1)
+    base = base.join(F.broadcast(split), "tile").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    home = base.select(*cols, "tile", F.col("own").alias("i"), upto(F.greatest("g", "h")).alias("j"), F.lit(0).alias("side"))
+    own = base.select(*cols, "tile", upto(F.col("g")).alias("i"), F.col("own").alias("j"), F.lit(1).alias("side")).where("i <= j")
+    guest = base.select(*cols, F.col("own").alias("j"), "tile", each.alias("o")).select(*cols, "j", (F.col("tile") - F.col("o")).alias("tile"))
     # A guest is of use only where a tile has residents.
-    guest = guest.join(base.select("tile").distinct(), "tile", "left_semi").select(*cols, "tile", "i", "j", "side")
+    guest = guest.join(F.broadcast(split.select("tile", "g")), "tile").select(*cols, "tile", upto(F.col("g")).alias("i"), "j", F.lit(1).alias("side"))
     return home.union(own).union(guest).repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j", "side", "rep")
 
 
@@ -377,8 +380,8 @@ def radius_for(similarity: float, bits: int, deviations: float) -> int:
     return int(bits * p + deviations * (bits * p * (1 - p)) ** 0.5)
 
 
-def sets(df: DataFrame, ends: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, s): the sorted set of shingle hashes of the documents whose id is in ``ends``."""
+def sets(df: DataFrame, ends: DataFrame, n: int, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(id, s): the sorted set of shingle hashes of the documents whose id is among the ``n`` of ``ends``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -387,8 +390,9 @@ def sets(df: DataFrame, ends: DataFrame, id_col: str, text_col: str, words: int)
                 held = [np.sort(np.unique(shingle_hashes(t, words)).view(np.int64)) for t in texts(part, "text")]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(held, pa.list_(pa.int64()))], names=["id", "s"])
 
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(ends, "id", "left_semi")
-    return docs.mapInArrow(run, "id long, s array<long>")
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    asked, _ = apart(docs, F.col("id"), ends, n)
+    return asked.join(ends, "id", "left_semi").mapInArrow(run, "id long, s array<long>")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, lanes: int = 4, deviations: float = 3.0) -> DataFrame:
@@ -400,7 +404,8 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     candidate pair that its task has not yet united is compared exactly, in the
     order of ``64 * lanes`` bit fingerprints: first those as close as sets of
     that similarity are, give or take ``deviations`` standard deviations, then
-    the rest. Ids are longs; rows with a null id stay.
+    the rest. Ids are longs; rows with a null id stay. Rows that no decision
+    touches pass without an exchange.
     """
     radius = radius_for(similarity, 64 * lanes, deviations)
     names = [f"f{k}" for k in range(lanes)]
@@ -412,9 +417,12 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     weight = F.sqrt(F.length("p") / 64)  # a task's work grows with the bits and the square of the rows
     found = tiles(reps.select("rep", "n", "p"), lanes, radius, similarity, weight, TILE_ROWS, total).mapInPandas(_compare_sets(similarity), "a long, b long")
     ends = cut(found.select(F.col("a").alias("id")).union(found.select(F.col("b").alias("id"))).distinct(), total)
-    whole = sets(df, ends, id_col, text_col, words).join(reps.withColumnRenamed("rep", "id"), "id").withColumnRenamed("id", "rep")
-    near = tiles(whole.select("rep", "n", *names, "p", "s"), lanes, radius, similarity, F.size("s"), SET_HASHES, ends.count(), 2_000)
+    asked = ends.count()
+    whole = sets(df, ends, asked, id_col, text_col, words).join(reps.withColumnRenamed("rep", "id"), "id").withColumnRenamed("id", "rep")
+    near = tiles(whole.select("rep", "n", *names, "p", "s"), lanes, radius, similarity, F.size("s"), SET_HASHES, asked, 2_000)
     edges = near.mapInPandas(_compare_sets(similarity, lanes, radius), "a long, b long").union(equal)
     groups_ = connected_components(edges)
-    gone = groups_.where("node <> component").select(F.col("node").alias("__gone"))
-    return df.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    gone = cut(groups_.where("node <> component").select(F.col("node").alias("__gone")), total)
+    some, others = apart(df, F.col(id_col), gone, gone.count())
+    kept = some.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    return kept if others is None else kept.union(others)
