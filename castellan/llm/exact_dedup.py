@@ -8,7 +8,13 @@ places the stored digests anew, and deletion frees the slot of a live digest.
 The distributed form folds twice. Each input task runs an index over its own
 rows, so a text that fills a third of the table leaves one row per task; the
 folded rows are then dealt by digest and a second index per shard merges them.
-Content equality is SHA-256 over the UTF-8 bytes together with their number.
+Shards follow from the number of rows, and an index that holds ``MOST`` digests
+hands them on and starts anew, so no task holds more.
+
+Equality is content's. Digests are SHA-256 over the UTF-8 bytes and their
+number; whatever digest is found twice has its contents compared, bucket by
+bucket, as partial minima and maxima of the texts that have it. Should contents
+differ, those rows get their whole content as digest.
 """
 
 from __future__ import annotations
@@ -21,10 +27,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import cut, text_or_empty
+from .common import apart, cut, shuffle_partitions, text_or_empty
 
 SLOTS = 4
 MAX_KICKS = 64
+MOST = 1_000_000  # digests that one index holds
 
 
 class CuckooIndex:
@@ -103,19 +110,24 @@ class CuckooIndex:
         return ((d, v) for d, v in zip(self.digests, self.values) if d is not None)
 
 
-def _fold(keep: str):
-    """A partition function: (digest, id, n) rows to one row per digest of the partition."""
+def _fold(keep: str, partial: bool):
+    """A partition function: (digest, id, n) rows to one row per digest of the partition, or a few where they are ``partial``."""
 
     def better(a, b):
         if a is None or b is None:
             return b if a is None else a
         return max(a, b) if keep == "max" else min(a, b)
 
+    def rows_of(index: CuckooIndex, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+        rows = list(index.items())
+        for lo in range(0, len(rows), 50_000):
+            part = rows[lo : lo + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in part], pa.binary()), pa.array([v[0] for _, v in part], kind), pa.array([v[1] for _, v in part], pa.int64())], names=["digest", "id", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = CuckooIndex()
-        schema = None
+        index, kind = CuckooIndex(), None
         for batch in batches:
-            schema = batch.schema
+            kind = batch.schema.field(1).type
             for digest, doc, n in zip(*(c.to_pylist() for c in batch.columns)):
                 s = index.find(digest)
                 if s < 0:
@@ -123,10 +135,11 @@ def _fold(keep: str):
                 else:
                     old, m = index.values[s]
                     index.values[s] = (better(old, doc), m + n)
-        rows = list(index.items())
-        for lo in range(0, len(rows), 50_000):
-            part = rows[lo : lo + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in part], pa.binary()), pa.array([v[0] for _, v in part], schema.field(1).type), pa.array([v[1] for _, v in part], pa.int64())], names=["digest", "id", "n"])
+            if partial and index.n >= MOST:
+                yield from rows_of(index, kind)
+                index = CuckooIndex()
+        if kind is not None:
+            yield from rows_of(index, kind)
 
     return run
 
@@ -142,15 +155,47 @@ def digests(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), digest_of(text_col).alias("digest"))
 
 
-def classes(rows: DataFrame, keep: str = "max") -> DataFrame:
-    """(digest, id that stays, group size) of the classes of equal texts, from (id, digest) rows.
+def classes(rows: DataFrame, keep: str = "max", total: int | None = None) -> DataFrame:
+    """(digest, id that stays, group size) of the classes of equal texts, from ``total`` (id, digest) rows.
 
     Null ids never win over others; a class of null ids keeps null.
     """
     kind = dict(rows.dtypes)["id"]
     schema = f"digest binary, id {kind}, n bigint"
-    local = rows.select("digest", "id", F.lit(1).cast("bigint").alias("n")).mapInArrow(_fold(keep), schema)
-    return local.repartition("digest").mapInArrow(_fold(keep), schema)
+    total = rows.count() if total is None else total
+    shards = max(shuffle_partitions(rows.sparkSession), -(-total // (MOST // 2)))
+    local = rows.select("digest", "id", F.lit(1).cast("bigint").alias("n")).mapInArrow(_fold(keep, True), schema)
+    return local.repartition(shards, "digest").mapInArrow(_fold(keep, False), schema)
+
+
+def verified(df: DataFrame, id_col: str, text_col: str, keep: str) -> tuple[DataFrame, DataFrame, DataFrame, int, DataFrame]:
+    """(rows, classes, repeated digests, their number, clashes): all by digests that stand for one content each.
+
+    ``rows`` is (id, digest). ``clashes`` names the plain digests of several contents, which SHA-256 is not known to have.
+    """
+    rows = cut(digests(df, id_col, text_col))
+    total = rows.count()
+    found = cut(classes(rows, keep, total), total)
+    many = found.where("n > 1").select("digest")
+    n = many.count()
+    docs = df.select(digest_of(text_col).alias("digest"), text_or_empty(text_col).alias("text"))
+    again, _ = apart(docs, F.xxhash64("digest"), many.select(F.xxhash64("digest").alias("h")), n)
+    content = again.groupBy("digest").agg(F.min("text").alias("lo"), F.max("text").alias("hi"))
+    clashes = cut(content.where("lo <> hi").select("digest").join(many, "digest", "left_semi"), total)
+    if not clashes.isEmpty():
+        own = df.select(F.col(id_col).alias("id"), digest_of(text_col).alias("digest"), text_or_empty(text_col).alias("__text"))
+        rows = cut(told_apart(own, "digest", "__text", clashes).drop("__text"))
+        found = cut(classes(rows, keep, total), total)
+        many = found.where("n > 1").select("digest")
+        n = many.count()
+    return rows, found, many, n, clashes
+
+
+def told_apart(rows: DataFrame, digest: str, text_col: str, clashes: DataFrame) -> DataFrame:
+    """``rows``, those whose ``digest`` is among ``clashes`` with their content in it."""
+    both = rows.join(clashes.select(F.col("digest").alias("__clash")), F.col(digest) == F.col("__clash"), "left")
+    whole = F.concat(digest, F.encode(text_or_empty(text_col), "utf-8"))
+    return both.withColumn(digest, F.when(F.col("__clash").isNotNull(), whole).otherwise(F.col(digest))).drop("__clash")
 
 
 def members(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
@@ -158,20 +203,28 @@ def members(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
 
     Rows that repeat both text and id count in the group and share one verdict.
     """
-    rows = cut(digests(df, id_col, text_col))
-    found = classes(rows, keep).select("digest", F.col("id").alias("keep_id"), F.col("n").alias("group_size"))
+    rows, found, *_ = verified(df, id_col, text_col, keep)
+    found = found.select("digest", F.col("id").alias("keep_id"), F.col("n").alias("group_size"))
     return rows.join(found, "digest").select(
         F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex(F.substring("digest", 1, 32))).alias("text_sha256")
     )
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
-    """The rows of ``df`` that stay, every column unchanged; of rows that repeat both id and text one stays."""
-    stays = classes(digests(df, id_col, text_col), keep).select(F.col("id").alias("__stays"), F.col("digest").alias("__content"))
-    rows = df.withColumn("__digest", digest_of(text_col))
-    kept = rows.join(stays, (F.col("__digest") == F.col("__content")) & F.col(id_col).eqNullSafe(F.col("__stays")), "left_semi")
-    again = W.partitionBy("__digest", id_col).orderBy(F.xxhash64(*df.columns))
-    return kept.withColumn("__k", F.row_number().over(again)).where("__k = 1").select(*df.columns)
+    """The rows of ``df`` that stay, every column unchanged; of rows that repeat both id and text one stays.
+
+    Only rows whose digest may be among the repeated ones are exchanged.
+    """
+    _, found, many, n, clashes = verified(df, id_col, text_col, keep)
+    plain = many.select(F.substring("digest", 1, 40).alias("digest")).union(clashes)
+    again, alone = apart(df.withColumn("__digest", digest_of(text_col)), F.xxhash64("__digest"), plain.select(F.xxhash64("digest").alias("h")), n + clashes.count())
+    if not clashes.isEmpty():
+        again = told_apart(again, "__digest", text_col, clashes)
+    # By digest and id, so that the copies of a hot text spread over all tasks.
+    stays = found.select(F.col("id").alias("__stays"), F.col("digest").alias("__content"))
+    kept = again.join(stays, (F.col("__digest") == F.col("__content")) & F.col(id_col).eqNullSafe(F.col("__stays")), "left_semi")
+    one = kept.withColumn("__k", F.row_number().over(W.partitionBy("__digest", id_col).orderBy(F.xxhash64(*df.columns)))).where("__k = 1").select(*df.columns)
+    return one if alone is None else one.union(alone.select(*df.columns))
 
 
 def replay(changes: DataFrame) -> DataFrame:
