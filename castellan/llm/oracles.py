@@ -18,9 +18,9 @@ f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fail
 h AS (SELECT host, count(*)::DOUBLE AS n, count(CASE WHEN base_failed THEN 1 END)::DOUBLE AS y FROM f WHERE host IS NOT NULL GROUP BY 1),
 g AS (SELECT sum(n) AS n, greatest(least(sum(y) / sum(n), 1 - 1e-6), 1e-6) AS m, count(*) AS k, sum(n * n) AS n2, sum(y * y / n) AS s FROM h),
 q AS (SELECT m, CASE WHEN n - n2 / n > 0 THEN (s - n * m * m - (k - 1) * m * (1 - m)) / ((n - n2 / n) * m * (1 - m)) ELSE 0 END AS share FROM g),
-p AS (SELECT m * z AS a, (1 - m) * z AS b FROM (SELECT m, CASE WHEN share > 0 THEN least(greatest(1 / share - 1, 2), 1000) ELSE 1000 END AS z FROM q)),
-v AS (SELECT host, (y + a) / (n + a + b) AS rate, n + a + b AS total FROM h, p),
-o AS (SELECT host, rate - 2 * sqrt(rate * (1 - rate) / (total + 1)) <= 0.9 AS host_ok FROM v)
+p AS (SELECT m * z AS a, (1 - m) * z AS b, least(greatest(0.5, m + 3 * sqrt(m * (1 - m) / (z + 1))), 0.75) AS most FROM (SELECT m, CASE WHEN share > 0 THEN least(greatest(1 / share - 1, 2), 1000) ELSE 1000 END AS z FROM q)),
+v AS (SELECT host, (y + a) / (n + a + b) AS rate, n + a + b AS total, most FROM h, p),
+o AS (SELECT host, rate - 2 * sqrt(rate * (1 - rate) / (total + 1)) <= most AS host_ok FROM v)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(host_ok, true) AS kept FROM f LEFT JOIN o USING (host)
 """
 SUFFIX = """
@@ -32,8 +32,14 @@ r AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER k + 400 THEN 0 ELSE 1 END AS
 g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM r),
 c AS (SELECT doc_id, run, min(i) AS a, max(i) + 400 AS b FROM g GROUP BY 1, 2),
 p AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM c),
+v AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+y AS (SELECT doc_id, i, md5(array_to_string(ws[i : i + 50], ' ')) AS m FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 49, 1))) AS i FROM v WHERE len(ws) >= 51)),
+h AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 51 THEN 0 ELSE 1 END AS new FROM y SEMI JOIN (SELECT m FROM y GROUP BY m HAVING count(*) > 1) USING (m)),
+j AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM h),
+z AS (SELECT doc_id, count(*) AS n_passages, CAST(sum(words) AS BIGINT) AS n_passage_words FROM (SELECT doc_id, run, max(i) - min(i) + 51 AS words FROM j GROUP BY 1, 2) GROUP BY 1),
 k AS (SELECT doc_id, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head, max(b) AS last, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM p JOIN s USING (doc_id) GROUP BY 1)
-SELECT s.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM s LEFT JOIN k USING (doc_id)
+SELECT s.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256,
+  coalesce(n_passages, 0) AS n_passages, coalesce(n_passage_words, 0) AS n_passage_words FROM s LEFT JOIN k USING (doc_id) LEFT JOIN z USING (doc_id)
 """
 DEDUP = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256

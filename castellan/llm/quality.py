@@ -3,10 +3,14 @@
 Each document gets the counts below in one pass. Rule failures are summed by
 host, and a host's failure rate is shrunk towards the corpus with a beta prior
 fitted by moments to the hosts' own rates: a host with few documents borrows
-from all others. A host is rejected when its shrunken rate exceeds
-``HOST_LIMIT`` by ``HOST_DEVIATIONS`` posterior standard deviations, and the
-verdict is joined back to its documents. Null texts have no words; documents
-without a host are judged alone.
+from all others. A host is rejected when its shrunken rate, less
+``HOST_DEVIATIONS`` posterior standard deviations, lies above a limit that is
+fitted too: the prior's mean and ``PRIOR_DEVIATIONS`` of its standard
+deviations, but within ``HOST_LIMITS``, so that no host is rejected of whose
+documents most pass, and a host that nearly always fails is rejected however
+far apart hosts are. The verdict is joined back to its documents.
+
+Null texts have no words; documents without a host are judged alone.
 """
 
 from __future__ import annotations
@@ -15,17 +19,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_SPACE, cut, texts
+from .common import WORD_SPACE, apart, cut, texts
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
-HOST_LIMIT = 0.9
-HOST_DEVIATIONS = 2.0
+HOST_LIMITS = (0.5, 0.75)
+HOST_DEVIATIONS, PRIOR_DEVIATIONS = 2.0, 3.0
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _ODD = [pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(1, WINDOW + 1)]
 
@@ -66,29 +70,40 @@ def counts(text: bytes) -> tuple[int, int, int, int, int]:
     return len(words), word_chars, len(text) - len(text.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words)
 
 
+def _failed(n_words: Column, n_repeat_words: Column) -> Column:
+    return (n_words < MIN_WORDS) | (100 * n_repeat_words > MAX_REPEAT_PERCENT * n_words)
+
+
 def measured(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """(id, th, host, the five counts, base_failed) of every row; ``th`` is a hash of the text."""
+    """(id, host, the five counts, base_failed) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [counts(t) for t in texts(batch)]
             columns = list(zip(*rows)) if rows else [()] * len(COUNTS)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, pa.int64()) for c in columns)], names=["id", "th", "host", *COUNTS])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c, pa.int64()) for c in columns)], names=["id", "host", *COUNTS])
 
-    picked = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text"))
-    out = picked.mapInArrow(run, f"id {dict(picked.dtypes)['id']}, th bigint, host string, " + ", ".join(f"{c} long" for c in COUNTS))
-    return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
+    picked = df.select(F.col(id_col).alias("id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text"))
+    out = picked.mapInArrow(run, f"id {dict(picked.dtypes)['id']}, host string, " + ", ".join(f"{c} long" for c in COUNTS))
+    return out.withColumn("base_failed", _failed(F.col("n_words"), F.col("n_repeat_words")))
 
 
 def host_verdicts(rows: DataFrame) -> DataFrame:
     """(host, n, failed, rate, host_ok) from rows (host, base_failed); null hosts have no verdict."""
-    hosts = rows.where("host is not null").groupBy("host").agg(F.count("*").alias("n"), F.count_if("base_failed").alias("failed"))
+    hosts = cut(rows.where("host is not null").groupBy("host").agg(F.count("*").alias("n"), F.count_if("base_failed").alias("failed")))
     prior = hosts.agg(F.sum("n").alias("N"), F.sum("failed").alias("Y"), F.count("*").alias("H"), F.sum(F.col("n").cast("double") * F.col("n")).alias("N2"), F.sum(F.col("failed").cast("double") * F.col("failed") / F.col("n")).alias("S")).first()
     alpha, beta = beta_prior(prior["N"] or 0, prior["Y"] or 0, prior["H"] or 0, prior["N2"] or 0.0, prior["S"] or 0.0)
     a, b = F.col("failed") + F.lit(alpha), F.col("n") - F.col("failed") + F.lit(beta)
     rate = a / (a + b)
     spread = F.sqrt(rate * (1 - rate) / (a + b + 1))
-    return hosts.withColumn("rate", rate).withColumn("host_ok", rate - HOST_DEVIATIONS * spread <= HOST_LIMIT)
+    return hosts.withColumn("rate", rate).withColumn("host_ok", rate - HOST_DEVIATIONS * spread <= host_limit(alpha, beta))
+
+
+def host_limit(alpha: float, beta: float) -> float:
+    """The rate above which a host stands out."""
+    mean = alpha / (alpha + beta)
+    least, most = HOST_LIMITS
+    return min(max(least, mean + PRIOR_DEVIATIONS * (mean * (1 - mean) / (alpha + beta + 1)) ** 0.5), most)
 
 
 def beta_prior(n: int, failed: int, hosts: int, squares: float, weighted: float) -> tuple[float, float]:
@@ -108,21 +123,37 @@ def beta_prior(n: int, failed: int, hosts: int, squares: float, weighted: float)
     return mean * strength, (1 - mean) * strength
 
 
-def verdicts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """(id, th, host, counts, base_failed, kept) of every row."""
+def judged(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """(id, host, counts, base_failed, kept) of every row."""
     rows = cut(measured(df, id_col, text_col, host_col))
     # Cut, so that the join reads two plain exchanges and a hot host can be split.
     verdict = host_verdicts(rows).select(F.col("host").alias("__host"), "host_ok")
     verdict = cut(verdict, rows.select("host").distinct().count())
-    return rows.join(verdict, rows.host == F.col("__host"), "left").select("id", "th", "host", *COUNTS, "base_failed", (~F.col("base_failed") & F.coalesce("host_ok", F.lit(True))).alias("kept"))
+    return rows.join(verdict, rows.host == F.col("__host"), "left").select("id", "host", *COUNTS, "base_failed", (~F.col("base_failed") & F.coalesce("host_ok", F.lit(True))).alias("kept"))
 
 
-def judged(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """(id, host, counts, base_failed, kept) of every row."""
-    return verdicts(df, id_col, text_col, host_col).drop("th")
+def keep_good(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """The rows of ``df`` that pass, columns unchanged.
 
+    Texts are read twice, for the hosts' rates and for the rows that stay, and
+    not exchanged: only rows of what may be a rejected host meet the verdicts.
+    """
+    at = df.columns.index(text_col)
 
-def keep_good(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The rows of ``df`` that pass, columns unchanged. Rows that repeat id and text pass if one of them does."""
-    good = verdicts(df, id_col, text_col, host_col).where("kept").select(F.col("id").alias("__good"), F.col("th").alias("__th"))
-    return df.join(good, F.col(id_col).eqNullSafe(F.col("__good")) & (F.xxhash64(text_col) == F.col("__th")), "left_semi")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 512):
+                part = whole.slice(lo, 512)
+                found = [counts(b"" if v is None else v) for v in part.column(at).cast(pa.binary()).to_pylist()]
+                stays = pa.array([not (c[0] < MIN_WORDS or 100 * c[4] > MAX_REPEAT_PERCENT * c[0]) for c in found], pa.bool_())
+                yield part.filter(stays)
+
+    hosts = host_verdicts(measured(df, id_col, text_col, host_col))
+    bad = cut(hosts.where("not host_ok").select(F.col("host").alias("__host")))
+    n = bad.count()
+    if n:
+        host = F.col(host_col).cast("string")
+        some, others = apart(df, F.xxhash64(host), bad.select(F.xxhash64("__host").alias("h")), n)
+        left = some.join(bad, host == F.col("__host"), "left_anti")
+        df = left if others is None else left.union(others)
+    return df.mapInArrow(run, df.schema)
