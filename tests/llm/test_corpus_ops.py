@@ -68,6 +68,36 @@ def test_exact_dedup_rows(odd, clashing, nothing, odd_rows):
     assert {r.id for r in exact_dedup.classes(exact_dedup.digests(odd, "doc_id", "text"), "min").collect()} == {min(g) for g in groups.values()}
 
 
+def test_contents_decide_where_digests_clash(spark, monkeypatch):
+    """With a digest of one letter, most different texts clash."""
+    monkeypatch.setattr(exact_dedup, "digest_of", lambda c: F.encode(F.substring(F.md5(common.text_or_empty(c)), 1, 1), "utf-8"))
+    rows = [(k, f"text {k % 23}") for k in range(100)] + [(200, None), (201, ""), (201, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", F.lit(1))
+    groups = collections.defaultdict(list)
+    for d, t in rows:
+        groups[t or ""].append(d)
+    got = collections.Counter((r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.members(df).collect())
+    assert got == collections.Counter((d, max(groups[t or ""]), len(groups[t or ""])) for d, t in rows)
+    assert sorted(r.doc_id for r in exact_dedup.keep_one(df).collect()) == sorted(max(g) for g in groups.values())
+
+
+def test_rows_apart(spark):
+    df = spark.range(5000).withColumn("__page", F.lit(1)).drop("__page")
+    marks = spark.range(0, 5000, 7).select(F.xxhash64("id").alias("h"))
+    hit, rest = common.apart(df, F.xxhash64("id"), marks, 715)
+    some, others = {r.id for r in hit.collect()}, {r.id for r in rest.collect()}
+    assert not some & others and len(some | others) == 5000 and set(range(0, 5000, 7)) <= some and len(some) < 1500
+    assert common.apart(df, F.xxhash64("id"), marks, 1 << 40)[1] is None
+
+
+def test_full_indexes_are_handed_on(spark, monkeypatch):
+    df = spark.createDataFrame([(k, f"t{k % 700}") for k in range(3000)], "doc_id long, text string").coalesce(1)
+    fold = exact_dedup._fold("max", True)
+    monkeypatch.setattr(exact_dedup, "MOST", 64)
+    batches = [b for b in fold(iter(exact_dedup.digests(df, "doc_id", "text").selectExpr("digest", "id", "1L as n").toArrow().to_batches(max_chunksize=100)))]
+    assert sum(sum(b.column(2).to_pylist()) for b in batches) == 3000 and len(batches) > 5
+
+
 def test_repeated_ids_are_judged_by_row(spark):
     good, bad = " ".join(f"w{k}" for k in range(30)), "x"
     df = spark.createDataFrame([(5, good, "s"), (5, bad, "s"), (5, good, "t"), (7, bad, "s"), (None, good, "s")], "doc_id long, text string, source string")
@@ -217,23 +247,33 @@ def test_connected_components(spark):
 # --- suffix arrays ---
 
 
-def brute_cut(rows, length):
-    times = collections.Counter(b[i : i + length] for _, b in rows for i in range(len(b) - length + 1))
-    out = collections.Counter()
-    for d, b in rows:
+def brute_runs(rows, length):
+    """Which places of each row lie in a string of that length that starts elsewhere as well."""
+    times = collections.Counter(tuple(b[i : i + length]) for b in rows for i in range(len(b) - length + 1))
+    out = []
+    for b in rows:
         edge = np.zeros(len(b) + 1, int)
         for i in range(len(b) - length + 1):
-            if times[b[i : i + length]] > 1:
+            if times[tuple(b[i : i + length])] > 1:
                 edge[i] += 1
                 edge[i + length] -= 1
         gone = np.cumsum(edge)[: len(b)] > 0
         runs = int((np.diff(np.concatenate([[0], gone.astype(int), [0]])) == 1).sum())
-        out[d, len(b), int(gone.sum()), runs, hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest()] += 1
+        out.append((gone, runs))
+    return out
+
+
+def brute_cut(rows, length, words=51):
+    out = collections.Counter()
+    cuts = brute_runs([b for _, b in rows], length)
+    passages = brute_runs([b.split() for _, b in rows], words)
+    for (d, b), (gone, runs), (shared, n) in zip(rows, cuts, passages):
+        out[d, len(b), int(gone.sum()), runs, hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest(), n, int(shared.sum())] += 1
     return out
 
 
 def cut_rows(df):
-    return collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in df.collect())
+    return collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_passages, r.n_passage_words) for r in df.collect())
 
 
 def test_suffix_query(spark, doc_rows):
@@ -257,10 +297,24 @@ def test_passages_in_many_contexts(spark, hot):
     rows = [(k, (w(r.randint(0, 500)) + (passage if k % 2 else shorter) + w(r.randint(0, 500)) + ("" if k % 5 else passage[100:600])).encode()) for k in range(60)]
     rows += [(100, b"ab" * 600), (101, b"x" * 399), (102, b"x" * 400), (103, rows[3][1])]
     df = spark.createDataFrame([(d, b.decode()) for d, b in rows], "doc_id long, text string")
-    got = suffix.cut_documents(df, hot_regions=hot).select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    got = suffix.cut_documents(df, hot_regions=hot).select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passages", "n_passage_words")
     assert cut_rows(got) == brute_cut(rows, 400)
 
 
+@pytest.mark.parametrize("hot", [2_000, 1])
+def test_passages_of_over_fifty_words(spark, hot):
+    """Shorter than 400 bytes, so nothing goes, but reported; fifty words and less are not."""
+    r = random.Random(9)
+    w = lambda n: " ".join("".join(r.choice("abcd") for _ in range(r.randint(1, 3))) + str(r.randrange(90)) for _ in range(n))
+    passage, shorter = w(51), w(50)
+    rows = [(k, f"{w(r.randint(0, 40))} {(passage, shorter, w(60))[k % 3]}\n{w(r.randint(0, 40))}".encode()) for k in range(45)]
+    rows += [(100, b"a " * 200), (101, passage.replace(" ", "\n\t").encode()), (102, b"")]
+    df = spark.createDataFrame([(d, b.decode()) for d, b in rows], "doc_id long, text string")
+    got = suffix.cut_documents(df, hot_regions=hot).select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passages", "n_passage_words")
+    want = brute_cut(rows, 400)
+    assert cut_rows(got) == want and sum(k[5] for k in want) >= 17
+
+
 def test_induced_sorting():
     rng = np.random.default_rng(1)
     for t in range(150):
@@ -348,6 +402,26 @@ def test_hot_url_as_of_join(spark):
     assert {x.record_id: x.target_id for x in warc.resolve(df, bucket=16).collect()} == want
 
 
+def test_revisits_of_repeated_pages(spark):
+    """Two equal rows give two answers, and clashing or missing columns change nothing."""
+    pages = [(k, f"http://h{k % 2}.net/{k % 3}", f"<p>{k}") for k in range(1, 40)]
+    odd = [(50, None, "x"), (51, "no scheme", None), (52, "http://h0.net/" + "a" * 50_000 + "?q=" + "b" * 50_000, "y"), (53, "", ""), (-3, "http://h0.net/1", "z")]
+    schema = "page_id long, url string, html string"
+    df = spark.createDataFrame(pages + odd, schema)
+    one = collections.Counter(map(str, warc.report(df).collect()))
+    assert sum(one.values()) == 44
+    clash = df.union(df).withColumns({n: F.lit("clash") for n in ("rid", "tag", "bucket", "kind", "ts", "record_id")})
+    two = warc.report(clash).collect()
+    assert collections.Counter(r.record_id for r in two) == {k: 2 for k in {r.record_id for r in two}}
+    assert {(r.record_id, r.outcome, r.target_id) for r in two} == {(r.record_id, r.outcome, r.target_id) for r in warc.report(df).collect()}
+    assert warc.report(df.where("false")).count() == 0
+
+
+def test_every_outcome_occurs(spark):
+    got = collections.Counter(r.outcome for r in queries.op10_warc(spark, SF).collect())
+    assert set(got) == {"resolved", "mismatch", "unverified", "missing"}
+
+
 # --- transcripts ---
 
 
@@ -365,6 +439,81 @@ def test_chat_recovers_roles(spark):
             assert r.rendered.startswith(f"<|{r.role}|>\n") and (truth[k].text or "").strip("\n").startswith(r.rendered.split("\n", 1)[1][:20].strip("\n"))
 
 
+def features_of(chunks):
+    return [row for text in chunks for row in chat.line_features(text.split("\n")).tolist()]
+
+
+def textbook_viterbi(model, f):
+    """Score and states of lines with features ``f``, line by line with plain numbers."""
+    said = lambda k, s: sum(float(model.emit[j][s][f[k][j]]) for j in range(4))
+    best = [[(float(model.first[s]) + said(0, s), [s]) for s in range(6)]]
+    for k in range(1, len(f)):
+        row = []
+        for s in range(6):
+            score, path = max(((best[-1][p][0] + float(model.step[p][s]), best[-1][p][1]) for p in range(6)), key=lambda x: x[0])
+            row.append((score + said(k, s), path + [s]))
+        best.append(row)
+    return max(best[-1], key=lambda x: x[0])
+
+
+def score_of(model, f, states):
+    total = float(model.first[states[0]])
+    for k, s in enumerate(states):
+        total += sum(float(model.emit[j][s][f[k][j]]) for j in range(4)) + (float(model.step[states[k - 1]][s]) if k else 0.0)
+    return total
+
+
+def test_chat_against_textbook_viterbi(spark):
+    """Every conversation's pieces follow a best path, whole and in small blocks."""
+    import itertools
+
+    table = spark.read.parquet(f"{SF}/conversations.parquet")
+    chunks = chat.transcripts(table)
+    rows, start = chat.training_rows(chunks)
+    model = chat.fit(rows, start)
+    held = collections.defaultdict(list)
+    for r in chunks.collect():
+        held[r.conv_id].append((r.turn, r.text or ""))
+    for block in (chat.BLOCK, 2):
+        got = collections.defaultdict(list)
+        for r in chat.parse(chunks, model, block=block).collect():
+            got[r.conv_id].append((r.turn, r.piece, r.role, r.starts, r.n_lines))
+        assert set(got) == set(held)
+        for conv, turns in held.items():
+            lines = features_of(text for _, text in sorted(turns))
+            states = []
+            for _, _, role, starts, n in sorted(got[conv]):
+                at = 2 * chat.ROLES.index(role)
+                states += [at + (not starts), *[at + 1] * (n - 1)]
+            score, path = textbook_viterbi(model, lines)
+            assert states == path or abs(score_of(model, lines, states) - score) < 1e-9
+    lines = features_of(["User: a?\nb\n", "AI: c."])
+    score, _ = textbook_viterbi(model, lines)
+    with np.errstate(invalid="ignore"):
+        assert abs(max(score_of(model, lines, p) for p in itertools.product(range(6), repeat=4)) - score) < 1e-9
+
+
+def test_chat_crowded_blocks(spark):
+    """Many rows of one turn, null turns and null conversations, against one block of all."""
+    model = chat.fit([(c, k, t, "user" if k % 2 == 0 else "assistant") for c in range(30) for k, t in enumerate(["User: hi\nthere", "Assistant: hello"] * 2)])
+    rows = [(7, 3, "User: x\ny")] * 40 + [(7, 3, f"A: {k}") for k in range(30)] + [(7, None, "Q: n")] * 9 + [(None, 1, "AI: b"), (-1, 1, "AI: c"), (None, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, text string")
+    got = chat.parse(df, model, block=4, crowded=8).collect()
+    assert collections.Counter((r.conv_id, r.turn) for r in got if r.piece == 0) == collections.Counter((c, t) for c, t, _ in rows)
+    assert {r.rendered for r in got if r.conv_id is None and r.turn == 1} == {"<|assistant|>\nb"} and {r.rendered for r in got if r.conv_id == -1} == {"<|assistant|>\nc"}
+    few, start = chat.training_rows(df.withColumn("role", F.lit("user")), most=5)
+    assert 0 < len(few) <= 10 and start == 1
+    assert chat.training_rows(df.where("false").withColumn("role", F.lit("user"))) == ([], None)
+
+
+def test_chat_report_edges(spark):
+    schema = "conv_id long, turn long, role string, text string, conv string, known string, block string"
+    assert chat.report(spark.createDataFrame([], schema)).count() == 0
+    rows = [(1, 0, "user", "hi", "x", "y", "z"), (1, 0, "user", "hi", "x", "y", "z"), (None, None, None, None, None, None, None), (2, 1, "other", "word " * 20_000, "x", "y", "z")]
+    got = chat.report(spark.createDataFrame(rows, schema)).collect()
+    assert collections.Counter((r.conv_id, r.turn) for r in got if r.piece == 0) == {(1, 0): 2, (None, None): 1, (2, 1): 1}
+
+
 def test_chat_blocks_equal_one_block(spark):
     table = spark.read.parquet(f"{SF}/conversations.parquet").withColumn("conv_id", F.lit(1)).withColumn("turn", F.monotonically_increasing_id())
     chunks = chat.transcripts(table).cache()

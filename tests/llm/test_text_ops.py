@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from castellan.llm import bpe, packing, pii, quality, queries
+from castellan.llm import bpe, oracles, packing, pii, quality, queries
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 
@@ -281,6 +281,26 @@ def test_quality_query(spark, doc_rows, odd, clashing, nothing, odd_rows):
     assert quality.judged(nothing).count() == 0 and quality.keep_good(nothing).count() == 0 and quality.keep_good(odd).columns == odd.columns
 
 
+def test_hosts_change_verdicts(spark):
+    """A host most of whose documents fail takes the others along; SQL says the same."""
+    import duckdb
+    import pandas as pd
+
+    r = random.Random(2)
+    rows = []
+    for host, n, rate in [("a", 300, 0.05), ("b", 300, 0.1), ("c", 200, 0.2), ("d", 40, 0.0), ("bad", 200, 0.85), ("worse", 100, 1.0), ("tiny", 2, 1.0), (None, 50, 0.9)]:
+        rows += [(len(rows) + k, "short text" if r.random() < rate else " ".join(f"w{r.randrange(9000)}" for _ in range(30)), host) for k in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {x.id: (x.base_failed, x.kept) for x in quality.judged(df).collect()}
+    of = {d: h for d, _, h in rows}
+    turned = {of[d] for d, (failed, kept) in got.items() if not failed and not kept}
+    assert turned == {"bad"} and all(kept for d, (failed, kept) in got.items() if not failed and of[d] != "bad")
+    c = duckdb.connect()
+    c.register("documents", pd.DataFrame(rows, columns=["doc_id", "text", "source"]))
+    assert {x["doc_id"]: (x["base_failed"], x["kept"]) for x in c.sql(oracles.QUALITY).df().to_dict("records")} == got
+    assert {x.doc_id for x in quality.keep_good(df).collect()} == {d for d, (_, kept) in got.items() if kept}
+
+
 def test_hosts(spark):
     rows = [("bad", True)] * 400 + [("good", False)] * 900 + [("good", True)] * 100 + [("small", True)] * 2 + [(None, True)] * 3
     v = {r.host: r for r in quality.host_verdicts(spark.createDataFrame(rows, "host string, base_failed boolean")).collect()}
