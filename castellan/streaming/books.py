@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..kernels import tokens, tree
-from ..operators.books import box_row, page_text
+from ..operators.books import box_row, lean, page_text
 
 MOVE = "book_id string, id string, parent_id string, san string, fen string, ply int, page int, status string, item string"
 
@@ -31,14 +31,14 @@ def moves(pages: DataFrame, letters: str = "KQRBN", timeout_minutes: int = 60) -
         builder: tree.Builder = pickle.loads(state.get[0]) if state.exists else tree.Builder()
         done = len(builder.out.moves)
         for f in sorted((r for frame in frames for r in frame.itertuples(index=False)), key=lambda r: r.page):
-            builder.feed(tokens.tokenize(page_text(f.page, f.text, f.chars), letters))
+            builder.feed(tokens.tokenize(page_text(f.page, f.text, f.boxes, f.eaten), letters))
         new = builder.out.moves[done:]
         state.update((pickle.dumps(builder),))
         state.setTimeoutDuration(timeout_minutes * 60_000)
         if new:
             yield pd.DataFrame([(key[0], m.id, m.parent_id, m.san, m.fen, m.ply, m.page, m.status, json.dumps(vars(m) | {"bbox": box_row(m.bbox)})) for m in new], columns=["book_id", "id", "parent_id", "san", "fen", "ply", "page", "status", "item"])
 
-    return pages.select("book_id", "page", "text", "chars").groupBy("book_id").applyInPandasWithState(step, MOVE, "builder binary", "append", "ProcessingTimeTimeout")
+    return lean(pages).groupBy("book_id").applyInPandasWithState(step, MOVE, "builder binary", "append", "ProcessingTimeTimeout")
 
 
 def event_counts(events: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
