@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from castellan.llm import exact_dedup, packing, pii, quality, simhash
-from castellan.llm.common import ensure_checkpoint_dir
+from castellan.llm.common import ensure_checkpoint_dir, remove
 from castellan.llm.queries import VOCABULARY, vocabulary
 
 
@@ -49,13 +49,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result goes through the shared checkpoint folder."""
-    ensure_checkpoint_dir(spark)
-    root = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    """All stages over ``documents``; each result goes through the shared checkpoint folder, and goes when the next one is written."""
+    root = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{root}/{k}")
             docs = spark.read.parquet(f"{root}/{k}")
+            if k:
+                remove(spark, f"{root}/{k - 1}")
     return docs
