@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import shutil
 import tempfile
@@ -185,9 +186,30 @@ def stored(df: DataFrame, rows: int | None = None, per_file: int = 200_000) -> D
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // per_file)))
     df.write.parquet(root)
+    _WRITTEN.append(root)
     return spark.read.schema(df.schema).parquet(root)
 
 
+_WRITTEN: list[str] = []
+
+
+def tables_stored() -> int:
+    """How many tables ``stored`` has written; a mark for ``discard``."""
+    return len(_WRITTEN)
+
+
+def discard(spark: SparkSession, mark: int) -> None:
+    """Remove the tables stored since ``mark`` but for the last one, which needs none of them.
+
+    Shuffle files go when the driver collects what named them, so it is asked to.
+    """
+    for root in _WRITTEN[mark:-1]:
+        remove(spark, root)
+    del _WRITTEN[mark:-1]
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Bits of a page, fixed by Spark's bitmap functions, and the most pages that are broadcast: 32 MB.
 PAGE, MOST_PAGES = 32_768, 8_192
 

@@ -44,11 +44,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import apart, groups, stored, text_or_empty, texts
+from .common import apart, discard, groups, stored, tables_stored, text_or_empty, texts
 from .sais import permuted_lcp, suffix_array
 
 LENGTH, PASSAGE = 400, 51
-GRAM, WORD_GRAM = 128, 16
+GRAM, WORD_GRAM = 128, 8
 HOT_REGIONS = 2_000
 SHARD_BYTES = 2_000_000
 SEGMENT = 1 << 20
@@ -118,23 +118,44 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(after[: n - width + 1], before[width - 1 : n])
 
 
-def regions(data: np.ndarray | bytes, u: Unit = BYTES) -> list[tuple[int, int, int, int]]:
-    """(first start, number of starts, distance from there to the anchor, anchor hash) of all windows of a text, in order."""
-    data = u.split(data) if isinstance(data, bytes) else data
-    out = []
+def _powers(base: int, n: int) -> np.ndarray:
+    """1, base, base squared, .. modulo 2 ** 64; kept, as all texts ask for the same."""
+    if len(_KNOWN.get(base, ())) < n:
+        out = np.full(max(n, 1 << 16), base, dtype=np.uint64)
+        out[0] = 1
+        _KNOWN[base] = np.multiply.accumulate(out)
+    return _KNOWN[base][:n]
+
+
+_KNOWN: dict[int, np.ndarray] = {}
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def region_table(data: np.ndarray, u: Unit = BYTES) -> tuple[np.ndarray, ...]:
+    """Of all windows of a text, in order: first start, number of starts, distance from there to the anchor, anchor hash, and a hash of the whole region."""
+    parts = []
     width = u.length - u.gram + 1
     for lo in range(0, len(data) - u.length + 1, SEGMENT):
-        h = gram_hashes(data[lo : lo + SEGMENT + u.length - 1], u.gram)
+        piece = data[lo : lo + SEGMENT + u.length - 1]
+        h = gram_hashes(piece, u.gram)
         least = sliding_least((h & ~_LOW) | np.arange(len(h), dtype=np.uint64), width)
         at = (least & _LOW).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         count = np.diff(np.append(first, len(at)))
-        out += zip((first + lo).tolist(), count.tolist(), (at[first] - first).tolist(), h[at[first]].view(np.int64).tolist())
-    return out
+        # A region's hash is a difference of prefix sums, moved to the region's own origin.
+        one = _TABLE[piece] if piece.dtype == np.uint8 else piece
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(one * _powers(_BASE, len(one)), dtype=np.uint64)])
+        whole = (sums[first + count - 1 + u.length] - sums[first]) * _powers(_INVERSE, len(one))[first]
+        whole = (whole ^ (whole >> np.uint64(31))) * np.uint64(0x94D049BB133111EB) + count.astype(np.uint64)
+        parts.append((first + lo, count, at[first] - first, h[at[first]].view(np.int64), whole.view(np.int64)))
+    return tuple(np.concatenate(c) for c in zip(*parts)) if parts else tuple(np.zeros(0, np.int64) for _ in range(5))
 
 
-def digest(data: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+def regions(data: np.ndarray | bytes, u: Unit = BYTES) -> list[tuple[int, int, int, int]]:
+    """(first start, number of starts, distance from there to the anchor, anchor hash) of all windows of a text."""
+    data = u.split(data) if isinstance(data, bytes) else data
+    return list(zip(*(c.tolist() for c in region_table(data, u)[:4])))
 
 
 def _occurrences(u: Unit):
@@ -142,14 +163,17 @@ def _occurrences(u: Unit):
         for whole in batches:
             for lo in range(0, whole.num_rows, 256):
                 part = whole.slice(lo, 256)
-                docs, heads = part.column(0).to_pylist(), part.column(1).to_pylist()
-                rows = []
-                for doc, th, text in zip(docs, heads, texts(part)):
+                tables, rows = [], []
+                for k, text in enumerate(texts(part)):
                     data = u.split(text)
                     if len(data) >= u.length:
-                        rows += [(doc, th, a, n, d, key, digest(data[a : a + n - 1 + u.length].tobytes())) for a, n, d, key in regions(data, u)]
-                columns = list(zip(*rows)) if rows else [()] * 7
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))], names=["doc_id", "th", "a", "n", "d", "key", "rh"])
+                        tables.append(region_table(data, u))
+                        rows.append(np.full(len(tables[-1][0]), k))
+                if tables:
+                    a, n, d, key, rh = (np.concatenate(c) for c in zip(*tables))
+                    at = pa.array(np.concatenate(rows))
+                    places = [pa.array(c.astype(np.int32)) for c in (a, n, d)]
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), *places, pa.array(key), pa.array(rh)], names=["doc_id", "th", "a", "n", "d", "key", "rh"])
 
     return run
 
@@ -429,11 +453,18 @@ def covered(spans: list[dict] | None) -> tuple[int, int]:
 
 def cut_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, words: int = PASSAGE, hot_regions: int = HOT_REGIONS) -> DataFrame:
     """Per row: doc_id, the remaining bytes, the number of bytes before and of removed runs, and the passages of
-    ``words`` or more that occur elsewhere, as maximal runs and the words in them."""
+    ``words`` or more that occur elsewhere, as maximal runs and the words in them; with 0 those are not searched for."""
     none = F.lit(None).cast("array<struct<start:int,stop:int>>")
-    cut_ = repeats(df, id_col, text_col, BYTES._replace(length=length), hot_regions).select("doc_id", "th", "spans", none.alias("passages"))
-    seen = repeats(df, id_col, text_col, WORDS._replace(length=words), hot_regions).select("doc_id", "th", none.alias("spans"), F.col("spans").alias("passages"))
-    found = cut_.union(seen).groupBy("doc_id", "th").agg(F.max("spans").alias("spans"), F.max("passages").alias("passages"))
+    # Kept, so that all else of the first search can go before the second one.
+    mark = tables_stored()
+    cut_ = stored(repeats(df, id_col, text_col, BYTES._replace(length=length), hot_regions).select("doc_id", "th", "spans", none.alias("passages")))
+    discard(df.sparkSession, mark)
+    found = cut_
+    if words:
+        mark = tables_stored()
+        seen = stored(repeats(df, id_col, text_col, WORDS._replace(length=words), hot_regions).select("doc_id", "th", none.alias("spans"), F.col("spans").alias("passages")))
+        discard(df.sparkSession, mark)
+        found = cut_.union(seen).groupBy("doc_id", "th").agg(F.max("spans").alias("spans"), F.max("passages").alias("passages"))
     docs = documents(df, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
