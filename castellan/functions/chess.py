@@ -6,7 +6,7 @@ import functools
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..kernels import boards, distance, resolve, rules
@@ -18,12 +18,16 @@ def pandas_udf(kind: str):
     def wrap(f):
         made: list = []
 
-        @functools.wraps(f)
-        def call(*columns):
+        def function():
             if not made:
                 made.append(F.pandas_udf(f, kind))
-            return made[0](*columns)
+            return made[0]
+
+        @functools.wraps(f)
+        def call(*columns):
+            return function()(*columns)
 
+        call.function = function
         return call
 
     return wrap
@@ -132,3 +136,14 @@ def case_partner(char: pd.Series) -> pd.Series:
 def decode_rows(rows: pd.Series, keys: pd.Series, pieces: pd.Series) -> pd.Series:
     """Placement of printed rows under a table given as two strings; null with an unknown character."""
     return pd.Series([None if r is None or k is None else boards.decode(list(r), dict(zip(k, p))) for r, k, p in zip(rows, keys, pieces)])
+
+
+#: Functions of rows that SQL can call by name once they are registered.
+NAMED = {f.__name__: f for f in (confusable_distance, common_subsequence, legal_moves, is_valid, origin_hints, case_partner, decode_rows)}
+
+
+def register(spark: SparkSession, prefix: str = "") -> list[str]:
+    """Make the functions of rows callable by name from SQL in this session; returns their names."""
+    for name, f in NAMED.items():
+        spark.udf.register(prefix + name, f.function())
+    return [prefix + name for name in NAMED]

@@ -54,7 +54,7 @@ def apply(moves: DataFrame, patches: DataFrame) -> DataFrame:
             row: dict = {}
             before = fen.get(up) if up is not None else move.first_fen
             try:
-                board = rules.Position.parse(before)
+                board = rules.position(before)
                 played = board.read(edit or move.san)
                 row = {"san": board.san(played), "uci": played.uci(), "fen": board.play(played).fen(), "status": "ok", "confidence": 1.0}
             except (Illegal, Ambiguous, ValueError, AttributeError, TypeError):

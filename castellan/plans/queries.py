@@ -592,6 +592,14 @@ def f9_f10_distances(spark, sf_dir):
     return longs(p.select("p_partkey", chess.confusable_distance(bare("p_brand"), bare("p_type")).alias("cost"), chess.confusable_distance("p_brand", seen).alias("alike"), chess.common_subsequence("p_type", consonants).alias("common")), "common")
 
 
+@query("SELECT p_partkey, CAST(length(p_brand) - 1 AS BIGINT) AS common FROM part")
+def l6_functions_by_name(spark, sf_dir):
+    """A function of rows, called by its name from SQL."""
+    chess.register(spark, "book_")
+    t(spark, sf_dir, "part").createOrReplaceTempView("book_parts")
+    return longs(spark.sql("SELECT p_partkey, book_common_subsequence(p_brand, substring(p_brand, 2)) AS common FROM book_parts"), "common")
+
+
 @query("""
 SELECT o_orderkey, 'rnbqkbnr/8/8/8/8/8/8/R3K2' || CASE WHEN o_orderkey % 2 = 0 THEN 'R' ELSE 'N' END || CASE WHEN o_orderkey % 3 = 0 THEN ' b ' ELSE ' w ' END ||
   CASE WHEN o_orderkey % 2 = 0 THEN 'KQkq' ELSE 'Qkq' END || ' - 0 ' || (o_orderkey + 1) AS fen FROM orders

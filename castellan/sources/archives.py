@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import io
 import json
+import os
 import re
+import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -81,6 +83,37 @@ def opened(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, OPENED)
 
 
+def cached(files: DataFrame, root: str) -> DataFrame:
+    """Sources of archives (path, content) kept as files below ``root``, a folder that all executors share.
+
+    Their names carry the content's hash, so another edition never takes a
+    file's place, and a file of the right length is not written again. Returns
+    (path, cache_path, written); archives that cannot be opened are left out.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        os.makedirs(root, exist_ok=True)
+        for f in frames:
+            rows = []
+            for path, content in zip(f["path"], f["content"]):
+                try:
+                    manifest, _, data = open_bytes(content)
+                except ArchiveError:
+                    continue
+                source = manifest["source"]
+                target = os.path.join(root, cache_name(source.get("filename", ""), source["sha256"]))
+                there = os.path.exists(target) and os.path.getsize(target) == len(data)
+                if not there:
+                    part = f"{target}.{uuid.uuid4().hex}"
+                    with open(part, "wb") as out:
+                        out.write(data)
+                    os.replace(part, target)
+                rows.append((path, target, not there))
+            yield pd.DataFrame(rows, columns=["path", "cache_path", "written"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, cache_path string, written boolean")
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return opened(spark.read.format("binaryFile").load(path))
 

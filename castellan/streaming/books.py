@@ -1,7 +1,7 @@
 """Books that arrive page by page, and windowed counts of events.
 
 An extension: the batch plans do not need it. Pages of a book must arrive in
-order; the tree builder's state stays with the book between micro-batches.
+order; between micro-batches only the open game's moves stay with the book.
 """
 
 from __future__ import annotations
@@ -29,10 +29,9 @@ def moves(pages: DataFrame, letters: str = "KQRBN", timeout_minutes: int = 60) -
             return
         # The state is written by this very function and by nobody else.
         builder: tree.Builder = pickle.loads(state.get[0]) if state.exists else tree.Builder()
-        done = len(builder.out.moves)
         for f in sorted((r for frame in frames for r in frame.itertuples(index=False)), key=lambda r: r.page):
             builder.feed(tokens.tokenize(page_text(f.page, f.text, f.boxes, f.eaten), letters))
-        new = builder.out.moves[done:]
+        new = builder.forget().moves
         state.update((pickle.dumps(builder),))
         state.setTimeoutDuration(timeout_minutes * 60_000)
         if new:

@@ -346,3 +346,27 @@ def test_findings_and_mismatches(spark):
     assert rows(glyphs.piece_counts(found), "piece", "n") == [("N", 2), ("Q", 1)]
     assert sorted(map(tuple, glyphs.findings(found, ["page", "line_no"]).collect())) == [(1, 0, "♘", "N0.90"), (1, 1, "♕", "Q0.50"), (2, 0, "♘", "N0.80")]
     assert sorted(map(tuple, glyphs.mismatches(found, truth, ["page", "line_no"]).collect())) == [(1, 0, "NR", "N", "N0.90 R0.40"), (1, 2, "B", "", "")]
+
+
+def test_sources_are_cached_once(spark, packed, tmp_path):
+    files = packed.union(spark.createDataFrame([("bad", bytearray(b"x"))], "path string, content binary"))
+    first, second = (source.cached(files, f"{tmp_path}/kept").collect() for _ in range(2))
+    assert any(r.written for r in first) and not any(r.written for r in second) and {r.path for r in first} == {"b1", "b2"}
+    with open(first[0].cache_path, "ab") as f:
+        f.write(b"more")
+    assert any(r.written for r in source.cached(files, f"{tmp_path}/kept").collect())
+
+
+def test_a_builder_forgets_closed_games():
+    from castellan.kernels import tokens, tree
+
+    pages = ["1. e4 e5 2. Nf3", "2... Nc6 3. Bb5 (3. Bc4 Bc5) a6 1-0 1. d4", "1... d5 2. c4 1. c4 e5"]
+    read = lambda k, t: list(tokens.tokenize(tokens.PageText(k, t, [(float(i), 700.0, 1.0, 10.0) for i in range(len(t))], None)))
+    whole, parts = tree.Builder(), tree.Builder()
+    moves = []
+    for k, text in enumerate(pages, 1):
+        whole.feed(read(k, text))
+        parts.feed(read(k, text))
+        moves += parts.forget().moves
+        assert {n.game_id for n in parts.nodes.values()} <= {parts.game.id}
+    assert [(m.id, m.parent_id, m.san, m.fen, m.variation_index) for m in moves] == [(m.id, m.parent_id, m.san, m.fen, m.variation_index) for m in whole.out.moves]
