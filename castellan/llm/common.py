@@ -215,7 +215,7 @@ PAGE, MOST_PAGES = 32_768, 8_192
 
 
 def apart(df: DataFrame, key: Column, marks: DataFrame, n: int) -> tuple[DataFrame, DataFrame | None]:
-    """Rows whose ``key`` may be among ``marks`` (one bigint column, ``n`` rows), and rows whose key is not.
+    """Rows whose ``key``, a bigint, may be among ``marks`` (one bigint column, ``n`` rows), and rows whose key is not.
 
     The first need an exact join; the others pass without an exchange. A bitmap
     of at most 32 MB is broadcast. Where so many marks would fill it, all rows

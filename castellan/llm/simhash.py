@@ -391,7 +391,7 @@ def sets(df: DataFrame, ends: DataFrame, n: int, id_col: str, text_col: str, wor
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(held, pa.list_(pa.int64()))], names=["id", "s"])
 
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    asked, _ = apart(docs, F.col("id"), ends, n)
+    asked, _ = apart(docs, F.col("id").cast("bigint"), ends, n)
     return asked.join(ends, "id", "left_semi").mapInArrow(run, "id long, s array<long>")
 
 
@@ -423,6 +423,6 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     edges = near.mapInPandas(_compare_sets(similarity, lanes, radius), "a long, b long").union(equal)
     groups_ = connected_components(edges)
     gone = cut(groups_.where("node <> component").select(F.col("node").alias("__gone")), total)
-    some, others = apart(df, F.col(id_col), gone, gone.count())
+    some, others = apart(df, F.col(id_col).cast("bigint"), gone, gone.count())
     kept = some.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
     return kept if others is None else kept.union(others)

@@ -206,7 +206,7 @@ def test_near_copies_that_repeat_a_line_go(spark):
         body, line = words((300, 1000)[k % 2]), words(10)
         rows += [(10 * k, f"{body}\n{line}"), (10 * k + 1, "\n".join([body] + [line] * (7 + k % 6)))]
         near.add(10 * k + 1)
-    kept = {x.doc_id for x in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    kept = {x.doc_id for x in simhash.keep_one(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
     assert kept == {d for d, _ in rows} - near
 
 
