@@ -144,8 +144,8 @@ def set_prints(df: DataFrame, id_col: str, text_col: str, words: int, lanes: int
                 columns = [part.column(0), pa.array([len(h) for h in held], pa.int64()), *map(pa.array, prints), pa.array(same), pa.array([parity_bitmap(h) for h in held], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "n", *(f"f{k}" for k in range(lanes)), "same", "p"])
 
-    picked = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, f"id {dict(picked.dtypes)['id']}, n long, " + "".join(f"f{k} long, " for k in range(lanes)) + "same long, p binary")
+    picked = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return picked.mapInArrow(run, "id long, n long, " + "".join(f"f{k} long, " for k in range(lanes)) + "same long, p binary")
 
 
 def _near(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, least: int, radius: int, ratio: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -390,8 +390,8 @@ def sets(df: DataFrame, ends: DataFrame, n: int, id_col: str, text_col: str, wor
                 held = [np.sort(np.unique(shingle_hashes(t, words)).view(np.int64)) for t in texts(part, "text")]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(held, pa.list_(pa.int64()))], names=["id", "s"])
 
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    asked, _ = apart(docs, F.col("id").cast("bigint"), ends, n)
+    docs = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+    asked, _ = apart(docs, F.col("id"), ends, n)
     return asked.join(ends, "id", "left_semi").mapInArrow(run, "id long, s array<long>")
 
 
@@ -404,7 +404,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     candidate pair that its task has not yet united is compared exactly, in the
     order of ``64 * lanes`` bit fingerprints: first those as close as sets of
     that similarity are, give or take ``deviations`` standard deviations, then
-    the rest. Ids are longs; rows with a null id stay. Rows that no decision
+    the rest. Ids are whole numbers; rows with a null id stay. Rows that no decision
     touches pass without an exchange.
     """
     radius = radius_for(similarity, 64 * lanes, deviations)

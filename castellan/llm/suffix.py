@@ -26,7 +26,7 @@ Its windows are dealt one by one instead, by digest with partial sums, and the
 first and last place of each go to suffix arrays like those of equal regions.
 
 The same runs over words in place of bytes (``WORDS``): passages of over fifty
-words that occur elsewhere are reported beside what is removed, since many of
+words that occur elsewhere can be reported beside what is removed, since many of
 them are shorter than ``length`` bytes. Words are what white space parts and
 stand as 64-bit hashes; nothing is removed for them.
 """
@@ -457,14 +457,14 @@ def cut_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     none = F.lit(None).cast("array<struct<start:int,stop:int>>")
     # Kept, so that all else of the first search can go before the second one.
     mark = tables_stored()
-    cut_ = stored(repeats(df, id_col, text_col, BYTES._replace(length=length), hot_regions).select("doc_id", "th", "spans", none.alias("passages")))
-    discard(df.sparkSession, mark)
-    found = cut_
+    cut_ = stored(repeats(df, id_col, text_col, BYTES._replace(length=length), hot_regions).select("doc_id", "th", "spans"))
+    found = cut_.withColumn("passages", none)
     if words:
+        discard(df.sparkSession, mark)
         mark = tables_stored()
         seen = stored(repeats(df, id_col, text_col, WORDS._replace(length=words), hot_regions).select("doc_id", "th", none.alias("spans"), F.col("spans").alias("passages")))
         discard(df.sparkSession, mark)
-        found = cut_.union(seen).groupBy("doc_id", "th").agg(F.max("spans").alias("spans"), F.max("passages").alias("passages"))
+        found = found.union(seen).groupBy("doc_id", "th").agg(F.max("spans").alias("spans"), F.max("passages").alias("passages"))
     docs = documents(df, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -482,5 +482,5 @@ def cut_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def report(df: DataFrame) -> DataFrame:
-    """Counts and a digest of what ``cut_documents`` leaves."""
-    return cut_documents(df).select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passages", "n_passage_words")
+    """Counts and a digest of what ``cut_documents`` leaves; passages of words are not searched for."""
+    return cut_documents(df, words=0).select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
