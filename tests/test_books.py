@@ -97,6 +97,29 @@ def test_tree_lookups(spark):
     assert up == {"m1": (False, None), "m2": (False, 1), "m3": (False, 1), "m4": (False, 2), "m5": (False, 3)}
 
 
+def test_groups_are_dealt_to_all_tasks(spark):
+    """Small groups are read from a stream in order, by as many tasks as there are cores, and none is split or joined to another."""
+    from castellan.operators.groups import in_order, tasks
+
+    df = spark.range(30_000).select(F.concat(F.lit("b"), F.col("id") % 7_000).alias("book_id"), (-F.col("id")).alias("ord"), F.when(F.col("id") % 3 > 0, F.col("id").cast("int")).alias("v")).coalesce(1)
+    got = in_order(df, ["book_id"], ["ord"], lambda key, rows: [(key[0], len(rows), [r[1] for r in rows], rows[0][2])], "book_id string, n int, ords array<bigint>, v int")
+    assert got.rdd.getNumPartitions() == tasks(spark) >= 4
+    out = {r.book_id: r for r in got.collect()}
+    assert len(out) == 7_000 and sum(r.n for r in out.values()) == 30_000
+    assert out["b0"].ords == [-28_000, -21_000, -14_000, -7_000, 0] and out["b0"].v == 28_000 and out["b5"].v is None
+    assert P.of_texts(spark.createDataFrame(TEXTS, "book_id string, page int, text string").coalesce(1)).rdd.getNumPartitions() == tasks(spark)
+
+
+def test_positions_are_read_once():
+    """A text on one board is read once, however many books print it."""
+    from castellan.kernels import resolve, rules
+
+    board, before = rules.position(rules.START), resolve.resolve.cache_info().hits
+    assert [resolve.resolve(board, "Nf3").san for _ in range(3)] == ["Nf3"] * 3
+    assert resolve.resolve.cache_info().hits >= before + 2
+    assert resolve.reached(board, board.read("Nf3")).startswith("rnbqkbnr/pppppppp/8/8/8/5N2")
+
+
 def test_cycles_end(spark):
     m = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "c")], "id string, parent_id string")
     assert trees.line_to(m, m.where("id = 'a'")).count() == 2
