@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
+from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -12,6 +13,7 @@ from pyspark.sql import Window as W
 from .. import schemas
 from ..kernels import rules
 from ..kernels.rules import Ambiguous, Illegal
+from .groups import in_order
 
 
 def latest(patches: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -38,39 +40,44 @@ def apply(moves: DataFrame, patches: DataFrame) -> DataFrame:
     b = lambda k: F.get_json_object("bbox_edit", f"$.{k}").cast("double").alias(k)
     joined = joined.withColumn("bbox", F.when(F.col("bbox_edit").isNotNull(), F.struct(*map(b, "xywh"))).otherwise(F.col("bbox"))).drop("bbox_edit")
 
-    def replay(frame: pd.DataFrame) -> pd.DataFrame:
-        out = frame.set_index("id", drop=False)
-        fen, stale, stopped = out["fen"].to_dict(), set(), set()
-        changed: dict[str, dict] = {}
-        for move in sorted(out.itertuples(index=False), key=lambda m: m.ord):
-            up = move.parent_id
+    columns = [f.split()[0] for f in ("book_id", "ord", "id", "game_id", "parent_id", "san", "uci", "fen", "ply", "page", "bbox", "variation_index", "comment", "confidence", "status", "repair")]
+    first = F.col("first_fen") if "first_fen" in joined.columns else F.lit(None).cast("string").alias("first_fen")
+    joined = joined.select(*columns, first, "san_edit", "fen_override")
+    at = {c: k for k, c in enumerate(joined.columns)}
+
+    def replay(_: tuple, rows: list[tuple]) -> Iterator[tuple]:
+        fen, stale, stopped = {r[at["id"]]: r[at["fen"]] for r in rows}, set(), set()
+        for r in rows:
+            move, up = r[at["id"]], r[at["parent_id"]]
             if up in stopped:
-                stopped.add(move.id)
+                stopped.add(move)
+                yield r[: len(columns)]
                 continue
-            edit = json.loads(move.san_edit)["san"] if isinstance(move.san_edit, str) else None
-            forced = json.loads(move.fen_override)["fen"] if isinstance(move.fen_override, str) else None
+            edit = json.loads(r[at["san_edit"]])["san"] if r[at["san_edit"]] is not None else None
+            forced = json.loads(r[at["fen_override"]])["fen"] if r[at["fen_override"]] is not None else None
             if edit is None and forced is None and up not in stale:
+                yield r[: len(columns)]
                 continue
-            row: dict = {}
-            before = fen.get(up) if up is not None else move.first_fen
+            text = edit or r[at["san"]]
             try:
-                board = rules.position(before)
-                played = board.read(edit or move.san)
-                row = {"san": board.san(played), "uci": played.uci(), "fen": board.play(played).fen(), "status": "ok", "confidence": 1.0}
+                row = dict(zip(("san", "uci", "fen"), _played(fen.get(up) if up is not None else r[at["first_fen"]], text)), status="ok", confidence=1.0)
             except (Illegal, Ambiguous, ValueError, AttributeError, TypeError):
-                row = {"san": edit or move.san, "uci": None, "fen": None, "status": "broken", "confidence": 0.0}
+                row = {"san": text, "uci": None, "fen": None, "status": "broken", "confidence": 0.0}
             if forced is not None:
                 row["fen"] = forced
             elif row["fen"] is None:
-                stopped.add(move.id)
-            fen[move.id] = row["fen"]
-            changed[move.id] = row
-            stale.add(move.id)
-        for k, row in changed.items():
-            for c, v in row.items():
-                out.at[k, c] = v
-        return out.reset_index(drop=True)[columns]
+                stopped.add(move)
+            fen[move] = row["fen"]
+            stale.add(move)
+            yield tuple(row.get(c, r[k]) for k, c in enumerate(columns))
 
-    columns = [f.split()[0] for f in ("book_id", "ord", "id", "game_id", "parent_id", "san", "uci", "fen", "ply", "page", "bbox", "variation_index", "comment", "confidence", "status", "repair")]
     schema = schemas.MOVES.replace("book_id string, ", "book_id string, ord int, ", 1)
-    return joined.groupBy("book_id", "game_id").applyInPandas(replay, schema)
+    return in_order(joined, ["book_id", "game_id"], ["ord"], replay, schema)
+
+
+@lru_cache(maxsize=10_000)
+def _played(before: str, text: str) -> tuple[str, str, str]:
+    """SAN, UCI and FEN of a move read on a position."""
+    board = rules.position(before)
+    move = board.read(text)
+    return board.san(move), move.uci(), board.play(move).fen()
