@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .groups import tasks
+
 
 def nearest_within(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, at: str, right_id: str, right_at: str, tolerance: float) -> DataFrame:
     """For each left row the right row of the same keys nearest in ``at``, if within ``tolerance``; the smallest id of equals.
@@ -54,11 +56,17 @@ def by_occurrence(left: DataFrame, right: DataFrame, keys: list[str], left_order
 
 
 def rule_pairs(rules: DataFrame, keys: list[str], least: int, most: int) -> DataFrame:
-    """Pairs of rules (id, y, x0, x1) whose gap is in [least, most] and whose reaches overlap by ``least``."""
-    width = max(1, most)
-    cell = F.floor(F.col("y") / width)
-    a = rules.select(*keys, *(F.col(c).alias(f"a_{c}") for c in ("id", "y", "x0", "x1")), cell.alias("__c"))
-    b = rules.select(*keys, *(F.col(c).alias(f"b_{c}") for c in ("id", "y", "x0", "x1")), F.explode(F.array(cell, cell - 1)).alias("__c"))
+    """Pairs of rules (id, y, x0, x1) whose gap is in [least, most] and whose reaches overlap by ``least``.
+
+    The lower rule is copied to the narrow cells that its upper one may stand
+    in, so few pairs outside the gaps meet. Pairs are many more than rules, so
+    rows are dealt by cell to all tasks, whatever their bytes.
+    """
+    width = max(1, (most - least) // 8)
+    cell = lambda y: F.floor(y / width)
+    n = tasks(rules.sparkSession)
+    a = rules.select(*keys, *(F.col(c).alias(f"a_{c}") for c in ("id", "y", "x0", "x1")), cell(F.col("y")).alias("__c")).repartition(n, *keys, "__c")
+    b = rules.select(*keys, *(F.col(c).alias(f"b_{c}") for c in ("id", "y", "x0", "x1")), F.explode(F.sequence(cell(F.col("y") - most), cell(F.col("y") - least))).alias("__c")).repartition(n, *keys, "__c")
     reach = F.least("a_x1", "b_x1") - F.greatest("a_x0", "b_x0")
     return a.join(b, [*keys, "__c"]).where((F.col("b_y") - F.col("a_y")).between(least, most) & (reach >= least)).select(*keys, "a_id", "b_id")
 
