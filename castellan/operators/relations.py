@@ -37,16 +37,23 @@ def point_in_interval(points: DataFrame, intervals: DataFrame, keys: list[str],
 
 
 def boxes_overlap(a: DataFrame, b: DataFrame, keys: list[str], cell: float) -> DataFrame:
-    """Pairs (a_id, b_id) of boxes (id, x, y, w, h) of the same keys that overlap, by grid cells of height ``cell``.
+    """Pairs (a_id, b_id) of boxes (id, x, y, w, h) of the same keys that overlap, by square grid cells of side ``cell``.
 
-    A pair is reported once, in the lowest cell that both touch.
+    A pair is reported once, in the lowest and leftmost cell that both touch.
     """
-    rows = lambda df, p: df.select(*keys, *(F.col(c).alias(f"{p}_{c}") for c in ("id", "x", "y", "w", "h")), F.explode(F.sequence(F.floor(F.col("y") / cell), F.floor((F.col("y") + F.col("h")) / cell))).alias("__c"))
-    j = rows(a, "a").join(rows(b, "b"), [*keys, "__c"])
+    spans = lambda at, size: F.sequence(F.floor(F.col(at) / cell), F.floor((F.col(at) + F.col(size)) / cell))
+    n = tasks(a.sparkSession)
+
+    def rows(df: DataFrame, p: str) -> DataFrame:
+        named = df.select(*keys, *(F.col(c).alias(f"{p}_{c}") for c in ("id", "x", "y", "w", "h")))
+        tall = named.withColumn("__c", F.explode(spans(f"{p}_y", f"{p}_h")))
+        return tall.withColumn("__d", F.explode(spans(f"{p}_x", f"{p}_w"))).repartition(n, *keys, "__c", "__d")
+
+    j = rows(a, "a").join(rows(b, "b"), [*keys, "__c", "__d"])
     c = lambda n: F.col(n)
     meet = (F.least(c("a_x") + c("a_w"), c("b_x") + c("b_w")) > F.greatest(c("a_x"), c("b_x"))) & (F.least(c("a_y") + c("a_h"), c("b_y") + c("b_h")) > F.greatest(c("a_y"), c("b_y")))
-    lowest = c("__c") == F.floor(F.greatest(c("a_y"), c("b_y")) / cell)
-    return j.where(meet & lowest).select(*keys, "a_id", "b_id")
+    first = (c("__c") == F.floor(F.greatest(c("a_y"), c("b_y")) / cell)) & (c("__d") == F.floor(F.greatest(c("a_x"), c("b_x")) / cell))
+    return j.where(meet & first).select(*keys, "a_id", "b_id")
 
 
 def by_occurrence(left: DataFrame, right: DataFrame, keys: list[str], left_order: list[str], right_order: list[str]) -> DataFrame:

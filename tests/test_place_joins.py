@@ -23,3 +23,15 @@ def test_rule_pairs_meet_in_narrow_cells(spark):
     # Rules 65 apart are outside the gaps and in no common cell.
     apart = spark.createDataFrame([(k, 0, 60 + 65 * (k % 2), 0, 90) for k in range(200)], "id int, page int, y int, x0 int, x1 int")
     assert relations.rule_pairs(apart, ["page"], 20, 60).isEmpty()
+
+
+def test_boxes_meet_in_two_dimensions(spark):
+    r = random.Random(2)
+    boxes = lambda n, w, h: [(k, k % 2, r.randrange(-100, 400), r.randrange(-100, 400), 1 + r.randrange(w), 1 + r.randrange(h)) for k in range(n)]
+    a, b = boxes(200, 90, 20), boxes(100, 60, 100)
+    made = lambda rows: spark.createDataFrame(rows, "id int, page int, x int, y int, w int, h int")
+    got = relations.boxes_overlap(made(a), made(b), ["page"], 40.0)
+    over = lambda p, q, at, size: min(p[at] + p[size], q[at] + q[size]) > max(p[at], q[at])
+    want = sorted((p[1], p[0], q[0]) for p in a for q in b if p[1] == q[1] and over(p, q, 2, 4) and over(p, q, 3, 5))
+    assert sorted(map(tuple, got.collect())) == want and want
+    assert "__d" in plan(got)  # boxes side by side in one row of cells do not meet
