@@ -12,14 +12,22 @@ from .groups import tasks
 def nearest_within(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, at: str, right_id: str, right_at: str, tolerance: float) -> DataFrame:
     """For each left row the right row of the same keys nearest in ``at``, if within ``tolerance``; the smallest id of equals.
 
-    Rows meet in buckets one tolerance wide and the two beside them, so a key
-    with many rows never forms all pairs.
+    Right rows of one place fold into their smallest id and are copied to three
+    buckets one tolerance wide. In each bucket, sorted by place, the last right
+    row before a left one and the first after it compete, so no pairs form.
     """
     bucket = lambda c: F.floor(F.col(c) / F.lit(tolerance)).cast("long")
-    l = left.select(*keys, left_id, at, bucket(at).alias("__b"))  # noqa: E741
-    r = right.select(*keys, right_id, right_at, F.explode(F.array(*(bucket(right_at) + d for d in (-1, 0, 1)))).alias("__b"))
-    near = l.join(r, [*keys, "__b"]).withColumn("distance", F.abs(F.col(at) - F.col(right_at))).where(F.col("distance") <= tolerance)
-    best = near.groupBy(left_id).agg(F.min(F.struct("distance", right_id)).alias("best"))
+    whole = lambda df: df.dropna(subset=keys)
+    folded = whole(right).where(F.col(right_at).isNotNull()).groupBy(*keys, F.col(right_at).alias("__at")).agg(F.min(right_id).alias("__r"))
+    r = folded.select(*keys, "__at", F.explode(F.array(*(bucket("__at") + d for d in (-1, 0, 1)))).alias("__b"), "__r", F.lit(None).cast(left.schema[left_id].dataType).alias(left_id), F.lit(False).alias("__left"))
+    l = whole(left).where(F.col(at).isNotNull()).select(*keys, F.col(at).alias("__at"), bucket(at).alias("__b"), F.lit(None).cast(right.schema[right_id].dataType).alias("__r"), left_id, F.lit(True).alias("__left"))  # noqa: E741
+    place = F.when(~F.col("__left"), F.struct("__at", "__r"))
+    w = W.partitionBy(*keys, "__b").rowsBetween(W.unboundedPreceding, 0)
+    both = r.union(l).repartition(tasks(left.sparkSession), *keys, "__b")
+    both = both.withColumn("__before", F.last(place, ignorenulls=True).over(w.orderBy("__at", "__left"))).withColumn("__after", F.last(place, ignorenulls=True).over(w.orderBy(F.desc("__at"), "__left")))
+    away = lambda c: F.when(F.abs(F.col("__at") - F.col(f"{c}.__at")) <= tolerance, F.struct(F.abs(F.col("__at") - F.col(f"{c}.__at")).alias("distance"), F.col(f"{c}.__r").alias(right_id)))
+    near = both.where("__left").select(left_id, F.least(away("__before"), away("__after")).alias("best")).where("best is not null")
+    best = near.groupBy(left_id).agg(F.min("best").alias("best"))
     return left.join(best, left_id, "left").select(left_id, F.col(f"best.{right_id}").alias(right_id), F.col("best.distance").alias("distance"))
 
 

@@ -35,3 +35,14 @@ def test_boxes_meet_in_two_dimensions(spark):
     want = sorted((p[1], p[0], q[0]) for p in a for q in b if p[1] == q[1] and over(p, q, 2, 4) and over(p, q, 3, 5))
     assert sorted(map(tuple, got.collect())) == want and want
     assert "__d" in plan(got)  # boxes side by side in one row of cells do not meet
+
+
+def test_nearest_forms_no_pairs(spark):
+    r = random.Random(3)
+    left = [(k, k % 3, r.randrange(-200, 900)) for k in range(300)] + [(300, None, 5), (301, 0, None)]
+    right = [(k, k % 3, r.randrange(-200, 900) // 4 * 4) for k in range(150)] + [(150, None, 5), (151, 0, None)]
+    got = relations.nearest_within(spark.createDataFrame(left, "i int, page int, y int"), spark.createDataFrame(right, "p int, page int, ry int"), ["page"], "i", "y", "p", "ry", 30)
+    found = lambda l: min(((abs(l[2] - x[2]), x[0]) for x in right if None not in (*l, *x) and l[1] == x[1] and abs(l[2] - x[2]) <= 30), default=(None, None))  # noqa: E731, E741
+    assert sorted(map(tuple, got.collect())) == sorted((x[0], found(x)[1], found(x)[0]) for x in left)
+    assert plan(got).count("Join ") == 1  # only the best of each row is joined back
+    assert got.where(F.col("p").isNull()).count() > 0
