@@ -14,13 +14,20 @@ MANY, FULL_FIGURINES, FULL_LETTERS = 20, 200, 100
 
 def font_inventory(pages: DataFrame) -> DataFrame:
     """(book_id, font, n, first): characters that are not blank per font, first seen place for ties."""
+    blank = r"[\s\u0000\u0085\u2028\u2029]"  # what ``^\s*$`` finds in single characters, and the mark between them
+    held = pages.select("book_id", "page", "chars", F.array_distinct("chars.font").alias("names"), F.array_join("chars.char", "\u0000", " ").alias("joined"))
+    marks = F.length("joined") - F.length(F.replace("joined", F.lit("\u0000"), F.lit("")))
+    # A page of one font and single characters is counted as text.
+    plain = (F.size("names") == 1) & (F.length("joined") == 2 * F.size("chars") - 1) & (marks == F.size("chars") - 1)
+    lead = F.regexp_extract("joined", f"^{blank}*", 0)
+    whole = F.struct(F.element_at("names", 1).alias("font"), F.length(F.regexp_replace("joined", f"{blank}+", "")).alias("n"), (F.length(lead) - F.length(F.replace(lead, F.lit("\u0000"), F.lit("")))).cast("int").alias("pos"))
     seen = F.filter(F.transform("chars", lambda c, i: F.struct(c.font.alias("font"), i.alias("pos"), c.char.rlike(r"^\s*$").alias("blank"))), lambda x: ~x.blank)
-    held = pages.select("book_id", "page", seen.alias("seen"))
-    # A page has few fonts, so its characters are counted in place and only fonts become rows.
+    held = held.withColumn("plain", plain).withColumn("whole", F.when(F.col("plain"), whole)).withColumn("seen", F.when(F.coalesce("plain", F.lit(False)), None).otherwise(seen)).drop("chars", "joined", "names")
+    # Elsewhere a page has few fonts, so its characters are counted in place and only fonts become rows.
     names = F.array_distinct(F.transform("seen", lambda x: x.font))
     own = lambda f: F.filter("seen", lambda x: x.font.eqNullSafe(f))
     per = F.transform(names, lambda f: F.struct(f.alias("font"), F.size(own(f)).alias("n"), F.element_at(own(f), 1).pos.alias("pos")))
-    fonts = held.select("book_id", "page", F.explode(per).alias("f"))
+    fonts = held.select("book_id", "page", F.explode(F.when(F.col("plain"), F.array("whole")).otherwise(per)).alias("f")).where("f.n > 0")
     return fonts.groupBy("book_id", F.col("f.font").alias("font")).agg(F.sum(F.col("f.n").cast("bigint")).alias("n"), F.min(F.struct("page", F.col("f.pos").alias("pos"))).alias("first"))
 
 
